@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from spanloom.sources.tables import reachable, table
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +73,7 @@ def with_columns_from(
                 [b.column(c) for c in through] + [pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=names
             )
 
+    reachable(df.sparkSession)
     needed = list(dict.fromkeys([*through, *inputs]))
     return df.select(*needed).mapInArrow(run, T.StructType([*passed, *fields.fields]))
 

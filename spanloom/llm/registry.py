@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .html_text import op1_html_text
 from .language_id import op9_language_id
+from .ogg import op6_media
 from .packing import op7_packing
+from .quality import op5_quality
+from .secrets import op8_secrets
+from .simhash import op10_simhash
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op5_quality": op5_quality,
+    "op6_media": op6_media,
     "op7_packing": op7_packing,
+    "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
