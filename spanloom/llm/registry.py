@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .chat import OP4_SQL, op4_chat
 from .html_text import op1_html_text
 from .language_id import op9_language_id
 from .ogg import op6_media
 from .packing import op7_packing
+from .pieces import op2_sentencepiece
 from .quality import op5_quality
-from .secrets import op8_secrets
+from .secret_scan import op8_secrets
 from .simhash import op10_simhash
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_warc": op3_warc,
+    "op4_chat": op4_chat,
     "op5_quality": op5_quality,
     "op6_media": op6_media,
     "op7_packing": op7_packing,
@@ -20,4 +26,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_chat": OP4_SQL}
