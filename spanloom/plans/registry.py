@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import queries_metrics, queries_text, queries_time  # noqa: F401  they register their queries
+from .base import ORACLES, QUERIES
+
 FLAGSHIP = "session_blocks"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
