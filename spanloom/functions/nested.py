@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,8 @@ def shift_to_window(df: DataFrame, start: str, end: str, low: Column, length: Co
     """Times relative to ``low``; rows that lie outside [0, length + slack] go."""
     moved = df.withColumns({start: F.col(start) - low, end: F.col(end) - low})
     return moved.where((F.col(end) > 0) & (F.col(start) <= length + slack))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, also where body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
