@@ -142,21 +142,26 @@ def format_turns(rows: DataFrame, vocabulary: str | None = None, conv_id: str =
     return together.mapInArrow(place, f"conv_id {key}, turn {turns}, place bigint, token_offset bigint, ids array<int>, loss_mask array<tinyint>")
 
 
-def read_turn(c: Codec, ids: list[int], mask: list[int]) -> tuple[str, str, str, int]:
+def read_turn(c: Codec, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
     """role, text, text under the mask, and characters of the formatted text of one turn."""
     names = {v: k for k, v in c.reserved.items()}
-    marks = [(k, names[i]) for k, i in enumerate(ids) if i >= c.first]
-    cuts = [k for k, _ in marks]
-    kinds = [m for _, m in marks]
-    between = [c.decode(ids[a + 1 : b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    formatted = sum(len(m) for m in kinds) + sum(len(x) for x in between)
-    learned = unescape(c.decode([i for i, m in zip(ids, mask, strict=True) if m]))
+    cuts = np.flatnonzero(ids >= c.first).tolist()
+    kinds = [names[i] for i in ids[cuts].tolist()]
+    between = [c.decode(ids[a + 1 : b].tolist()) if b > a + 1 else "" for a, b in zip(cuts, cuts[1:], strict=False)]
+    formatted = sum(map(len, kinds)) + sum(map(len, between))
+    learned = unescape(c.decode(ids[mask.astype(bool)].tolist())) if mask.any() else ""
     role = {"[INST]": "user", "<<SYS>>": "system", "</s>": "assistant"}.get(kinds[1])
     if role is None:
         return unescape(between[1]), unescape(between[2]), learned, formatted
     return role, unescape(between[0] if role == "assistant" else between[1]), learned, formatted
 
 
+def lists_of(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column without nulls, as views of its values."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def digests(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Read back from formatted turns, in their order: a row per conversation with n_turns, turns_sha256, loss_chars,
     loss_sha256 and formatted_chars. The hashes run along, so a conversation may be of any length."""
@@ -174,7 +179,7 @@ def digests(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
         kind = None
         for b in slices(batches, 512):
             kind = b.schema.field("conv_id").type
-            for conv, ids, mask in zip(b.column("conv_id").to_pylist(), b.column("ids").to_pylist(), b.column("loss_mask").to_pylist(), strict=True):
+            for conv, ids, mask in zip(b.column("conv_id").to_pylist(), lists_of(b.column("ids")), lists_of(b.column("loss_mask")), strict=True):
                 if state is None or state[0] != conv:
                     if state is not None:
                         done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))

@@ -33,6 +33,10 @@ BAD_WORDS = frozenset(
     "sidebar footer comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login "
     "share sharing social related recommended recommendations widget pagination pager toolbar masthead skip hidden complementary contentinfo search topbar".split()
 )
+#: Of these, words that layout wrappers around the content bear too; they don't count on an element with an article inside.
+LAYOUT_WORDS = frozenset("nav navbar navigation menu sidebar footer banner promo share sharing social toolbar topbar search ads".split())
+#: Before such a word: the page says that it has, or lacks, such a part; it isn't one.
+PARTICLES = frozenset("no not has have with without".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORD = re.compile(r"[a-z0-9]+")
@@ -40,22 +44,26 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "score", "bad")
+    __slots__ = ("tag", "attrs", "parent", "kids", "score", "bad", "layout")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids, self.score = tag, attrs, parent, [], 0.0
-        self.bad = tag in DROPPED or (bool(attrs) and tag not in ("html", "body") and marked(attrs))
+        words = marks(attrs) if attrs and tag not in ("html", "body") else frozenset()
+        self.bad = tag in DROPPED or bool(words)
+        self.layout = tag not in DROPPED and bool(words) and words <= LAYOUT_WORDS
 
 
-def marked(attrs: str) -> bool:
-    """Whether class, id, role or hidden say that the element is not content."""
+def marks(attrs: str) -> set[str]:
+    """The words of class, id, role and the like that say that the element is not content."""
+    found: set[str] = set()
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id", "role") and not BAD_WORDS.isdisjoint(WORD.findall(value)):
-            return True
+        if name in ("class", "id", "role"):
+            words = WORD.findall(value)
+            found |= {w for before, w in zip(["", *words], words, strict=False) if w in BAD_WORDS and before not in PARTICLES}
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            found.add("hidden")
+    return found
 
 
 def parse(html: str) -> Node:
@@ -99,6 +107,11 @@ def parse(html: str) -> Node:
             here = root
         node = Node(tag, m[3], here)
         here.kids.append(node)
+        if tag in CONTENT and not node.bad:
+            up = here
+            while up is not None:
+                up.bad = up.bad and not up.layout
+                up = up.parent
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = end.end() if end else size

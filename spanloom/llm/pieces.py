@@ -13,7 +13,6 @@ precedes p, p) is left alone by the merges. That gives the same pieces as mergin
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterable
 from functools import cached_property
 from itertools import pairwise
@@ -61,7 +60,7 @@ class Vocabulary:
     def stays(self, a: str, b: str) -> bool:
         """Whether merging the text of two adjacent pieces gives just these two."""
         if (a, b) not in self.alone:
-            if len(self.alone) > 2_000_000:
+            if len(self.alone) > 400_000:
                 self.alone.clear()
             self.alone[a, b] = self.merged(a + b) == [a, b]
         return self.alone[a, b]
@@ -142,7 +141,7 @@ def marked(v: Vocabulary, text: str) -> list[str]:
     return [w for w in WORD.findall((MARK if v.dummy_prefix else "") + text.replace(" ", MARK)) if w]
 
 
-def encoder(v: Vocabulary, most: int = 600_000) -> Callable[[list[str]], list[bytes]]:
+def encoder(v: Vocabulary, most: int = 400_000) -> Callable[[list[str]], list[bytes]]:
     """Encodes batches of texts to ids (little-endian 32-bit). Words met before are remembered, up to ``most``."""
     known: dict[str, bytes] = {}
 
@@ -209,7 +208,7 @@ def encode_column(df: DataFrame, text: str = "text", ids: str = "ids", path: str
 
         return work
 
-    return with_columns_from(df, [text], T.StructType([T.StructField(ids, T.BinaryType())]), make, rows=512)
+    return with_columns_from(df, [text], T.StructType([T.StructField(ids, T.BinaryType())]), make)
 
 
 def decode_column(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
@@ -225,11 +224,8 @@ def decode_column(df: DataFrame, ids: str = "ids", text: str = "decoded", path:
 
 def summary(df: DataFrame, ids: str = "ids") -> DataFrame:
     """df with n_pieces and ids_crc32 (unsigned) of ids; nulls give 0 and null."""
-
-    def make():
-        return lambda values: [[len(x or b"") // 4 for x in values], [None if x is None else zlib.crc32(x) for x in values]]
-
-    return with_columns_from(df, [ids], T.StructType([T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())]), make)
+    n = F.coalesce(F.octet_length(ids) / 4, F.lit(0)).cast("long")
+    return df.withColumns({"n_pieces": n, "ids_crc32": F.crc32(ids)})
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,10 +87,13 @@ def samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most_do
     """Labelled samples (value, label): label 1 random strings in usual alphabets, label 0 identifiers made of the
     corpus's own words (alone, snake_case, kebab-case, camelCase, paths).
 
-    Bounds: words come from ``most_documents`` documents, the least by a hash of the id; ``strings`` random strings.
+    Bounds: words come from ``most_documents`` documents, the least by a hash of id and text; ``strings`` random strings.
     """
     spark = docs.sparkSession
-    some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).dropna().orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(most_documents)
+    plain = docs.where(F.col(text).isNotNull()).select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("text"))
+    # only hashes are ranked; texts of the documents chosen are read after that
+    last = plain.select("h").orderBy("h").limit(most_documents).agg(F.max("h")).first()[0]
+    some = plain.where(F.col("h") <= F.lit(last)).limit(most_documents)
     words = F.filter(F.regexp_extract_all("text", F.lit(r"\p{Alpha}+"), F.lit(0)), lambda w: F.length(w) >= 2)
     triples = let(words, lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - 2, F.lit(3)), lambda k: F.slice(ws, k, 3)))
     lists = some.where(F.size(words) >= 3).select(F.explode(triples).alias("ws"))

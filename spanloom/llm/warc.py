@@ -31,6 +31,7 @@ MAGIC = b"\x1f\x8b\x08"
 LEAST_REVISIT = 100
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
+RANGES_PER_TASK = 16
 CHUNK = 256 << 10
 LEVEL = 4
 DATE = "2000-01-01T00:00:00Z"
@@ -209,11 +210,15 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     """The records of the files in ``manifest`` (path, size): record_id, record_type, refers_to, url, payload_digest
     (from the header), payload_bytes (from the HTTP header), payload (null for revisits).
 
-    Files are cut into ranges of ``range_bytes``; each range is a row of its own and read by itself.
+    Files are cut into ranges of ``range_bytes``; each range is a row of its own and read by itself, RANGES_PER_TASK a
+    task, or fewer where that leaves cores idle.
     """
-    reachable(manifest.sparkSession)
+    spark = reachable(manifest.sparkSession)
+    total = manifest.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1
+    # the rows are few and light, the work behind them isn't: a number given here is not coalesced away by size
+    tasks = max(-(-int(total) // RANGES_PER_TASK), min(int(total), spark.sparkContext.defaultParallelism))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
-    ranges = manifest.where("size > 0").select("path", "size", F.explode(starts).alias("start")).repartition("path", "start")
+    ranges = manifest.where("size > 0").select("path", "size", F.explode(starts).alias("start")).repartition(tasks)
 
     def text(value: str | None) -> str | None:
         return None if value is None else value.removeprefix("<urn:x-page:").removesuffix(">")

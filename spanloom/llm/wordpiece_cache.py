@@ -29,7 +29,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def ids_of(path: str, most: int = 1_000_000) -> Callable[[str], bytes]:
+def ids_of(path: str, most: int = 700_000) -> Callable[[str], bytes]:
     """Maps a text to its ids as little-endian unsigned 32-bit numbers. One per vocabulary file and worker."""
     if path not in _open:
         _open[path] = _encoder(path, most)
