@@ -49,25 +49,30 @@ def n_symbols(text: Column) -> Column:
 def n_repeat_words(words: Column, size: int = WINDOW) -> Column:
     """How many words stand in a window of ``size`` words that occurs twice or more in the array.
 
-    Windows are compared by a 64-bit hash of their words. Sorted by hash and place, equal windows are neighbours; the
-    places of those with an equal neighbour, sorted again, cover min(size, distance to the next) words each.
+    Windows are compared by a 64-bit hash of their words' hashes. Where all differ, that is all. Else they are sorted by
+    hash and place: equal windows are neighbours, and the places of those with an equal neighbour, sorted again, cover
+    min(size, distance to the next) words each.
     """
 
-    def starts(ws: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(ws) - size + 1)
-        return F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(F.slice(ws, i, size)).alias("h"), i.alias("i"))))
+    def windows(hs: Column) -> Column:
+        whole = F.transform(hs, lambda h, i: F.xxhash64(h, *[F.get(hs, i + k) for k in range(1, size)]))
+        return F.slice(whole, F.lit(1), F.size(hs) - (size - 1))
 
     def repeated(s: Column) -> Column:
         equal = lambda a, b: F.coalesce(F.get(s, a)["h"] == F.get(s, b)["h"], F.lit(False))
         found = F.transform(s, lambda x, k: F.when(equal(k, k - 1) | equal(k, k + 1), x["i"]))
-        return F.array_sort(F.filter(found, lambda i: i.isNotNull()))
+        return F.sort_array(F.filter(found, lambda i: i.isNotNull()))
 
     def covered(at: Column) -> Column:
         gap = lambda x, k: F.least(F.coalesce(F.get(at, k + 1) - x, F.lit(size)), F.lit(size))
         return F.aggregate(F.transform(at, gap), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    counted = let(let(starts(words), repeated), covered)
-    return F.when(F.size(words) < size, F.lit(0).cast("long")).otherwise(counted)
+    def counted(hs: Column) -> Column:
+        placed = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(let(let(placed, repeated), covered))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) < size, F.lit(0).cast("long")).otherwise(let(let(hashes, windows), counted))
 
 
 def line_verdict(line: Column, rules: Rules) -> Column:
@@ -77,8 +82,8 @@ def line_verdict(line: Column, rules: Rules) -> Column:
     def judge(x: Column) -> Column:
         n = F.size(x["w"])
         marks = n_symbols(x["t"]) + F.size(F.split(x["t"], r"[!?]{2,}")) - 1
-        letters = F.length(F.regexp_replace(x["t"], r"[^\p{L}]", ""))
-        capitals = F.length(F.regexp_replace(x["t"], r"[^\p{Lu}]", ""))
+        letters = F.length(F.regexp_replace(x["t"], r"[^\p{L}]+", ""))
+        capitals = F.length(F.regexp_replace(x["t"], r"[^\p{Lu}]+", ""))
         separators = F.size(F.filter(x["w"], lambda w: w.isin("|", "»", "›", "•", "·", "/", ">", "<", "::", "→", "-", "–")))
         punctuation = (
             (marks > rules.symbols_per_word * n)
