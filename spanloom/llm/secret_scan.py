@@ -75,10 +75,13 @@ class Markov:
         return total >= LEAST_TOTAL and mean >= LEAST_MEAN
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
-        """Random-looking runs that touch no base span."""
-        out = []
+        """Random-looking runs that touch no base span. Both go by start, so one pass over each is enough."""
+        out, known, k, reach = [], sorted((a, b) for _, a, b in base), 0, 0
         for m in CANDIDATE.finditer(text):
-            if not any(a < m.end() and m.start() < b for _, a, b in base) and self.is_random(m[0]):
+            while k < len(known) and known[k][0] < m.end():
+                reach = max(reach, known[k][1])
+                k += 1
+            if reach <= m.start() and self.is_random(m[0]):
                 out.append(("random", m.start(), m.end()))
         return out
 
