@@ -23,12 +23,12 @@ from pyspark.sql import types as T
 
 from .common import load, stored, with_columns_from
 from .components import components
+from .jaccard import LOWER, near_copies
 
 SHINGLE = 3
 DISTANCE = 2
 BLOCKS = 5
 CELL = 64
-LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = 42) -> int:
@@ -114,11 +114,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, that with the least id (ids before null; then by text hash).
+    """Pipeline stage: one document of each group of near copies (five-word Jaccard of 0.8 or more, see jaccard) stays,
+    that with the least id (ids before null; then by text hash).
 
     A row that repeats it exactly goes like any other member of the group.
     """
-    per_copy = near_duplicates(docs).groupBy("root", "doc_id", "copy").agg(F.count("*").alias("n"))
+    per_copy = near_copies(docs).groupBy("root", "doc_id", "copy").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy", "n")).alias("first")
     kept = stored(per_copy.groupBy("root").agg(first).select(*(F.col(f"first.{c}").alias(f"__{c}") for c in ("doc_id", "copy", "n"))))
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__copy"))

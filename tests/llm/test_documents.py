@@ -186,6 +186,33 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.keep_one(spark, odd.where("false"), "").count() == 0
 
 
+def test_stage_finds_near_copies_by_five_word_shingles(spark):
+    """Groups equal brute force over all pairs, where copies differ in words here and there; likewise with crowded cells."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(50, 150))]
+        for changes in (0, 1, 1, 2, 6, 15):
+            t = list(base)
+            for k in rng.sample(range(len(t)), changes):
+                t[k] = word()
+            texts.append(" ".join(t))
+    grams = [set(zip(*(w[k:] for k in range(5)))) for w in map(str.split, texts)]  # noqa: B905
+    groups = {k: k for k in range(len(texts))}
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) and groups[a] != groups[b]:
+                low, high = sorted((groups[a], groups[b]))
+                groups = {k: low if g == high else g for k, g in groups.items()}
+    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    kept = sorted(r[0] for r in rows(simhash.keep_one(spark, df, ""), "doc_id"))
+    assert kept == sorted(set(groups.values())) and len(kept) < len(texts) - 12
+    base = [word() for _ in range(300)]
+    many = [(k, " ".join([*base[:k], word(), *base[k + 1 :]]), "en", "a", 1) for k in range(150)]
+    assert rows(simhash.keep_one(spark, spark.createDataFrame(many, SCHEMA), ""), "doc_id") == [(0,)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(5, 5), (None, 3), (300, 301), (301, 300)], "a long, b long")
     got = dict(rows(components(edges), "node", "root"))
