@@ -2,9 +2,9 @@
 
 Only the *number* of pieces of each length matters to a packing, so the search runs on a histogram with at most
 ``capacity`` entries, whatever the input holds. ``complete`` fills one bin at a time around the largest piece left:
-it enumerates the undominated fillings of the rest, prunes them by waste, and repeats the winning filling as often as
-the histogram allows, so it returns at most ``capacity`` distinct fillings per pass. A best-fit packing of the same
-histogram is the incumbent: where it meets the volume bound it is returned as it is.
+it enumerates the undominated fillings of the rest, takes the one with least waste as often as the histogram allows, and
+goes back to the other fillings and to fewer bins of them where the waste rules out a better packing. A best-fit packing
+of the same histogram is the first incumbent: where it meets the volume bound it is returned as it is.
 
 Pieces are then matched with places: each gets its rank among the pieces of its length (a per-task rank plus an offset
 per task and length), and the place table says where pieces of that length and rank go. Token ids never cross a shuffle.
@@ -62,74 +62,90 @@ def _put(groups: dict[int, list[list]], rooms: list[int], room: int, filling: tu
     groups[room].append([filling, bins])
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most_nodes: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of ``room``: none that leaves space for a piece still there. Longest pieces first.
+def fillings(lengths: list[int], counts: dict[int, int], room: int, most_nodes: int) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Undominated fillings of ``room``, as (length, how many) pairs: none that leaves space for a piece still there.
+    Longest pieces first, and as many as fit first.
 
-    Depth-first; ``most_nodes`` bounds the work for one bin, not the pieces considered: the first fillings found are
-    best-fit ones, and a filling without waste ends the search.
+    Depth-first; ``most_nodes`` bounds the work for one bin, not the pieces considered. All pieces of a length are one
+    step, so the first filling takes a step for each of its lengths, of which a room of 2048 holds 63 at most.
     """
     nodes = 0
     lengths = sorted(lengths)
-    least = lengths[0] if lengths else 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(lengths), ())]
+    stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(room, len(lengths), ())]
     while stack and nodes < most_nodes:
         left, upto, chosen = stack.pop()
         nodes += 1
         end = bisect.bisect_right(lengths, left, 0, upto)
-        if left < least or not end:
+        if not end:
             # dominated, if a piece that was passed over still fits
-            fits = bisect.bisect_right(lengths, left)
-            if not any(chosen.count(x) < counts[x] for x in lengths[:fits]):
+            used = dict(chosen)
+            if not any(used.get(x, 0) < counts[x] for x in lengths[: bisect.bisect_right(lengths, left)]):
                 yield chosen
             continue
         longest = lengths[end - 1]
-        if chosen.count(longest) < counts[longest]:
-            stack.append((left, end - 1, chosen))  # without it: later
-            stack.append((left - longest, end, (*chosen, longest)))
-        else:
-            stack.append((left, end - 1, chosen))
+        stack.append((left, end - 1, chosen))  # without it: last
+        stack += [(left - n * longest, end - 1, (*chosen, (longest, n))) for n in range(1, min(left // longest, counts[longest]) + 1)]
 
 
-def complete(histogram: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 400) -> Fillings:
+def complete(histogram: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 400, most_steps: int = 5000) -> Fillings:
     """A packing of all pieces, as (filling, number of bins) pairs; never more bins than best-fit decreasing.
 
-    Bound: no packing has fewer bins than the total length over the capacity, rounded up; reaching it ends the search.
+    Branch-and-bound: a level fills the bin of the largest piece left, with each undominated filling in turn, those of
+    least waste first, and each from as often as the pieces allow down to once. Where the waste so far shows that no
+    packing better than the best one known can follow, the search goes back to the last level with a choice left.
+    Bound: no packing has fewer bins than the total length over the capacity, rounded up; reaching it ends the search,
+    and so do ``most_steps`` choices, with the best packing found by then.
     """
     counts = {k: v for k, v in histogram.items() if v > 0}
     if any(k > capacity or k < 1 for k in counts):
         raise ValueError("lengths must be from 1 to the capacity")
     incumbent = best_fit(counts, capacity)
-    need = -(-sum(k * v for k, v in counts.items()) // capacity)
-    if sum(b for _, b in incumbent) == need:
-        return incumbent
-    slack = need * capacity - sum(k * v for k, v in counts.items())
-    most_waste = (sum(b for _, b in incumbent) - 1) * capacity - sum(k * v for k, v in counts.items())
-    out, bins, waste = [], 0, 0
-    lengths = sorted(counts)
-    while lengths:
+    least_bins = sum(b for _, b in incumbent)
+    total = sum(k * v for k, v in counts.items())
+    need = -(-total // capacity)
+
+    def choices() -> Iterator[tuple[int, dict[int, int], int]]:
+        """Waste a bin, pieces by length, and number of bins of each way to fill the next bins."""
+        lengths = [x for x in sorted(counts) if counts[x]]
         first = lengths[-1]
-        counts[first] -= 1
-        best: tuple[int, ...] | None = None
-        least = capacity + 1
-        for filling in fillings([x for x in lengths if counts[x]], counts, capacity - first, most_nodes):
-            rest = capacity - first - sum(filling)
-            if rest < least:
-                best, least = filling, rest
-            if least == 0:
-                break
-        counts[first] += 1
-        filling = (first, *(best or ()))
-        uses = {x: filling.count(x) for x in set(filling)}
-        times = min(counts[x] // n for x, n in uses.items())
-        if waste + least * times > most_waste:  # no better than the incumbent any more
-            return incumbent
+        rest = counts | {first: counts[first] - 1}
+        found = [(capacity - first - sum(x * n for x, n in f), f) for f in fillings([x for x in lengths if rest[x]], rest, capacity - first, most_nodes)]
+        for waste, filling in sorted(found, key=lambda x: x[0]):
+            uses = dict(filling)
+            uses[first] = uses.get(first, 0) + 1
+            for times in range(min(counts[x] // n for x, n in uses.items()), 0, -1):
+                yield waste, uses, times
+
+    levels, taken, bins, waste, steps = [choices()] if counts else [], [], 0, 0, 0
+    while levels and least_bins > need and steps < most_steps:
+        choice = next(levels[-1], None)
+        if choice is None or waste + choice[0] > (least_bins - 1) * capacity - total:  # later ones waste as much or more
+            levels.pop()
+            if taken:
+                spare, uses, times = taken.pop()
+                bins, waste = bins - times, waste - spare * times
+                for x, n in uses.items():
+                    counts[x] += n * times
+            continue
+        steps += 1
+        spare, uses, times = choice
+        if waste + spare * times > (least_bins - 1) * capacity - total:
+            continue
+        taken.append(choice)
+        bins, waste = bins + times, waste + spare * times
         for x, n in uses.items():
             counts[x] -= n * times
-        out.append((filling, times))
-        bins, waste = bins + times, waste + least * times
-        lengths = [x for x in lengths if counts[x]]
-    assert waste >= slack
-    return out if bins < sum(b for _, b in incumbent) else incumbent
+        if any(counts.values()):
+            levels.append(choices())
+            continue
+        if bins < least_bins:
+            least_bins = bins
+            incumbent = [(tuple(x for x in sorted(u, reverse=True) for _ in range(u[x])), t) for _, u, t in taken]
+        taken.pop()
+        bins, waste = bins - times, waste - spare * times
+        for x, n in uses.items():
+            counts[x] += n * times
+    return incumbent
 
 
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -244,6 +244,28 @@ def test_completion_is_optimal_where_best_fit_is_not():
     assert sum(n for _, n in packing.complete(h, 10)) == 4
 
 
+def test_completion_goes_back_to_earlier_bins():
+    bins = lambda h, c, **k: sum(n for _, n in packing.complete(h, c, **k))
+    h = Counter([12, 12, 11, 11, 10, 7, 7, 7, 6, 4, 3])
+    assert bins(h, 30) == 3 and sum(n for _, n in packing.best_fit(h, 30)) == 4 and bins(h, 30, most_steps=0) == 4
+    rng = random.Random(5)
+
+    def least(pieces, rooms):  # brute force
+        if not pieces:
+            return len(rooms)
+        first, rest = pieces[0], pieces[1:]
+        tries = [least(rest, (*rooms[:k], r - first, *rooms[k + 1 :])) for k, r in enumerate(rooms) if r >= first and r not in rooms[:k]]
+        return min([*tries, least(rest, (*rooms, 20 - first))])
+
+    for _ in range(60):
+        pieces = sorted((rng.randint(3, 14) for _ in range(8)), reverse=True)
+        assert bins(Counter(pieces), 20, most_nodes=10**6, most_steps=10**6) == least(pieces, ())
+
+
+def test_fillings_of_few_tokens_find_a_leaf():
+    assert next(packing.fillings([3, 4, 5], {3: 900, 4: 900, 5: 900}, 2000, 400)) == ((5, 400),)
+
+
 def check_packing(pieces_, docs, encode):
     expected = []
     for doc_id, text in docs:
