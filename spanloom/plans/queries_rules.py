@@ -87,8 +87,8 @@ def weaker_repeats(spark, d):
 
 @query()
 def timed_alignment(spark, d):
-    """Words of successive turns with made-up times, warped block by block: best assignment of each word and its cost."""
-    words = F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 1, 80)
+    """All words of successive turns with made-up times, a turn being a block: best assignment of each word and its cost."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, d, "conversations").select("conv_id", "turn", words.alias("b")).withColumn("a", F.lag("b").over(w)).where("a IS NOT NULL")
     clock = lambda c: F.transform(F.col(c), lambda x, k: k.cast("double") * 0.4)

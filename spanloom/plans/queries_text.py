@@ -150,7 +150,7 @@ def _pairs(spark, d):
     """Successive turns of a conversation as token arrays."""
     from pyspark.sql import Window
 
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 1, 400).alias("w"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return rows.withColumns({"b": F.lag("w").over(w), "before": F.lag("text").over(w)}).where("b IS NOT NULL")
 
