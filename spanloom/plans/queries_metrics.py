@@ -169,11 +169,23 @@ VOTE = """w AS (SELECT lang, i AS place, string_split(text, ' ')[i + 1] AS token
 
 @query(f"WITH {VOTE} SELECT lang, place, token, votes, round(share, 8) AS share FROM r WHERE k = 1")
 def positional_vote(spark, d):
+    """A vote at the first five places, as in its SQL; for all places see positional_vote_everywhere."""
     words = F.slice(F.split("text", " "), 1, 5)
     rows = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(words).alias("p", "token")).select("lang", F.col("p").cast("long").alias("place"), "token", "doc_id").where("token <> ''")
     return rounded(ag.positional_vote(rows, ["lang"], "place", "token", "doc_id"), 8)
 
 
+EVERY_VOTE = """w AS (SELECT lang, unnest(range(len(string_split(text, ' ')))) AS place, unnest(string_split(text, ' ')) AS token FROM documents), v AS (SELECT lang, place, token, count(*) AS votes FROM w WHERE token <> '' GROUP BY 1, 2, 3),
+ r AS (SELECT *, votes / sum(votes) OVER (PARTITION BY lang, place) AS share, row_number() OVER (PARTITION BY lang, place ORDER BY votes DESC, length(token) DESC, token) AS k FROM v)"""
+
+
+@query(f"WITH {EVERY_VOTE} SELECT lang, place, token, votes, round(share, 8) AS share FROM r WHERE k = 1")
+def positional_vote_everywhere(spark, d):
+    """A vote at every place of the documents; positional_vote holds one at the first five places only."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", " ")).alias("p", "token")).select("lang", F.col("p").cast("long").alias("place"), "token", "doc_id").where("token <> ''")
+    return rounded(ag.positional_vote(rows, ["lang"], "place", "token", "doc_id"), 8)
+
+
 @query("SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice, 2) DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
 def top_orders(spark, d):
     rows = table(spark, d, "orders").withColumn("total", F.round("o_totalprice", 2))
@@ -265,11 +277,25 @@ def report_join(spark, d):
  SELECT p_partkey, coalesce(x.k, o.k) AS match FROM part p LEFT JOIN x ON x.p_brand = p.p_brand AND x.p_type = p.p_type AND x.p_size = p.p_size LEFT JOIN o ON o.p_brand = p.p_brand AND o.p_type = p.p_type"""
 )
 def lookup_with_fallback(spark, d):
+    """Looks up a seventh of the parts, as in its SQL; for a whole lookup table see supplier_with_fallback."""
     parts = table(spark, d, "part")
     known = parts.where("p_partkey % 7 = 0").select("p_brand", "p_type", "p_size", F.col("p_partkey").alias("match"))
     return jn.lookup_with_fallback(parts.select("p_partkey", "p_brand", "p_type", "p_size"), known, ["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], "match").select("p_partkey", "match")
 
 
+@query(
+    """WITH s AS (SELECT s_nationkey AS nat, floor(s_acctbal / 1000)::BIGINT AS band, s_suppkey FROM supplier), c AS (SELECT c_custkey, c_nationkey AS nat, floor(c_acctbal / 1000)::BIGINT AS band FROM customer),
+ x AS (SELECT nat, band, min(s_suppkey) AS k FROM s GROUP BY 1, 2), o AS (SELECT nat, min(s_suppkey) AS k FROM s GROUP BY 1 HAVING count(*) = 1)
+ SELECT c_custkey, coalesce(x.k, o.k) AS match FROM c LEFT JOIN x ON x.nat = c.nat AND x.band = c.band LEFT JOIN o ON o.nat = c.nat"""
+)
+def supplier_with_fallback(spark, d):
+    """All customers against all suppliers: one of the same nation and balance band, else the nation's only one."""
+    band = lambda c: F.floor(F.col(c) / 1000)
+    known = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nat"), band("s_acctbal").alias("band"), F.col("s_suppkey").alias("match"))
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nat"), band("c_acctbal").alias("band"))
+    return jn.lookup_with_fallback(rows, known, ["nat", "band"], ["nat"], "match").select("c_custkey", "match")
+
+
 @query("""WITH x AS (SELECT *, max((o_orderpriority = '1-URGENT')::INT) OVER (PARTITION BY o_custkey) AS has_it FROM orders) SELECT o_orderkey FROM x WHERE has_it = 0 OR o_orderpriority = '1-URGENT'""")
 def preferred_or_all(spark, d):
     return en.preferred_or_all(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderpriority") == "1-URGENT").select("o_orderkey")

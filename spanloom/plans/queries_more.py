@@ -78,10 +78,22 @@ def banned_keys(spark, d):
  SELECT l_suppkey, (frame + 1)::INTEGER AS frame, round((v + nv) / 2, 6) AS v FROM g WHERE nf = frame + 2"""
 )
 def filled_frames(spark, d):
+    """Gaps made by leaving out a third of the rows, as in its SQL; for real gaps in a whole table see filled_ship_days."""
     rows = table(spark, d, "lineitem").where("(l_suppkey + l_linenumber) % 3 <> 0").groupBy("l_suppkey", F.col("l_linenumber").alias("frame")).agg(F.avg("l_quantity").alias("v"))
     return rounded(sp.fill_gaps_of_one(rows, ["l_suppkey"], "frame", "v"), 6)
 
 
+@query(
+    """WITH f AS (SELECT l_suppkey, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS frame, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT *, lead(frame) OVER w AS nf, lead(v) OVER w AS nv FROM f WINDOW w AS (PARTITION BY l_suppkey ORDER BY frame))
+ SELECT l_suppkey, (frame + 1)::INTEGER AS frame, round((v + nv) / 2, 6) AS v FROM g WHERE nf = frame + 2"""
+)
+def filled_ship_days(spark, d):
+    """Single days between two ship days of a supplier, over all lineitem rows."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey", day.alias("frame")).agg(F.avg("l_quantity").alias("v"))
+    return rounded(sp.fill_gaps_of_one(rows, ["l_suppkey"], "frame", "v"), 6)
+
+
 @query(
     """WITH m AS (SELECT p_partkey, p_brand, p_size, p_retailprice, (p_size > 25)::INT + (p_retailprice > 1200)::INT * 2 AS score FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, abs(p_size - 20), p_partkey) AS k FROM m)
  SELECT p_brand, p_partkey, score, (p_size > 25 AND p_retailprice > 1200) AS suitable FROM r WHERE k = 1"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -43,3 +44,29 @@ def test_timed_alignment_of_long_turns(spark, long_turns):
     d, _ = long_turns
     got = {r.turn: r for r in QUERIES["timed_alignment"](spark, d).collect()}
     assert got[1].n == N == got[2].n and got[1].close >= 40
+
+
+def test_votes_at_every_place(spark, tmp_path):
+    texts = [" ".join(f"w{k % 7}" for k in range(30)), " ".join(f"w{k % 5}" for k in range(40)), "a  b"]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    votes: dict[int, Counter] = {}
+    for t in texts:
+        for k, w in enumerate(t.split(" ")):
+            if w:
+                votes.setdefault(k, Counter())[w] += 1
+    best = {k: min(c.items(), key=lambda x: (-x[1], -len(x[0]), x[0])) for k, c in votes.items()}
+    got = {r.place: (r.token, r.votes) for r in QUERIES["positional_vote_everywhere"](spark, str(tmp_path)).collect()}
+    assert got == best and len(got) == 40
+
+
+def test_frames_and_lookups_use_whole_tables(spark, tmp_path):
+    days = ("2024-01-01", "2024-01-03", "2024-01-04", "2024-01-07")
+    lines = [(s, n, day, float(s + n)) for s in (1, 2, 3) for n, day in enumerate(days)]
+    df = spark.createDataFrame(lines, "l_suppkey long, l_linenumber int, day string, l_quantity double")
+    df.selectExpr("l_suppkey", "l_linenumber", "cast(day AS timestamp_ntz) AS l_shipdate", "l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.l_suppkey, r.frame, r.v) for r in QUERIES["filled_ship_days"](spark, str(tmp_path)).collect())
+    assert got == [(s, 19724, s + 0.5) for s in (1, 2, 3)]
+    spark.createDataFrame([(k, k, 500.0 + 1000 * k) for k in range(8)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, k % 9, 600.0) for k in range(18)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_custkey: r.match for r in QUERIES["supplier_with_fallback"](spark, str(tmp_path)).collect()}
+    assert got == {k: k % 9 if k % 9 < 8 else None for k in range(18)}
