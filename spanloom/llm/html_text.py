@@ -8,6 +8,8 @@ hold content; what is navigation, advertising, forms and the like by tag, role,
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import cached_property
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +39,20 @@ BAD_WORDS = frozenset(
 LAYOUT_WORDS = frozenset("nav navbar navigation menu sidebar footer banner promo share sharing social toolbar topbar search ads".split())
 #: Before such a word: the page says that it has, or lacks, such a part; it isn't one.
 PARTICLES = frozenset("no not has have with without".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORD = re.compile(r"[a-z0-9]+")
+LOWER_ASCII = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "score", "bad", "layout")
+    __slots__ = ("tag", "attrs", "parent", "kids", "score", "bad", "layout", "holds", "length", "linked")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids, self.score = tag, attrs, parent, [], 0.0
+        self.holds, self.length, self.linked = False, 0, 0  # whether an article is inside; characters of text, and of links
         words = marks(attrs) if attrs and tag not in ("html", "body") else frozenset()
         self.bad = tag in DROPPED or bool(words)
         self.layout = tag not in DROPPED and bool(words) and words <= LAYOUT_WORDS
@@ -66,59 +71,157 @@ def marks(attrs: str) -> set[str]:
     return found
 
 
+class Markup:
+    """What a page holds, piece by piece, each character looked at a bounded number of times: closing quotes and ends
+    that are not there are sought once only."""
+
+    def __init__(self, html: str):
+        self.html, self.absent = html, {}
+
+    def find(self, what: str, at: int) -> int:
+        """Like str.find, at places that never fall; -1 is remembered."""
+        if what in self.absent:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.absent[what] = True
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at ``at``: none within quotes counts. -1: none."""
+        while (m := QUOTE_OR_END.search(self.html, at)) is not None:
+            if m[0] == ">":
+                return m.start()
+            closing = self.find(m[0], m.end())
+            if closing < 0:
+                return -1
+            at = closing + 1
+        return -1
+
+    def __iter__(self):
+        """(start, end, closing, name, rest of the tag) of each tag; for comments and the like name is None and rest what
+        they show. A < that begins none of these is text."""
+        html, at, size = self.html, 0, len(self.html)
+        no_end = False  # no tag that starts from here on is ended
+        while (start := html.find("<", at)) >= 0:
+            at = start + 1
+            nxt = html[at : at + 1]
+            if html.startswith("!--", at):
+                end = self.find("-->", start + 4)
+                at = end + 3 if end >= 0 else size
+                yield start, at, False, None, ""
+            elif html.startswith("![CDATA[", at):
+                end = self.find("]]>", start + 9)
+                at = end + 3 if end >= 0 else size
+                yield start, at, False, None, html[start + 9 : end if end >= 0 else size]
+            elif nxt == "!" or nxt == "?":
+                end = self.find(">", at)
+                if end >= 0:
+                    at = end + 1
+                    yield start, at, False, None, ""
+            elif not no_end and (m := NAME.match(html, at + (nxt == "/"))) is not None:
+                end = self.tag_end(m.end())
+                if end < 0:
+                    no_end = self.find(">", m.end()) < 0
+                    if not no_end:  # an open quote: the tag ends at the next > all the same
+                        end = html.find(">", m.end())
+                    else:
+                        continue
+                at = end + 1
+                self.resume = at
+                yield start, at, nxt == "/", m[0].lower(), html[m.end() : end]
+                at = self.resume
+
+    def after_raw(self, tag: str, at: int) -> int:
+        """The place after the end tag of an element that holds no markup; the page's end where it has none."""
+        lower = self.lower
+        key = f"</{tag}"
+        while key not in self.absent:
+            found = lower.find(key, at)
+            if found < 0:
+                self.absent[key] = True
+                break
+            after = found + len(key)
+            if after < len(lower) and (lower[after] in "/>" or lower[after].isspace()):
+                end = self.find(">", after)
+                return end + 1 if end >= 0 else len(lower)
+            at = after
+        return len(lower)
+
+    @cached_property
+    def lower(self) -> str:
+        """The page in lower case, letter for letter."""
+        low = self.html.lower()
+        return low if len(low) == len(self.html) else self.html.translate(LOWER_ASCII)
+
+
 def parse(html: str) -> Node:
     """A tree of elements and strings. Wrong nesting is mended the way browsers do for blocks: an end tag closes down to
-    its element or is ignored, block starts end an open paragraph, items end the item before."""
+    its element or is ignored, block starts end an open paragraph, items end the item before.
+
+    ``open_`` counts the elements from the root to here by tag, so nothing is sought that isn't there.
+    """
     root = here = Node("html", "", None)
-    at, size = 0, len(html)
-    for m in iter(lambda: TOKEN.search(html, at), None):
-        if m.start() > at:
-            here.kids.append(unescape(html[at : m.start()]))
-        at = m.end()
-        tag = m[2]
+    open_: Counter[str] = Counter()
+    markup, last_end = Markup(html), 0
+
+    def close(to: Node) -> Node:
+        """Leaves the elements below ``to``."""
+        up = here
+        while up is not to:
+            open_[up.tag] -= 1
+            up = up.parent
+        return to
+
+    for start, end, closing, tag, rest in markup:
+        if start > last_end:
+            here.kids.append(unescape(html[last_end:start]))
+        last_end = end
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                here.kids.append(m[0][9:].removesuffix("]]>"))
+            if rest:
+                here.kids.append(rest)
             continue
-        tag = tag.lower()
-        if m[1]:
-            up = here
-            while up is not root and up.tag != tag and not (tag not in BLOCKS and up.tag in BLOCKS):
-                up = up.parent
-            if up is not root and up.tag == tag:
-                here = up.parent
+        if closing:
+            if open_[tag] > 0:
+                up = here
+                while up is not root and up.tag != tag and not (tag not in BLOCKS and up.tag in BLOCKS):
+                    up = up.parent
+                if up is not root and up.tag == tag:
+                    here = close(up.parent)
             continue
         if tag in ("html", "body", "head") and tag == here.tag:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"] > 0:
             up = here
             while up is not root and up.tag not in ("p", "td", "th", "li", "div", "article", "section", "body"):
                 up = up.parent
             if up.tag == "p":
-                here = up.parent
+                here = close(up.parent)
         if tag in SIBLINGS:
             group, bound = SIBLINGS[tag]
-            up, last = here, None
-            while up is not root and up.tag not in bound:
-                last = up if up.tag in group else last
-                up = up.parent
-            here = last.parent if last is not None else here
+            if any(open_[x] > 0 for x in group):
+                up, last = here, None
+                while up is not root and up.tag not in bound:
+                    last = up if up.tag in group else last
+                    up = up.parent
+                here = close(last.parent) if last is not None else here
         if tag == "body":
-            here = root
-        node = Node(tag, m[3], here)
+            here = close(root)
+        node = Node(tag, rest, here)
         here.kids.append(node)
         if tag in CONTENT and not node.bad:
             up = here
-            while up is not None:
+            while up is not None and not up.holds:
+                up.holds = True
                 up.bad = up.bad and not up.layout
                 up = up.parent
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
+            markup.resume = last_end = markup.after_raw(tag, end)
+        elif tag not in VOID and not rest.endswith("/"):
             here = node
-    if at < size:
-        here.kids.append(unescape(html[at:]))
+            open_[tag] += 1
+    if last_end < len(html):
+        here.kids.append(unescape(html[last_end:]))
     return root
 
 
@@ -161,54 +264,63 @@ def blocks(node: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
-def is_page_header(node: Node) -> bool:
-    """A header that is not that of an article or section."""
-    up = node.parent
-    while up is not None:
-        if up.tag in ("article", "section", "main"):
-            return False
-        up = up.parent
-    return True
+def in_order(root: Node) -> list[Node]:
+    """The elements below root and root itself, each before those inside it."""
+    out, at = [root], 0
+    while at < len(out):
+        out += [k for k in out[at].kids if not isinstance(k, str)]
+        at += 1
+    return out
 
 
-def drop_headers(node: Node) -> None:
-    stack = [node]
-    while stack:
-        at = stack.pop()
-        for kid in at.kids:
-            if not isinstance(kid, str):
-                if kid.tag == "header" and is_page_header(kid):
-                    kid.bad = True
-                stack.append(kid)
+def drop_headers(nodes: list[Node]) -> None:
+    """Headers that are not those of an article, section or main element are no content."""
+    inside: set[int] = set()
+    for n in nodes:
+        if id(n.parent) in inside or n.tag in ("article", "section", "main"):
+            inside.add(id(n))
+        if n.tag == "header" and id(n.parent) not in inside:
+            n.bad = True
+
+
+def points(owner: Node, text: str, linked: int) -> float:
+    """Of a block: for its length and commas, less the share of link text. Headings earn none."""
+    return 0.0 if owner.tag in HEADINGS else (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - linked / len(text))
+
+
+def weigh(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
+    """Sets score, length and linked of all elements. A block's points go in full to its parent (a div keeps its own), half
+    to the one above, and from there on two thirds of what the one below got."""
+    first: dict[int, float] = {}  # points that arrive in full
+    rest: dict[int, float] = {}  # and those that have been passed on
+    for owner, text, linked in found:
+        to = owner if owner.tag == "div" or owner.parent is None else owner.parent
+        first[id(to)] = first.get(id(to), 0.0) + points(owner, text, linked)
+        owner.length += len(text)
+        owner.linked += linked
+    for n in reversed(nodes):
+        full, shared = first.get(id(n), 0.0), rest.get(id(n), 0.0)
+        n.score = full + shared
+        if (up := n.parent) is not None:
+            rest[id(up)] = rest.get(id(up), 0.0) + full / 2 + shared * 2 / 3
+            up.length += n.length
+            up.linked += n.linked
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks in page order, joined by an empty line; empty for null, empty and textless pages."""
+    """The article's blocks in page order, joined by an empty line; empty for null, empty and textless pages. Takes time
+    in proportion to the page's length, however deep or wrong its markup."""
     if not html:
         return ""
     root = parse(html)
-    drop_headers(root)
+    nodes = in_order(root)
+    drop_headers(nodes)
     found = blocks(root)
     if not found:
         return ""
-    scored: dict[int, Node] = {}
-    lengths: dict[int, int] = {}
-    links: dict[int, int] = {}
-    for owner, text, linked in found:
-        points = 0.0 if owner.tag in HEADINGS else (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - linked / len(text))
-        share, up = 1.0, owner if owner.tag == "div" or owner.parent is None else owner.parent
-        while up is not None:
-            up.score += points * share
-            scored[id(up)] = up
-            share = 0.5 if share == 1.0 else share * 2 / 3
-            up = up.parent
-        up = owner
-        while up is not None:
-            lengths[id(up)] = lengths.get(id(up), 0) + len(text)
-            links[id(up)] = links.get(id(up), 0) + linked
-            up = up.parent
-    density = lambda n: links.get(id(n), 0) / max(1, lengths.get(id(n), 0))
-    best = max(scored.values(), key=lambda n: n.score * (1 - density(n)))
+    weigh(nodes, found)
+    density = lambda n: n.linked / max(1, n.length)
+    best = max((n for n in nodes if n.length or n is root), key=lambda n: n.score * (1 - density(n)))
     up = best
     while up is not None:  # an article or main element around the best container is what its author calls the content
         if up.tag in CONTENT:
@@ -219,20 +331,12 @@ def main_text(html: str | None) -> str:
     kept = [best]
     least = max(1.0, 0.2 * best.score)
     for kid in best.parent.kids:
-        if not isinstance(kid, str) and kid is not best and not kid.bad and id(kid) in lengths and density(kid) < 0.3:
-            own = kid.score
-            long_paragraph = kid.tag == "p" and lengths[id(kid)] >= 80
-            if own >= least or long_paragraph or best.tag not in CONTENT and kid.tag in HEADINGS:
+        if not isinstance(kid, str) and kid is not best and not kid.bad and kid.length and density(kid) < 0.3:
+            long_paragraph = kid.tag == "p" and kid.length >= 80
+            if kid.score >= least or long_paragraph or best.tag not in CONTENT and kid.tag in HEADINGS:
                 kept.append(kid)
-    inside = {id(n) for n in kept}
-    out = []
-    for owner, text, _ in found:
-        up = owner
-        while up is not None and id(up) not in inside:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n\n".join(out)
+    inside = {id(n) for k in kept for n in in_order(k)}
+    return "\n\n".join(text for owner, text, _ in found if id(owner) in inside)
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
