@@ -12,28 +12,35 @@ precedes p, p) is left alone by the merges. That gives the same pieces as mergin
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterable
 from functools import cached_property
-from itertools import pairwise
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import load, with_columns_from
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]*")
-UNKNOWN = -1
+#: Bounds of what a Python worker remembers: pairs of pieces, bytes of words' ids, and characters of such a word.
+PAIRS = 150_000
+WORD_BYTES = 64 << 20
+LONGEST = 64
+OVERHEAD = 200  # bytes of a remembered word besides its ids
+#: What the unknown id decodes to, as the library has it.
+UNKNOWN_TEXT = " \u2047 "
 
 
 class Vocabulary:
     """Pieces of one model. ``kind``: 'bpe' (a higher score merges first) or 'unigram' (scores are log-probabilities)."""
 
-    def __init__(self, scores: dict[str, float], ids: dict[str, int], kind: str, bytes_from: int | None = None, unknown: int = 0, dummy_prefix: bool = True):
+    def __init__(self, scores: dict[str, float], ids: dict[str, int], kind: str, bytes_from: int | None = None, unknown: int = 0, dummy_prefix: bool = True, silent: Iterable[int] = ()):
         self.scores, self.ids, self.kind, self.unknown, self.dummy_prefix = scores, ids, kind, unknown, dummy_prefix
         self.bytes_from = bytes_from  # the id of byte 0, where unknown characters fall back to bytes
         self.longest = max(map(len, scores), default=1)
@@ -41,26 +48,60 @@ class Vocabulary:
         self.spelt = {i: p.replace(MARK, " ").encode("utf-8") for p, i in ids.items()}
         if bytes_from is not None:
             self.spelt |= {bytes_from + b: bytes([b]) for b in range(256)}
+        self.spelt |= dict.fromkeys(silent, b"")  # control ids stand for no text
+        self.spelt.setdefault(unknown, UNKNOWN_TEXT.encode())
         self.worst = min(scores.values(), default=0.0) - 10.0
 
     def merged(self, word: str) -> list[str]:
-        """The pieces that merging adjacent symbols leaves, best score first, leftmost first among equals."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k, (a, b) in enumerate(pairwise(parts)):
-                s = self.scores.get(a + b)
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The pieces that merging adjacent symbols leaves, best score first, leftmost first among equals.
+
+        A heap of pairs over a linked list, so n characters take n log n steps. An entry counts only while both its
+        symbols are as they were: a symbol that is merged into the one before it has length 0.
+        """
+        n, score = len(word), self.scores.get
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-s, k, 2) for k in range(n - 1) if (s := score(word[k : k + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, k, long = heappop(heap)
+            right = after[k]
+            if not size[k] or right >= n or size[k] + size[right] != long:
+                continue
+            size[k], size[right] = long, 0
+            after[k] = after[right]
+            if after[k] < n:
+                before[after[k]] = k
+                both = long + size[after[k]]
+                if both <= self.longest and (s := score(word[k : k + both])) is not None:
+                    heappush(heap, (-s, k, both))
+            left = before[k]
+            if left >= 0:
+                both = size[left] + long
+                if both <= self.longest and (s := score(word[left : left + both])) is not None:
+                    heappush(heap, (-s, left, both))
+        out, k = [], 0
+        while k < n:
+            out.append(word[k : k + size[k]])
+            k = after[k]
+        return out
+
+    @cached_property
+    def run(self) -> int:
+        """How many marks a piece of a long run of marks has, where all such pieces but the last ones are equal; else 0."""
+        parts = self.merged(MARK * 256)
+        return len(parts[0]) if set(parts) == {parts[0]} else 0
+
+    def merged_run(self, word: str) -> list[str]:
+        """``merged`` of a word that begins with a run of marks. Equal pairs merge from the left, so what stands at the
+        run's end has no say in the pieces well before it: these need no heap."""
+        marks = len(word) - len(word.lstrip(MARK))
+        spare = (marks - 2 * self.run) // self.run if self.run and marks > 4 * self.run else 0
+        return [MARK * self.run] * spare + self.merged(word[spare * self.run :])
 
     def stays(self, a: str, b: str) -> bool:
         """Whether merging the text of two adjacent pieces gives just these two."""
         if (a, b) not in self.alone:
-            if len(self.alone) > 400_000:
+            if len(self.alone) > PAIRS:
                 self.alone.clear()
             self.alone[a, b] = self.merged(a + b) == [a, b]
         return self.alone[a, b]
@@ -100,7 +141,7 @@ def forward(v: Vocabulary, words: list[str]) -> dict[str, list[str]]:
     find, kept = (None if unigram else v.finder.iter), v.alone.get
     for word in sorted(words):
         if not unigram and word.startswith(MARK * 2):  # equal scores of mark runs: ties are settled by place, not by prefix
-            out[word] = v.merged(word)
+            out[word] = v.merged_run(word)
             continue
         shared = 0
         for a, b in zip(before, word, strict=False):
@@ -141,26 +182,42 @@ def marked(v: Vocabulary, text: str) -> list[str]:
     return [w for w in WORD.findall((MARK if v.dummy_prefix else "") + text.replace(" ", MARK)) if w]
 
 
-def encoder(v: Vocabulary, most: int = 400_000) -> Callable[[list[str]], list[bytes]]:
-    """Encodes batches of texts to ids (little-endian 32-bit). Words met before are remembered, up to ``most``."""
+def encoder(v: Vocabulary, most_bytes: int = WORD_BYTES) -> Callable[[list[str]], list[bytes]]:
+    """Encodes batches of texts to ids (little-endian 32-bit). Short words met before are remembered, all forgotten
+    when they take ``most_bytes``."""
     known: dict[str, bytes] = {}
+    size = 0
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal size
         cut = [marked(v, t) for t in texts]
-        new = {w for ws in cut for w in ws if w not in known}
-        if len(known) + len(new) > most:
+        if size > most_bytes:
             known.clear()
-            new = {w for ws in cut for w in ws}
-        for word, parts in forward(v, list(new)).items():
-            known[word] = np.array(v.ids_of(parts), "<i4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
+            size = 0
+        new = {w for ws in cut for w in ws if w not in known}
+        found = {word: np.array(v.ids_of(parts), "<i4").tobytes() for word, parts in forward(v, list(new)).items()}
+        kept = {w: ids for w, ids in found.items() if len(w) <= LONGEST}
+        known.update(kept)
+        size += sum(map(len, kept.values())) + OVERHEAD * len(kept)
+        if len(kept) == len(found):
+            return [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        return [b"".join([known[w] if w in known else found[w] for w in ws]) for ws in cut]
 
     return encode
 
 
 def decode(v: Vocabulary, ids: Iterable[int]) -> str:
-    """The text of ids: bytes join into characters, marks become spaces, the one in front goes."""
-    text = b"".join(map(v.spelt.__getitem__, ids)).decode("utf-8", "surrogatepass")
+    """The text of ids: bytes join into characters, marks become spaces, the one in front goes.
+
+    Control ids stand for no text, the unknown id and numbers that are no id for UNKNOWN_TEXT, bytes that make no
+    character (a sequence that was cut) for U+FFFD.
+    """
+    ids = list(ids)
+    try:
+        found = b"".join(map(v.spelt.__getitem__, ids))
+    except KeyError:
+        found = b"".join(v.spelt.get(i, UNKNOWN_TEXT.encode()) for i in ids)
+    text = found.decode("utf-8", "replace")
     return text[1:] if v.dummy_prefix and text.startswith(" ") else text
 
 
@@ -177,12 +234,12 @@ def vocabulary(path: str) -> Vocabulary:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         model = proto.ModelProto.FromString(p.serialized_model_proto())
         kind = "bpe" if model.trainer_spec.model_type == proto.TrainerSpec.BPE else "unigram"
-        ids, scores = {}, {}
+        ids, scores, silent = {}, {}, [i for i in range(p.vocab_size()) if p.is_control(i) or p.is_unused(i)]
         for i in range(p.vocab_size()):
             if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i)):
                 ids[p.id_to_piece(i)], scores[p.id_to_piece(i)] = i, p.get_score(i)
         first = p.piece_to_id("<0x00>")
-        _open[path] = Vocabulary(scores, ids, kind, first if p.is_byte(first) else None, p.unk_id(), model.normalizer_spec.add_dummy_prefix)
+        _open[path] = Vocabulary(scores, ids, kind, first if p.is_byte(first) else None, p.unk_id(), model.normalizer_spec.add_dummy_prefix, silent)
     return _open[path]
 
 
@@ -192,18 +249,22 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def encode_here(file: str) -> Callable[[list[str]], list[bytes]]:
+    """This worker's encoder for a model's file."""
+    if file not in _encoders:
+        _encoders[file] = encoder(vocabulary(file))
+    return _encoders[file]
+
+
 def encode_column(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """df with ``ids``, the little-endian 32-bit ids of the whole text. Null stays null, an empty text has none."""
     file = path or default_model()
 
     def make():
-        if file not in _encoders:
-            _encoders[file] = encoder(vocabulary(file))
-        encode = _encoders[file]
+        encode = encode_here(file)
 
         def work(texts):
-            some = encode([t for t in texts if t is not None])
-            it = iter(some)
+            it = iter(encode([t for t in texts if t is not None]))
             return [[None if t is None else next(it) for t in texts]]
 
         return work
@@ -222,15 +283,40 @@ def decode_column(df: DataFrame, ids: str = "ids", text: str = "decoded", path:
     return with_columns_from(df, [ids], T.StructType([T.StructField(text, T.StringType())]), make)
 
 
-def summary(df: DataFrame, ids: str = "ids") -> DataFrame:
-    """df with n_pieces and ids_crc32 (unsigned) of ids; nulls give 0 and null."""
-    n = F.coalesce(F.octet_length(ids) / 4, F.lit(0)).cast("long")
-    return df.withColumns({"n_pieces": n, "ids_crc32": F.crc32(ids)})
+CODED = (
+    T.StructType().add("n_pieces", T.LongType()).add("ids_crc32", T.LongType()).add("decoded_chars", T.LongType()).add("decoded_sha256", T.StringType()).add("round_trip", T.BooleanType())
+)
+
+
+def round_trips(df: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """df with what encoding and decoding again give, ids and texts staying in the task: n_pieces, ids_crc32 (unsigned),
+    decoded_chars, decoded_sha256 and round_trip (the decoded text is the text).
+
+    A null text has 0 pieces, the others null, and counts as round trip; an empty one has 0 pieces and the digests of
+    nothing. Columns with these names are replaced; ``keep`` names those that are wanted later.
+    """
+    file = path or default_model()
+
+    def make():
+        encode, v = encode_here(file), vocabulary(file)
+
+        def one(t: str | None, ids: bytes) -> tuple:
+            if t is None:
+                return 0, None, None, None, True
+            back = decode(v, np.frombuffer(ids, "<i4").tolist())
+            return len(ids) // 4, zlib.crc32(ids), len(back), hashlib.sha256(back.encode()).hexdigest(), back == t
+
+        def work(texts):
+            it = iter(encode([t for t in texts if t is not None]))
+            got = [one(t, b"" if t is None else next(it)) for t in texts]
+            return [list(c) for c in zip(*got, strict=True)] if got else [[] for _ in CODED]
+
+        return work
+
+    return with_columns_from(df, [text], CODED, make, keep=keep)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, decoded_chars, decoded_sha256 (of the text decoded from the ids) and round_trip of all documents."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.sha2("text", 256).alias("sha"), "text")
-    coded = summary(encode_column(docs).select("doc_id", "n", "sha", "ids"))
-    back = decode_column(coded)
-    return back.select("doc_id", "n_pieces", "ids_crc32", F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("decoded", 256).eqNullSafe(F.col("sha")).alias("round_trip"))
+    """doc_id, n_pieces, ids_crc32, decoded_chars, decoded_sha256 (of the text decoded from the ids) and round_trip of all
+    documents; null texts as in round_trips."""
+    return round_trips(load(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
