@@ -106,9 +106,10 @@ def assemble(parts: list[tuple[list[int], bool]]) -> tuple[np.ndarray, np.ndarra
 def format_turns(rows: DataFrame, vocabulary: str | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, turn, place (of the turn in its conversation, from 0), token_offset, ids, loss_mask: a row per turn.
 
-    Turns stand in order of turn, then role, then text; nulls first, so repeated rows stay and ties are settled. Null
-    conv_ids make one conversation. Turns are encoded where they lie; only then rows of a conversation come together,
-    and they pass through one after the other: offsets are running sums, no conversation is held whole.
+    Turns stand in order of turn (null first), then role, then text (null as empty, by UTF-8 bytes), so repeated rows
+    stay and ties are settled. Null conv_ids make one conversation, in one task like any other. Turns are encoded where
+    they lie; only then rows of a conversation come together, with their texts for the order, and they pass through one
+    after the other: offsets are running sums, no conversation is held whole.
     """
     path = vocabulary or default_vocabulary()
     reachable(rows.sparkSession)
@@ -120,8 +121,8 @@ def format_turns(rows: DataFrame, vocabulary: str | None = None, conv_id: str =
         for b in slices(batches, 512):
             got = [assemble(segments(c, r, t)) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("conv_id"), b.column("turn"), b.column("role"), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([m for _, m in got], pa.list_(pa.int8()))],
-                names=["conv_id", "turn", "role", "ids", "loss_mask"],
+                [*(b.column(c) for c in ("conv_id", "turn", "role", "text")), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([m for _, m in got], pa.list_(pa.int8()))],
+                names=["conv_id", "turn", "role", "text", "ids", "loss_mask"],
             )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +137,9 @@ def format_turns(rows: DataFrame, vocabulary: str | None = None, conv_id: str =
                 n, offset = n + 1, offset + size
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(places, pa.int64()), pa.array(offsets, pa.int64()), b.column("ids"), b.column("loss_mask")], names=["conv_id", "turn", "place", "token_offset", "ids", "loss_mask"])
 
-    plain = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    encoded = plain.mapInArrow(encode, f"conv_id {key}, turn {turns}, role string, ids array<int>, loss_mask array<tinyint>")
-    together = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    plain = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))))
+    encoded = plain.mapInArrow(encode, f"conv_id {key}, turn {turns}, role string, text string, ids array<int>, loss_mask array<tinyint>")
+    together = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "ids", "loss_mask")
     return together.mapInArrow(place, f"conv_id {key}, turn {turns}, place bigint, token_offset bigint, ids array<int>, loss_mask array<tinyint>")
 
 
