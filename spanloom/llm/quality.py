@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, load
+from .common import free_name, let, load
 
 # Fixed values.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -102,12 +102,12 @@ def word_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, SPACE, "")).cast("long")
 
 
-def judged(df: DataFrame, text: str = "text", rules: Rules | None = None) -> DataFrame:
+def judged(df: DataFrame, text: str = "text", rules: Rules | None = None, prefix: str = "") -> DataFrame:
     """df with the base counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), base_failed, clean_text
-    (the text without failing and boilerplate lines), lost_chars (word characters of the failing ones) and kept.
+    (the text without the lines that fail a rule of any kind), lost_chars (word characters of these lines) and kept.
 
-    Boilerplate goes from a text without counting against it, unless nothing else is there. A null text counts as
-    empty, fails the base and stays null in clean_text. Columns with these names are replaced.
+    A null text counts as empty, fails the base and stays null in clean_text. ``prefix`` goes before these names; columns
+    that have them are replaced, all others stay.
     """
     rules = rules or Rules()
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -116,31 +116,32 @@ def judged(df: DataFrame, text: str = "text", rules: Rules | None = None) -> Dat
     counts = let(words_of(F.col(text)), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), n_repeat_words(ws).alias("n_repeat_words")))
 
     def weigh(ls: Column) -> Column:
-        sums = F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["chars"]).otherwise(0))
-        left = F.filter(ls, lambda x: ~x["fails"] & ~x["boilerplate"])
-        return F.struct(sums.alias("lost"), F.array_join(F.transform(left, lambda x: x["text"]), "\n").alias("clean"), F.exists(left, lambda x: x["chars"] > 0).alias("some"))
-
-    out = df.withColumns(
-        {
-            "__words": counts,
-            "__lines": let(F.transform(lines, lambda x: line_verdict(x, rules)), weigh),
-            "word_chars": word_chars(whole),
-            "n_symbols": n_symbols(whole).cast("long"),
-            "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        }
-    )
+        gone = lambda x: x["fails"] | x["boilerplate"]
+        lost = F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.when(gone(x), x["chars"]).otherwise(0))
+        left = F.filter(ls, lambda x: ~gone(x))
+        return F.struct(lost.alias("lost"), F.array_join(F.transform(left, lambda x: x["text"]), "\n").alias("clean"), F.exists(left, lambda x: x["chars"] > 0).alias("some"))
+
+    words, judged_lines = free_name(df, "__words"), free_name(df, "__lines")
+    name = lambda c: prefix + c
+    out = df.withColumns({words: counts, judged_lines: let(F.transform(lines, lambda x: line_verdict(x, rules)), weigh)})
+    n_words, n_repeats, lost, chars = (F.col(words)["n_words"], F.col(words)["n_repeat_words"], F.col(judged_lines)["lost"], word_chars(whole))
+    failed = (n_words < 10) | (100 * n_repeats > 20 * n_words)
+    kept = ~failed & F.col(judged_lines)["some"] & (lost <= rules.most_lost * chars)
+    clean = F.when(F.col(text).isNotNull(), F.col(judged_lines)["clean"])
     out = out.withColumns(
         {
-            "n_words": F.col("__words.n_words"),
-            "n_repeat_words": F.col("__words.n_repeat_words"),
-            "clean_text": F.when(F.col(text).isNotNull(), F.col("__lines.clean")),
-            "lost_chars": F.col("__lines.lost"),
-            "__some": F.col("__lines.some"),
+            name("n_words"): n_words,
+            name("word_chars"): chars,
+            name("n_symbols"): n_symbols(whole).cast("long"),
+            name("n_dup_lines"): let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+            name("n_repeat_words"): n_repeats,
+            name("clean_text"): clean,
+            name("lost_chars"): lost,
+            name("base_failed"): failed,
+            name("kept"): kept,
         }
     )
-    out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    kept = ~F.col("base_failed") & F.col("__some") & (F.col("lost_chars") <= rules.most_lost * F.col("word_chars"))
-    return out.withColumn("kept", kept).drop("__words", "__lines", "__some")
+    return out.drop(words, judged_lines)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,5 +152,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go; of the others the failing lines go, and n_chars follows."""
-    kept = judged(docs).where("kept")
-    return kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    prefix = "__judged_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    kept = judged(docs, prefix=prefix).where(F.col(f"{prefix}kept"))
+    return kept.withColumn("text", F.col(f"{prefix}clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -17,13 +17,14 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, stored, with_columns_from
+from .common import Scratch, free_name, load, stored, with_columns_from
 from .components import components
-from .jaccard import LOWER, near_copies
+from .embedding import LOWER, close, embedding
+from .jaccard import near_copies
 
 SHINGLE = 3
 DISTANCE = 2
@@ -46,20 +47,14 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = 42) -> int:
     return int(np.packbits(total > half, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with ``fp``, the signed fingerprint of column ``text``; a column of that name is replaced."""
+def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (of its other columns those in ``keep``, or all) with ``fp``, the signed fingerprint of column ``text``; a column
+    of that name is replaced."""
 
     def make():
         return lambda texts: [[fingerprint(x) for x in texts]]
 
-    return with_columns_from(df, [text], T.StructType([T.StructField("fp", T.LongType())]), make)
-
-
-def embedding(fp: Column) -> Column:
-    """32 two-bit fields, each the popcount (0 to 2) of the two bits there."""
-    low, other = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
-    one, two = fp.bitwiseXOR(other).bitwiseAND(low), fp.bitwiseAND(other).bitwiseAND(low)
-    return one.bitwiseOR(F.shiftleft(two, 1))
+    return with_columns_from(df, [text], T.StructType([T.StructField("fp", T.LongType())]), make, keep=keep)
 
 
 def grids(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -70,24 +65,25 @@ def grids(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in whole]
 
 
-def links(distinct_fps: DataFrame, most: int = CELL) -> DataFrame:
+def links(distinct_fps: DataFrame, hold: Scratch, most: int = CELL) -> DataFrame:
     """Pairs (a, b) of fingerprints with the same components as the graph of all pairs at distance DISTANCE or less.
 
-    ``distinct_fps`` has one column ``fp`` without nulls or repeats, and is read several times.
+    ``distinct_fps`` has one column ``fp`` without nulls or repeats, and is read several times. The pairs rest on tables
+    in ``hold``.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in grids()])
     cells = distinct_fps.select("fp", F.posexplode(masks).alias("grid", "mask")).select("fp", "grid", embedding(F.col("fp")).bitwiseAND(F.col("mask")).alias("cell"))
-    shared = stored(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"))
-    placed = stored(cells.join(shared, ["grid", "cell"]))
+    shared = hold(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"))
+    placed = hold(cells.join(shared, ["grid", "cell"]))
     paired = placed.where(F.col("n") <= most)
     left, right = (paired.select("grid", "cell", F.col("fp").alias(x)) for x in "ab")
-    close = left.join(right, ["grid", "cell"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
+    near = left.join(right, ["grid", "cell"]).where((F.col("a") < F.col("b")) & close("a", "b", DISTANCE)).select("a", "b")
     crowded = placed.where(F.col("n") > most).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
-    around = stored(crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word")))
+    around = hold(crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word")))
     hubs = around.groupBy("word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("word", "b")
     starred = around.join(hubs, "word").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return close.unionByName(starred).distinct()
+    return near.unionByName(starred).distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,12 +94,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     own. Null and empty texts have fingerprint zero and link like any other.
     """
     plain = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy"))
-    rows = stored(fingerprints(plain).select("doc_id", "copy", "fp"))
-    known = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(known.select("fp")))
-    joined = stored(known.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = stored(joined.join(smallest.hint("rebalance"), "root").select("fp", "root", "component_id"))
+    rows = stored(fingerprints(plain, keep=["doc_id", "copy"]))
+    with Scratch() as hold:
+        known = hold(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        roots = components(links(known.select("fp"), hold))
+        joined = hold(known.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+        smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+        groups = stored(joined.join(smallest.hint("rebalance"), "root").select("fp", "root", "component_id"))
     return rows.join(groups, "fp").select("doc_id", "copy", "fp", "root", "component_id")
 
 
@@ -117,12 +114,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near copies (five-word Jaccard of 0.8 or more, see jaccard) stays,
     that with the least id (ids before null; then by text hash).
 
-    A row that repeats it exactly goes like any other member of the group.
+    A row that repeats it goes like any other member of the group: of rows with its id and text, the first by all columns
+    as JSON stays.
     """
     per_copy = near_copies(docs).groupBy("root", "doc_id", "copy").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy", "n")).alias("first")
-    kept = stored(per_copy.groupBy("root").agg(first).select(*(F.col(f"first.{c}").alias(f"__{c}") for c in ("doc_id", "copy", "n"))))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__copy"))
-    alone = docs.join(kept.where("__n = 1"), same, "left_semi")
-    repeated = docs.join(kept.where("__n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return alone.unionByName(repeated.select(*docs.columns))
+    own, copy, n = (free_name(docs, c) for c in ("__doc_id", "__copy", "__n"))
+    kept = stored(per_copy.groupBy("root").agg(first).select(F.col("first.doc_id").alias(own), F.col("first.copy").alias(copy), F.col("first.n").alias(n)))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(copy))
+    alone = docs.join(kept.where(F.col(n) == 1), same, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = docs.join(kept.where(F.col(n) > 1), same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(copy)).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return alone.unionByName(repeated.select("row.*"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanloom.sources.tables import reachable
 
-from .common import load, shared_dir, slices, stored
+from .common import at_exit, load, shared_dir, slices, stored
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST_REVISIT = 100
@@ -257,7 +257,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pages = load(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    found = read_archives(archive(pages, shared_dir(spark)))
+    found = read_archives(archive(pages, at_exit(spark, shared_dir(spark))))
     own = F.col("payload").isNotNull()
     number = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
     return found.select(
