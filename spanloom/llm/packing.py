@@ -1,10 +1,10 @@
 """Best-fit packing of documents into token sequences by bin completion.
 
 Only the *number* of pieces of each length matters to a packing, so the search runs on a histogram with at most
-``capacity`` entries, whatever the input holds. ``complete`` fills one bin at a time around the largest piece left:
+``capacity`` entries, whatever the input holds. ``search`` fills one bin at a time around the largest piece left:
 it enumerates the undominated fillings of the rest, takes the one with least waste as often as the histogram allows, and
 goes back to the other fillings and to fewer bins of them where the waste rules out a better packing. A best-fit packing
-of the same histogram is the first incumbent: where it meets the volume bound it is returned as it is.
+of the same histogram is the first incumbent: where it meets the lower bound it is returned as it is.
 
 Pieces are then matched with places: each gets its rank among the pieces of its length (a per-task rank plus an offset
 per task and length), and the place table says where pieces of that length and rank go. Token ids never cross a shuffle.
@@ -16,6 +16,8 @@ import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.sources.tables import reachable
+
 from .common import load, slices, stored
 from .wordpiece_cache import ids_of
 
 CAPACITY = 2048
+BATCH = 400  # steps
 Fillings = list[tuple[tuple[int, ...], int]]
 
 
@@ -62,74 +67,127 @@ def _put(groups: dict[int, list[list]], rooms: list[int], room: int, filling: tu
     groups[room].append([filling, bins])
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most_nodes: int) -> Iterator[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``room``, as (length, how many) pairs: none that leaves space for a piece still there.
-    Longest pieces first, and as many as fit first.
+def fillings(counts: dict[int, int], room: int, most_waste: int | None = None) -> Iterator[tuple[int, tuple[tuple[int, int], ...]] | None]:
+    """Undominated fillings of ``room``: (waste, (length, how many) pairs), and a None for every other step of the search.
 
-    Depth-first; ``most_nodes`` bounds the work for one bin, not the pieces considered. All pieces of a length are one
-    step, so the first filling takes a step for each of its lengths, of which a room of 2048 holds 63 at most.
+    Depth-first, longest pieces first and as many as fit first; all pieces of a length are one step. Out are branches
+    that must waste more than ``most_waste``, and dominated leaves: those that leave space for a piece still there, or
+    for a longer one in the place of one of theirs. An exchange of the two pieces shows that nothing is lost by that.
     """
-    nodes = 0
-    lengths = sorted(lengths)
+    lengths = [x for x in sorted(counts) if counts[x] and x <= room]
+    upto_sum = [0, *accumulate(x * counts[x] for x in lengths)]
     stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(room, len(lengths), ())]
-    while stack and nodes < most_nodes:
+    while stack:
         left, upto, chosen = stack.pop()
-        nodes += 1
         end = bisect.bisect_right(lengths, left, 0, upto)
-        if not end:
-            # dominated, if a piece that was passed over still fits
-            used = dict(chosen)
-            if not any(used.get(x, 0) < counts[x] for x in lengths[: bisect.bisect_right(lengths, left)]):
-                yield chosen
+        if most_waste is not None and left - upto_sum[end] > most_waste:
+            yield None
+            continue
+        if end:
+            longest = lengths[end - 1]
+            stack.append((left, end - 1, chosen))  # without it: last
+            stack += [(left - n * longest, end - 1, (*chosen, (longest, n))) for n in range(1, min(left // longest, counts[longest]) + 1)]
+            yield None
             continue
-        longest = lengths[end - 1]
-        stack.append((left, end - 1, chosen))  # without it: last
-        stack += [(left - n * longest, end - 1, (*chosen, (longest, n))) for n in range(1, min(left // longest, counts[longest]) + 1)]
+        used = dict(chosen)
+
+        def free(low: int, high: int) -> bool:
+            """Whether a piece longer than low and up to high is left over."""
+            return any(used.get(x, 0) < counts[x] for x in lengths[bisect.bisect_right(lengths, low) : bisect.bisect_right(lengths, high)])  # noqa: B023
+
+        yield None if free(0, left) or left and any(free(x, x + left) for x in used) else (left, chosen)
+
+
+def least_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A lower bound of the number of bins: pieces over half the capacity need bins of their own, and with those of at
+    least ``small`` the volume that does not fit beside them needs more; the best over all ``small``, 0 included."""
+    lengths = sorted(x for x, n in histogram.items() if n > 0)
+    best = -(-sum(x * histogram[x] for x in lengths) // capacity)
+    for small in [x for x in lengths if 2 * x <= capacity]:
+        alone = sum(histogram[x] for x in lengths if x > capacity - small)
+        half = [x for x in lengths if capacity - small >= x > capacity // 2]
+        halves = sum(histogram[x] for x in half)
+        beside = halves * capacity - sum(x * histogram[x] for x in half)
+        rest = sum(x * histogram[x] for x in lengths if small <= x <= capacity // 2)
+        best = max(best, alone + halves + max(0, -(-(rest - beside) // capacity)))
+    return best
+
+
+@dataclass(frozen=True)
+class Packing:
+    """fillings: (filling, number of bins) pairs; bound: no packing has fewer bins; proven: none has fewer than this one."""
+
+    fillings: Fillings
+    bins: int
+    bound: int
+    proven: bool
 
 
-def complete(histogram: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 400, most_steps: int = 5000) -> Fillings:
-    """A packing of all pieces, as (filling, number of bins) pairs; never more bins than best-fit decreasing.
+def search(histogram: dict[int, int], capacity: int = CAPACITY, most_steps: int | None = 400_000) -> Packing:
+    """A packing of all pieces; never more bins than best-fit decreasing.
 
-    Branch-and-bound: a level fills the bin of the largest piece left, with each undominated filling in turn, those of
-    least waste first, and each from as often as the pieces allow down to once. Where the waste so far shows that no
-    packing better than the best one known can follow, the search goes back to the last level with a choice left.
-    Bound: no packing has fewer bins than the total length over the capacity, rounded up; reaching it ends the search,
-    and so do ``most_steps`` choices, with the best packing found by then.
+    Branch-and-bound: a level fills the bin of the largest piece left, with each undominated filling in turn (in batches
+    of some hundred steps, by waste within a batch), and each from as often as the pieces allow down to once. Where the
+    waste so far shows that no packing better than the best one known can follow, the search goes back to the last level
+    with a choice left. Reaching ``least_bins`` ends it, and so do ``most_steps`` steps, with the best packing found by
+    then; with None it runs until the packing is proven best.
     """
     counts = {k: v for k, v in histogram.items() if v > 0}
     if any(k > capacity or k < 1 for k in counts):
         raise ValueError("lengths must be from 1 to the capacity")
     incumbent = best_fit(counts, capacity)
-    least_bins = sum(b for _, b in incumbent)
+    bins_known = sum(b for _, b in incumbent)
     total = sum(k * v for k, v in counts.items())
-    need = -(-total // capacity)
-
-    def choices() -> Iterator[tuple[int, dict[int, int], int]]:
-        """Waste a bin, pieces by length, and number of bins of each way to fill the next bins."""
-        lengths = [x for x in sorted(counts) if counts[x]]
-        first = lengths[-1]
-        rest = counts | {first: counts[first] - 1}
-        found = [(capacity - first - sum(x * n for x, n in f), f) for f in fillings([x for x in lengths if rest[x]], rest, capacity - first, most_nodes)]
-        for waste, filling in sorted(found, key=lambda x: x[0]):
+    need = least_bins(counts, capacity)
+    taken: list[tuple[int, dict[int, int], int]] = []
+    bins = waste = steps = 0
+
+    def slack() -> int:
+        """Waste that a better packing could still have."""
+        return (bins_known - 1) * capacity - total - waste
+
+    def choices() -> Iterator[tuple[int, dict[int, int], int] | None]:
+        """Waste a bin, pieces by length, and number of bins of each way to fill the next bins; None for a step without one."""
+        first = max(x for x, n in counts.items() if n)
+        found: list = []
+        for k, leaf in enumerate(fillings(counts | {first: counts[first] - 1}, capacity - first, slack())):
+            if leaf is not None:
+                found.append(leaf)
+            if k % BATCH == BATCH - 1 and found:
+                yield from ways(first, found)
+                found = []
+            yield None
+        yield from ways(first, found)
+
+    def ways(first: int, found: list) -> Iterator[tuple[int, dict[int, int], int]]:
+        for spare, filling in sorted(found, key=lambda x: x[0]):
             uses = dict(filling)
             uses[first] = uses.get(first, 0) + 1
-            for times in range(min(counts[x] // n for x, n in uses.items()), 0, -1):
-                yield waste, uses, times
+            most = min(counts[x] // n for x, n in uses.items())
+            for times in range(most, 0, -1):
+                yield spare, uses, times
 
-    levels, taken, bins, waste, steps = [choices()] if counts else [], [], 0, 0, 0
-    while levels and least_bins > need and steps < most_steps:
-        choice = next(levels[-1], None)
-        if choice is None or waste + choice[0] > (least_bins - 1) * capacity - total:  # later ones waste as much or more
+    def undo() -> None:
+        nonlocal bins, waste
+        spare, uses, times = taken.pop()
+        bins, waste = bins - times, waste - spare * times
+        for x, n in uses.items():
+            counts[x] += n * times
+
+    end = object()
+    levels = [choices()] if counts else []
+    while levels and bins_known > need and (most_steps is None or steps < most_steps):
+        steps += 1
+        choice = next(levels[-1], end)
+        if choice is end or slack() < 0:
             levels.pop()
             if taken:
-                spare, uses, times = taken.pop()
-                bins, waste = bins - times, waste - spare * times
-                for x, n in uses.items():
-                    counts[x] += n * times
+                undo()
+            continue
+        if choice is None:
             continue
-        steps += 1
         spare, uses, times = choice
-        if waste + spare * times > (least_bins - 1) * capacity - total:
+        if spare * times > slack():
             continue
         taken.append(choice)
         bins, waste = bins + times, waste + spare * times
@@ -138,73 +196,60 @@ def complete(histogram: dict[int, int], capacity: int = CAPACITY, most_nodes: in
         if any(counts.values()):
             levels.append(choices())
             continue
-        if bins < least_bins:
-            least_bins = bins
+        if bins < bins_known:
+            bins_known = bins
             incumbent = [(tuple(x for x in sorted(u, reverse=True) for _ in range(u[x])), t) for _, u, t in taken]
-        taken.pop()
-        bins, waste = bins - times, waste - spare * times
-        for x, n in uses.items():
-            counts[x] += n * times
-    return incumbent
+        undo()
+    return Packing(incumbent, bins_known, need, bins_known <= need or not levels)
+
+
+def complete(histogram: dict[int, int], capacity: int = CAPACITY, most_steps: int | None = 400_000) -> Fillings:
+    """The fillings of ``search``."""
+    return search(histogram, capacity, most_steps).fillings
 
 
-def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit). A document is its ids and then end_id.
+def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, the task and the rank among the task's pieces of equal
+    length, and, with ``with_ids``, ids (little-endian unsigned 32-bit). A document is its ids and then end_id.
 
     Null text counts as empty: one piece with end_id only. Rows with one id are documents of their own.
     """
     end = int(end_id).to_bytes(4, "little")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"] + ["ids"] * with_ids
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ids_of(vocabulary)
+        seen: dict[int, int] = defaultdict(int)
+        task = TaskContext.get().partitionId()
         for b in slices(batches, 64):
-            keys, row, piece, start, length, ids = b.column("doc_id"), [], [], [], [], []
+            row, out = [], []
             for r, value in enumerate(b.column("text").to_pylist()):
                 whole = encode(value or "") + end
                 for k, at in enumerate(range(0, len(whole) // 4, capacity)):
                     part = whole[4 * at : 4 * (at + capacity)]
-                    row.append(r), piece.append(k), start.append(at), length.append(len(part) // 4), ids.append(part)
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "piece", "start", "length", "ids"],
-            )
-
-    kind = docs.schema[doc_id].dataType.simpleString()
+                    n = len(part) // 4
+                    row.append(r)
+                    out.append((k, at, n, zlib.crc32(part), task, seen[n], part))
+                    seen[n] += 1
+            columns = zip(kinds, zip(*out, strict=True), strict=False)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, k) for k, c in columns)], names=names)
+
+    reachable(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary"
-    )
-
-
-def described(pieces: DataFrame) -> DataFrame:
-    """pieces without ids but with ids_crc32, the task and the rank among the task's pieces of equal length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = defaultdict(int)
-        task = TaskContext.get().partitionId()
-        for b in slices(batches, 1024):
-            lengths, ranks = b.column("length").to_pylist(), []
-            for n in lengths:
-                ranks.append(seen[n])
-                seen[n] += 1
-            crc = [zlib.crc32(x.as_buffer()) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("doc_id", "piece", "start", "length")] + [pa.array(crc, pa.int64()), pa.array([task] * len(ranks), pa.int32()), pa.array(ranks, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"],
-            )
-
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.select("doc_id", "piece", "start", "length", "ids").mapInArrow(
-        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
+        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint" + ", ids binary" * with_ids
     )
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with length, task, rank; see described) with sequence_id and offset.
+    """pieces (with length, task, rank; see tokenize) with sequence_id and offset.
 
     Pieces are read twice, so they must be stored. Histogram: at most ``capacity`` rows reach the driver. The place
-    table that tasks get has an entry per length and filling, bounded by the capacity too. Any rows may be equal.
+    table that tasks get has an entry per length and filling, bounded by the capacity too; the offsets (a row per task
+    and length) grow with the input and are joined by a shuffle of the pieces' few columns. Any rows may be equal.
     """
-    spark = pieces.sparkSession
+    spark = reachable(pieces.sparkSession)
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     offsets = stored(per_task.select("task", "length", "n", (before - F.col("n")).alias("before")))
@@ -235,7 +280,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 to[group], off[group] = row[:, 1] + rank[group] - row[:, 0], row[:, 2]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(to), pa.array(off)], names=[*kept, "sequence_id", "offset"])
 
-    ranked = pieces.join(offsets.select("task", "length", "before"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = pieces.join(offsets.select("task", "length", "before").hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*kept).schema)
     return ranked.select(*kept, "rank").mapInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
 
@@ -248,7 +293,7 @@ def default_vocabulary() -> str:
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece of every document."""
-    pieces = stored(described(tokenize(docs, vocabulary or default_vocabulary(), capacity)))
+    pieces = stored(tokenize(docs, vocabulary or default_vocabulary(), capacity, with_ids=False))
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
