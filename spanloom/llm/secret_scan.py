@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.sources.tables import reachable
+
 from .common import let, load, with_columns_from
 
 # The rules' patterns and least lengths.
@@ -23,7 +25,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs: the same matches as runs of any length, the short ones dropped
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_RUN = 20  # characters; shorter random strings don't tell themselves from words by their pairs
+GROWTH = 6
+SEPARATOR = re.compile(r"[/=_-]")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SYMBOLS = len(LETTERS) + 2  # the edge of a string, and any other character
 #: Of the log-likelihood ratio: nats a character, and in all.
@@ -74,15 +79,48 @@ class Markov:
         total, mean = self.score(value)
         return total >= LEAST_TOTAL and mean >= LEAST_MEAN
 
+    def random_parts(self, value: str) -> list[tuple[int, int]]:
+        """The random parts of a run of token characters: those whose ratio is most above LEAST_MEAN a character (a key
+        behind a path, say), each grown to separators or ends less than GROWTH characters away where it stays random. A
+        part parts the run; what is left is searched likewise."""
+        c = codes(value)
+        sums = np.concatenate([[0.0], np.cumsum(self.ratio[c[:-1], c[1:]])])  # the last step is into the end
+        above = sums - LEAST_MEAN * np.arange(len(sums))
+        random_ = lambda a, b: sums[b] - sums[a] >= max(LEAST_TOTAL, LEAST_MEAN * (b - a))
+        edges = [0, *(m.start() for m in SEPARATOR.finditer(value)), *(m.end() for m in SEPARATOR.finditer(value)), len(value)]
+        out, todo = [], [(0, len(value))]
+        while todo:
+            a, b = todo.pop()
+            if b - a < LEAST_RUN:
+                continue
+            own = above[a : b + 1]
+            end = a + int(np.argmax(own - np.minimum.accumulate(own)))
+            start = a + int(np.argmin(above[a : end + 1]))
+            near = [max(a, start - GROWTH), min(b, end + GROWTH)]
+            grown = max((e for e in edges if near[0] <= e <= start), default=start), min((e for e in edges if end <= e <= near[1]), default=end)
+            if random_(*grown):
+                start, end = grown
+            if end - start >= LEAST_RUN and random_(start, end):
+                out.append((start, end))
+                todo += [(a, start), (end, b)]
+        return sorted(out)
+
     def spans(self, text: str, base: list[Span]) -> list[Span]:
-        """Random-looking runs that touch no base span. Both go by start, so one pass over each is enough."""
-        out, known, k, reach = [], sorted((a, b) for _, a, b in base), 0, 0
+        """Random-looking runs, and parts of runs, outside the base spans. Both go by start, so one pass over each is
+        enough; what a base span leaves of a run is a run of its own."""
+        out, known, k = [], sorted((a, b) for _, a, b in base), 0
+        reach = 0  # the end of the base spans so far
         for m in CANDIDATE.finditer(text):
+            at = m.start()
+            pieces = []
             while k < len(known) and known[k][0] < m.end():
+                pieces.append((max(at, reach), known[k][0]))
                 reach = max(reach, known[k][1])
                 k += 1
-            if reach <= m.start() and self.is_random(m[0]):
-                out.append(("random", m.start(), m.end()))
+            pieces.append((max(at, reach), m.end()))
+            for a, b in pieces:
+                if b - a >= LEAST_RUN:
+                    out += [("random", a + x, a + y) for x, y in self.random_parts(text[a:b])]
         return out
 
 
@@ -110,6 +148,7 @@ def samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most_do
 
 def train(labelled: DataFrame, alpha: float = 0.5) -> Markov:
     """Counts of symbol pairs by label (at most 2 * SYMBOLS**2 rows reach the driver); null values count for nothing."""
+    reachable(labelled.sparkSession)
 
     def count(batches):
         import pyarrow as pa
@@ -135,10 +174,10 @@ def train(labelled: DataFrame, alpha: float = 0.5) -> Markov:
 FOUND = T.StructType([T.StructField("secrets", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
 
 
-def scan(df: DataFrame, model: Markov, text: str = "text") -> DataFrame:
+def scan(df: DataFrame, model: Markov, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df with ``secrets``: kind, start and end (code points, end exclusive) of each span, by start, then kind.
 
-    Null and empty texts have none. A column of that name is replaced.
+    Null and empty texts have none. A column of that name is replaced; others, or those in ``keep``, pass through.
     """
     sent = df.sparkSession.sparkContext.broadcast(model.ratio)
 
@@ -154,7 +193,7 @@ def scan(df: DataFrame, model: Markov, text: str = "text") -> DataFrame:
 
         return work
 
-    return with_columns_from(df, [text], FOUND, make)
+    return with_columns_from(df, [text], FOUND, make, keep=keep)
 
 
 def masked(df: DataFrame, model: Markov, text: str = "text", mark: str = "<secret>") -> DataFrame:
@@ -191,7 +230,7 @@ def digest(kinds: tuple[str, ...]):
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and all spans of every document."""
     docs = load(spark, sf_dir, "documents")
-    found = scan(docs.select("doc_id", "text"), train(samples(docs))).select("doc_id", "secrets")
+    found = scan(docs.select("doc_id", "text"), train(samples(docs)), keep=["doc_id"])
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(digest(KINDS[:3]).cast("binary"), 256).alias("base_sha256"), digest(KINDS).alias("spans"))
 
@@ -200,7 +239,3 @@ def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are masked in the texts, n_chars follows; no document goes."""
     out = masked(docs, train(samples(docs)))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
-
-
-
-
