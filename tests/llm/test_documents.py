@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import language_id, ogg, packing, pieces, quality, secret_scan, simhash
+from spanloom.llm import embedding, language_id, ogg, packing, pieces, quality, secret_scan, simhash
+from spanloom.llm.common import Scratch
 from spanloom.llm.components import components
 from spanloom.llm.wordpiece_cache import ids_of
 
@@ -75,6 +77,33 @@ def test_language_counts_match_brute_force(spark, odd):
         assert np.allclose(model.weights[:, k], np.log(n / n.sum()), atol=1e-5)
 
 
+def test_predictions_match_brute_force(spark, odd):
+    model = language_id.train(odd)
+
+    def slow(text):
+        if text is None or not any(map(str.isalpha, text)):
+            return "und", 0.0
+        n = Counter(language_id.buckets(text).tolist())
+        total = [p + sum(c * float(model.weights[b, k]) for b, c in n.items()) for k, p in enumerate(model.prior)]
+        best = int(np.argmax(total))
+        return model.langs[best], 1 / sum(np.exp(np.array(total) - total[best]))
+
+    for _, text, *_ in ODD:
+        lang, score = model.predict(text)
+        assert lang == slow(text)[0] and abs(score - slow(text)[1]) < 1e-6
+    texts = [r[1] for r in ODD]
+    assert model.predict_all(texts * 3) == [model.predict(t) for t in texts] * 3  # however they are batched
+
+
+def test_any_number_of_languages(spark):
+    rng = random.Random(6)
+    names = [f"l{k:03}" for k in range(150)]
+    words = {x: ["".join(rng.choices(string.ascii_lowercase, k=7)) for _ in range(20)] for x in names}
+    data = [(" ".join(rng.choices(words[x], k=40)), x) for x in names for _ in range(2)]
+    model = language_id.train(spark.createDataFrame(data, "text string, lang string"), most_held=16)
+    assert model.langs == names and [p[0] for p in model.predict_all([t for t, _ in data])] == [x for _, x in data]
+
+
 # quality
 
 
@@ -104,10 +133,11 @@ def test_quality_rules(spark):
     docs = {
         "clean": clean, "licence": clean + "\nLicensed under the MIT License.", "menu": "Home | About | News | Contact\n" * 2 + "Shop | Cart | Help | Terms\nMore | Less | Up | Down",
         "shout": "BUY!! THIS!! THING!! NOW!! IT!! IS!! VERY!! GOOD!! FOR!! YOU!! AND!! US!!",
+        "short": "Ten words stand here so that the base rules pass.\nLicensed under the Apache License, version two, by the owners of it all, whoever they are.",
         "marks": "the&&& of%%% and### it$$$ was*** on%%% by### to$$$ in&&& at%%% or### as***", "rights": "All rights reserved by the owner of this page for ever and ever",
     }
     got = dict(rows(quality.judged(spark.createDataFrame(list(docs.items()), "k string, text string")), "k", "kept"))
-    assert got == {"clean": True, "licence": True, "menu": False, "shout": False, "marks": False, "rights": False}
+    assert got == {"clean": True, "licence": True, "menu": False, "shout": False, "marks": False, "rights": False, "short": False}
     texts = dict(rows(quality.judged(spark.createDataFrame(list(docs.items()), "k string, text string")), "k", "clean_text"))
     assert texts["clean"] == clean == texts["licence"]
 
@@ -162,18 +192,20 @@ def test_links_find_every_component(spark, cell):
                 at ^= 1 << rng.randrange(64)
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values | {0, 2**64 - 1})
     df = spark.createDataFrame([(v,) for v in signed], "fp long")
-    found = dict(rows(components(simhash.links(df, cell)), "node", "root"))
+    with Scratch() as hold:
+        found = dict(rows(components(simhash.links(df, hold, cell)), "node", "root"))
     assert [found.get(v, v) for v in signed] == [signed[g] for g in slow_components(signed)]
 
 
 def test_embedding_bounds_distance(spark):
     rng = random.Random(2)
     values = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(50)]
-    df = spark.createDataFrame(values, "a long, b long").select("a", "b", simhash.embedding(F.col("a")).alias("x"), simhash.embedding(F.col("b")).alias("y"))
+    df = spark.createDataFrame(values, "a long, b long").select("a", "b", embedding.embedding(F.col("a")).alias("x"), embedding.embedding(F.col("b")).alias("y"))
+    df = df.withColumn("d", embedding.manhattan(F.col("x"), F.col("y")))
     for r in df.collect():
         fields = lambda v: [v >> k & 3 for k in range(0, 64, 2)]
         assert fields(r.x) == [(r.a >> k & 3).bit_count() for k in range(0, 64, 2)]
-        assert sum(abs(p - q) for p, q in zip(fields(r.x), fields(r.y), strict=True)) <= ((r.a ^ r.b) & (2**64 - 1)).bit_count()
+        assert r.d == sum(abs(p - q) for p, q in zip(fields(r.x), fields(r.y), strict=True)) <= ((r.a ^ r.b) & (2**64 - 1)).bit_count()
 
 
 def test_simhash_odd_rows(spark, odd):
@@ -259,11 +291,40 @@ def test_completion_goes_back_to_earlier_bins():
 
     for _ in range(60):
         pieces = sorted((rng.randint(3, 14) for _ in range(8)), reverse=True)
-        assert bins(Counter(pieces), 20, most_nodes=10**6, most_steps=10**6) == least(pieces, ())
+        assert bins(Counter(pieces), 20, most_steps=None) == least(pieces, ())
 
 
 def test_fillings_of_few_tokens_find_a_leaf():
-    assert next(packing.fillings([3, 4, 5], {3: 900, 4: 900, 5: 900}, 2000, 400)) == ((5, 400),)
+    assert next(x for x in packing.fillings({3: 900, 4: 900, 5: 900}, 2000) if x) == (0, ((5, 400),))
+
+
+def test_search_equals_exhaustive_search():
+    rng = random.Random(8)
+
+    def least(items, capacity):
+        best = [len(items)]
+
+        def go(k, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if k == len(items):
+                best[0] = len(rooms)
+                return
+            for r in {r for r in rooms if r >= items[k]}:
+                go(k + 1, (*rooms[: rooms.index(r)], r - items[k], *rooms[rooms.index(r) + 1 :]))
+            go(k + 1, (*rooms, capacity - items[k]))
+
+        go(0, ())
+        return best[0]
+
+    better = 0
+    for k in range(1000):
+        items = sorted((rng.randint(10, 60) if k % 3 else rng.randint(1, 100) for _ in range(rng.randint(1, 10))), reverse=True)
+        found = packing.search(Counter(items), 100, None)
+        assert found.proven and found.bound <= found.bins == least(items, 100) == sum(n for _, n in found.fillings), items
+        better += found.bins < sum(n for _, n in packing.best_fit(Counter(items), 100))
+    assert better > 0
+    assert packing.search(Counter([18, 19, 25, 30, 31, 42, 49, 57, 58, 60]), 100).bins == 4
 
 
 def check_packing(pieces_, docs, encode):
@@ -307,13 +368,23 @@ def test_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     path = packing.default_vocabulary()
-    t, encode, rng = Tokenizer.from_file(path), ids_of(path, 500), random.Random(4)
+    t, encode, rng = Tokenizer.from_file(path), ids_of(path, 5000), random.Random(4)
     letters = "aAbZ é́İΣσς\x1c\x1f\x85\xa0 　'sllm1٣%&\n\t<|endoftext|>ﬁẞßñ中"
     for _ in range(4000):
         x = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
         assert encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
 
+def test_ids_of_another_vocabulary_are_the_library_s():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encode = Tokenizer.from_file(path), ids_of(path)
+    for x in ("", "A Word, and  two", "É\n\t1"):
+        assert encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 # subwords
 
 
@@ -322,7 +393,7 @@ def test_pieces_equal_the_library():
 
     path = pieces.default_model()
     v, p, rng = pieces.vocabulary(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(4)
-    encode = pieces.encoder(v, 2000)
+    encode = pieces.encoder(v, 50_000)
     texts = ["".join(rng.choice("aabcteorhinsd  \n\t.,éñ中ゆ🙂▁\x00ü") for _ in range(rng.randint(0, 30))) for _ in range(4000)]
     for x, ids in zip(texts, encode(texts), strict=True):
         ids = np.frombuffer(ids, "<i4").tolist()
@@ -345,6 +416,37 @@ def test_unigram_forward_is_the_best_segmentation():
         assert "".join(parts) == word and abs(sum(scores[p] for p in parts) - best(word)) < 1e-9
 
 
+def test_long_runs_of_marks_and_long_words():
+    import sentencepiece
+
+    path = pieces.default_model()
+    v, p = pieces.vocabulary(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    encode = pieces.encoder(v)
+    texts = [" " * n + w for n in (*range(1, 150), 1000, 4095) for w in ("", "the", ",", "1")]
+    for x, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == p.encode(x), (len(x), x[-3:])
+    for x in (" " * 10**6, " " * 10**6 + "end", "ab" * 10**5):
+        began = time.process_time()
+        ids = np.frombuffer(encode([x])[0], "<i4").tolist()
+        assert pieces.decode(v, ids) == x and time.process_time() - began < 10
+
+
+def test_decoding_ids_that_spell_no_text():
+    v = pieces.vocabulary(pieces.default_model())
+    assert pieces.decode(v, []) == pieces.decode(v, [1, 2]) == ""  # control ids
+    assert pieces.decode(v, [v.unknown]) == "\u2047 " and "\u2047" in pieces.decode(v, [-5]) and "\u2047" in pieces.decode(v, [10**9])
+    assert pieces.decode(v, [v.bytes_from + 0xC3]) == "\ufffd"
+    bare = pieces.Vocabulary({"a": -1.0}, {"a": 1}, "unigram", None, 0, False)
+    assert pieces.decode(bare, np.frombuffer(pieces.encoder(bare)(["ab"])[0], "<i4").tolist()) == "a \u2047 "
+
+
+def test_round_trips_of_odd_rows(spark, odd):
+    got = pieces.round_trips(odd.withColumn("ROUND_TRIP", F.lit("x")))
+    assert got.count() == len(ODD) and got.where("NOT round_trip").count() == 0
+    assert rows(got.where("text IS NULL"), "n_pieces", "ids_crc32", "decoded_sha256") == [(0, None, None)]
+    assert pieces.round_trips(odd.where("false")).count() == 0
+
+
 def test_pieces_of_documents(spark, small, odd):
     import sentencepiece
 
@@ -452,6 +554,32 @@ def test_markov_tells_random_from_ordinary(markov):
     assert not any(map(markov.is_random, ordinary))
 
 
+def test_random_parts_behind_ordinary_ones(markov):
+    rng = random.Random(12)
+    found = whole = 0
+    for _ in range(200):
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=24))
+        text = f"see /usr/local/share/configuration/{key} or not"
+        at = text.index(key)
+        spans = markov.spans(text, [])
+        found += any(a < at + 24 and b > at for _, a, b in spans)
+        whole += any(abs(a - at) <= 4 and abs(b - at - 24) <= 4 for _, a, b in spans)
+        assert all(b - a >= secret_scan.LEAST_RUN for _, a, b in spans)
+    assert found >= 180 and whole >= 160
+    key = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+    base = [("hex", 0, 30)]
+    assert all(a >= 30 for _, a, b in markov.spans("0" * 30 + key, base)) and markov.spans("0" * 30 + key, base)
+
+
+def test_precision_and_recall_of_random_spans(markov):
+    rng = random.Random(21)
+    ordinary = ["-".join("".join(rng.choices(["ka", "lo", "mi", "ren", "tos", "ing", "er"], k=3)) for _ in range(4)) for _ in range(300)]
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=rng.randint(28, 64))) for _ in range(300)]
+    hits = sum(bool(markov.spans(f"a {k} b", [])) for k in keys)
+    false = sum(bool(markov.spans(f"a {w} b", [])) for w in ordinary)
+    assert hits >= 294 and false <= 6, (hits, false)
+
+
 def test_masking(spark, markov):
     key = "".join(random.Random(5).choices(string.ascii_letters + string.digits, k=40))
     df = spark.createDataFrame([(1, f"see {key} and token = abcdef99, ok"), (2, None), (3, ""), (4, "nothing here")], "id long, text string")

@@ -4,7 +4,9 @@ import gzip
 import hashlib
 import io
 import random
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -57,6 +59,106 @@ def test_main_text_of_odd_pages():
     assert html_text.main_text(long).count("\n\n") == 19_999
 
 
+@pytest.mark.parametrize("unit", ["<a", "<a ", "<div>a", '<a x="', "<ul><li>x", "<header>x", "<article>x", "</script ", "<!--", "<![CDATA[", "<!", "<p><b>x</p>", "<table><tr><td>"])
+def test_time_grows_with_length_only(unit):
+    """A hundred kB of malformed or deep markup takes about a hundred times as long as one kB: seconds, not hours."""
+    began = time.process_time()
+    for text in (unit * (10**5 // len(unit)), "<" + "a" * 10**5, f"<script>{unit * (10**5 // len(unit))}"):
+        assert isinstance(html_text.main_text(text), str)
+    assert time.process_time() - began < 20
+
+
+def slow_main_text(html: str) -> str:
+    """Tree scoring over the standard library's parser, every block walking up to the root. For well-formed pages."""
+    root = here = html_text.Node("html", "", None)
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            nonlocal here
+            if tag in ("html", "body"):
+                return
+            node = html_text.Node(tag, " ".join(f'{k}="{v or ""}"' for k, v in attrs), here)
+            here.kids.append(node)
+            if tag in html_text.CONTENT and not node.bad:
+                up = here
+                while up is not None:
+                    up.bad = up.bad and not up.layout
+                    up = up.parent
+            if tag not in html_text.VOID:
+                here = node
+
+        def handle_endtag(self, tag):
+            nonlocal here
+            up = here
+            while up is not root and up.tag != tag:
+                up = up.parent
+            here = up.parent if up is not root else here
+
+        def handle_data(self, data):
+            here.kids.append(data)
+
+    Reader(convert_charrefs=True).feed(html)
+
+    def above(n):
+        while n is not None:
+            yield n
+            n = n.parent
+
+    def mark(n):
+        for k in n.kids:
+            if not isinstance(k, str):
+                if k.tag == "header" and not any(u.tag in ("article", "section", "main") for u in above(k.parent)):
+                    k.bad = True
+                mark(k)
+
+    mark(root)
+    found = html_text.blocks(root)
+    score, length, linked = Counter(), Counter(), Counter()
+    nodes = {id(n): n for owner, _, _ in found for n in above(owner)}
+    for owner, text, links in found:
+        points = 0.0 if owner.tag in html_text.HEADINGS else (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - links / len(text))
+        for k, n in enumerate(above(owner if owner.tag == "div" or owner.parent is None else owner.parent)):
+            score[id(n)] += points * (1 if k == 0 else 0.5 * (2 / 3) ** (k - 1))
+        for n in above(owner):
+            length[id(n)] += len(text)
+            linked[id(n)] += links
+    if not found:
+        return ""
+    density = lambda n: linked[id(n)] / max(1, length[id(n)])
+    best = max(nodes.values(), key=lambda n: round(score[id(n)] * (1 - density(n)), 9))
+    for n in above(best):
+        best = n if n.tag in html_text.CONTENT else best
+    if best.parent is None:
+        return "\n\n".join(t for _, t, _ in found)
+    kept = {id(best)} | {
+        id(k) for k in best.parent.kids
+        if not isinstance(k, str) and not k.bad and length[id(k)] and density(k) < 0.3
+        and (score[id(k)] >= max(1.0, 0.2 * score[id(best)]) or k.tag == "p" and length[id(k)] >= 80 or best.tag not in html_text.CONTENT and k.tag in html_text.HEADINGS)
+    }
+    return "\n\n".join(t for owner, t, _ in found if any(id(n) in kept for n in above(owner)))
+
+
+def test_main_text_equals_slow_scoring():
+    """On made pages of well-formed markup: nested containers, link lists, headings, lists and text here and there."""
+    rng = random.Random(14)
+    words = lambda n: " ".join(rng.choice(["mill", "river,", "old", "wheel", "&amp;", "night,", "water."]) for _ in range(n))
+
+    def some(depth: int) -> str:
+        kind = rng.randrange(9)
+        if depth == 0 or kind < 3:
+            return f"<p>{words(rng.randint(3, 60))}</p>"
+        if kind == 3:
+            return f"<ul>{''.join(f'<li><a href=x>{words(3)}</a></li>' for _ in range(rng.randint(1, 6)))}</ul>"
+        if kind == 4:
+            return f"<h2>{words(3)}</h2>"
+        tag = rng.choice(["div", "section", "div class='sidebar'", "blockquote", "article", "header", "nav", "div id='c1'"])
+        return f"<{tag}>{''.join(some(depth - 1) for _ in range(rng.randint(1, 5)))}</{tag.split()[0]}>"
+
+    for _ in range(400):
+        html = "<html><body>" + "".join(some(4) for _ in range(rng.randint(1, 5))) + "</body></html>"
+        assert html_text.main_text(html) == slow_main_text(html), html
+
+
 def test_pages_keep_rows_and_columns(spark, small):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, page(f"<article><p>{P1}</p></article>"), None)], "page_id long, url string, html string, TEXT string")
     got = html_text.extract(df)
@@ -121,11 +223,11 @@ def test_masks_by_prefix_sums():
 def test_chats_read_back(spark):
     data = [
         (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 0, "user", "<\\s> \\[INST]"), (1, 0, "user", "<\\s> \\[INST]"), (1, None, None, None), (1, 2, "tool<s>", "x<</ROLE>>"),
-        (2, 0, "assistant", ""), (None, 0, "system", "<<SYS>>"), (3, 0, "assistant", "é\U0001f642" * 5000),
+        (4, 0, "user", "zebra"), (4, 0, "user", "apple"), (4, 0, "user", "Zoo"), (4, 0, "user", "\u00e9t\u00e9"), (4, 0, "user", "app"), (4, 0, "assistant", "two words"), (2, 0, "assistant", ""), (None, 0, "system", "<<SYS>>"), (3, 0, "assistant", "é\U0001f642" * 5000),
     ]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.digests(chat.format_turns(df.withColumn("IDS", F.lit(1)))).collect()}
-    assert set(got) == {1, 2, 3, None}
+    assert set(got) == {1, 2, 3, 4, None}
     for conv in got:
         turns = [("" if r is None else r, "" if t is None else t) for _, _, r, t in sorted((x for x in data if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))]
         learned = "".join(t for r, t in turns if r == "assistant")

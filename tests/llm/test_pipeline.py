@@ -3,13 +3,14 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanloom.llm import language_id, packing, quality, secret_scan
 from spanloom.llm.common import stored
 from spanloom.llm.wordpiece_cache import ids_of
 
-from .test_documents import FIELDS, ODD, SCHEMA, base_counts, check_packing, slow_base, slow_components, slow_fingerprint
+from .test_documents import FIELDS, ODD, SCHEMA, WORDS, base_counts, check_packing, slow_base
 
 
 @pytest.fixture(scope="module")
@@ -51,8 +52,15 @@ def test_quality_stage(stages):
 def test_duplicate_stage(stages):
     _, before, after = stages[2]
     docs = sorted((r.doc_id, r.text) for r in before.collect())
-    groups = slow_components([slow_fingerprint(t) for _, t in docs])
-    assert sorted(r.doc_id for r in after.collect()) == sorted({docs[g][0] for g in groups})
+    words = [[c.lower() if c.isascii() else c for c in WORDS.findall(t or "")] for _, t in docs]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    group = list(range(len(docs)))
+    for i, a in enumerate(grams):
+        for j in range(i):
+            if group[i] != group[j] and len(a & grams[j]) >= 0.8 * len(a | grams[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert sorted(r.doc_id for r in after.collect()) == sorted({docs[g][0] for g in group})
 
 
 def test_secret_stage(stages):
@@ -72,7 +80,7 @@ def test_packing_stage(stages):
     _, before, after = stages[4]
     rows = [tuple(r[c] for c in FIELDS) for r in after.collect()]
     n = check_packing(rows, [(r.doc_id, r.text) for r in before.collect()], ids_of(packing.default_vocabulary()))
-    assert n <= -(-sum(r[3] for r in rows) // 2048) * 1.01 + 1
+    assert n <= -(-sum(r[3] for r in rows) // 2048) + 1
 
 
 def test_run_gives_the_last_stage(spark, small, stages):
@@ -86,3 +94,14 @@ def test_odd_and_empty_documents(spark, tmp_path):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert out.columns == list(FIELDS) and (name == "odd" or out.count() == 0)
+
+
+def test_stages_keep_the_callers_columns(spark, small):
+    """Columns that bear the names of what the stages compute pass through them as they are."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    mine = {c: F.lit(f"my {c}") for c in ("score", "LANG_PRED", "kept", "n_words", "clean_text", "lost_chars", "__words", "__lines", "__some", "__judged_kept", "__lang_pred", "__doc_id", "__n", "secrets", "fp", "copy", "root")}
+    docs = stored(docs.withColumns(mine))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, small))
+        assert docs.count() > 0 and docs.columns[-len(mine) :] == list(mine)
+        assert docs.select(*mine).distinct().collect() == [tuple(f"my {c}" for c in mine)]
