@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from .scoring import clamp
 from .text import has_credit, is_promo, is_symbols_only
 
-#: Beginnings and parts of lines that are credits or section marks.
-PREFIXES = ("artist:", "title:", "album:", "writer:", "composer:", "lyrics:", "producer:", "by:")
-SECTIONS = ("[verse", "[chorus", "[bridge", "[intro", "[outro", "all rights reserved", "copyright")
+#: Beginnings of lines that are credits.
+PREFIXES = (
+    "artist:", "song:", "title:", "album:", "writer:", "composer:", "lyricist:", "lyrics by", "written by", "produced by", "music by", "source:", "contributor:", "arranged by", "performed by", "vocals by",
+    "music and lyrics", "words and music",
+    "作词", "作詞", "作曲", "编曲", "編曲", "制作人", "演唱", "歌手", "词:", "曲:", "词 :", "曲 :",
+    "saku:", "saku :", "sakkyoku:", "sakkyoku :", "sakushi:", "sakushi :", "henkyoku:", "henkyoku :", "kashu:", "kashu :",
+    "작사:", "작곡:", "편곡:",
+)
+#: Words that are credits before a colon and a name.
+KEYWORDS = ("composer", "lyricist", "writer", "arranger", "producer", "saku", "sakkyoku", "sakushi", "henkyoku")
+#: Parts of lines that are no lyrics.
+SECTIONS = (
+    "all rights reserved", "copyright", "℗", "©", "(instrumental)", "[instrumental]", "(intro)", "[intro]", "(outro)", "[outro]", "(verse)", "[verse]", "(chorus)", "[chorus]", "(bridge)", "[bridge]", "(hook)", "[hook]",
+)
 
 
 def has_prefix(line: Column, prefixes: tuple[str, ...] = PREFIXES) -> Column:
@@ -30,6 +41,25 @@ def has_part(line: Column, parts: tuple[str, ...] = SECTIONS) -> Column:
     return out
 
 
+def has_keyword(line: Column, keywords: tuple[str, ...] = KEYWORDS) -> Column:
+    """Whether a line holds, in any case, a keyword as a word of its own, a colon and a letter a to z."""
+    return line.rlike(rf"(?i)\b({'|'.join(keywords)})\s*:\s*[a-z]")
+
+
+def repeats_title(line: Column, title: Column, least: int = 24, beyond: int = 8) -> Column:
+    """Whether a line advertises its title: it names it twice, or once, not in front, in quotes or in a sentence (ended by
+    . ! or ?) that is long enough. An empty title is in no line."""
+    low, name = F.lower(line), F.lower(title)
+    found = F.position(name, low)
+    twice = F.position(name, F.substring(low, found + F.length(name), F.length(low))) > 0
+    in_front = F.startswith(F.regexp_replace(low, "^[ \"'“”‘’(]+", ""), name)
+    head, tail = F.substring(low, F.lit(1), found - 1), F.substring(low, found + F.length(name), F.length(low))
+    quoted = head.rlike("[\"“”]") & tail.rlike("[\"“”]")
+    long = F.length(low) >= F.greatest(F.lit(least), F.length(name) + beyond)
+    once = ~in_front & (quoted | F.trim(line).rlike("[.!?]$")) & long
+    return F.coalesce((F.length(name) > 0) & (found > 0) & (twice | once), F.lit(False))
+
+
 def is_header(line: Column, title: Column, artist: Column) -> Column:
     """Whether a line repeats the title or the artist, or both around a hyphen, after plain normalising."""
     bare = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
@@ -39,7 +69,7 @@ def is_header(line: Column, title: Column, artist: Column) -> Column:
 
 def is_metadata(line: Column, title: Column, artist: Column, at: Column) -> Column:
     """Empty or symbols only, or credits and sections; headers in the first second; promotion in the first 15."""
-    fixed = is_symbols_only(line) | has_prefix(line) | has_part(line) | has_credit(line)
+    fixed = is_symbols_only(line) | has_prefix(line) | has_keyword(line) | has_part(line) | has_credit(line)
     return F.coalesce(fixed | ((at <= 1) & is_header(line, title, artist)) | ((at <= 15) & is_promo(line)), F.lit(False))
 
 

@@ -163,16 +163,15 @@ def stage_effects(spark, d):
     return rounded(ag.stage_effects(rows, ["l_suppkey"], "stage", "v", 0.5), 6)
 
 
-VOTE = """w AS (SELECT lang, i AS place, string_split(text, ' ')[i + 1] AS token FROM documents, (SELECT unnest(range(5)) AS i)), v AS (SELECT lang, place, token, count(*) AS votes FROM w WHERE token <> '' GROUP BY 1, 2, 3),
- r AS (SELECT *, votes / sum(votes) OVER (PARTITION BY lang, place) AS share, row_number() OVER (PARTITION BY lang, place ORDER BY votes DESC, length(token) DESC, token) AS k FROM v)"""
+VOTE = """w AS (SELECT source, unnest(range(len(string_split(text, ' ')))) AS place, unnest(string_split(text, ' ')) AS token FROM documents), v AS (SELECT source, place, token, count(*) AS votes FROM w WHERE token <> '' GROUP BY 1, 2, 3),
+ r AS (SELECT *, votes / sum(votes) OVER (PARTITION BY source, place) AS share, row_number() OVER (PARTITION BY source, place ORDER BY votes DESC, length(token) DESC, token) AS k FROM v)"""
 
 
-@query(f"WITH {VOTE} SELECT lang, place, token, votes, round(share, 8) AS share FROM r WHERE k = 1")
+@query(f"WITH {VOTE} SELECT source, place, token, votes, round(share, 8) AS share FROM r WHERE k = 1")
 def positional_vote(spark, d):
-    """A vote at the first five places, as in its SQL; for all places see positional_vote_everywhere."""
-    words = F.slice(F.split("text", " "), 1, 5)
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(words).alias("p", "token")).select("lang", F.col("p").cast("long").alias("place"), "token", "doc_id").where("token <> ''")
-    return rounded(ag.positional_vote(rows, ["lang"], "place", "token", "doc_id"), 8)
+    """A vote of each source's documents at every place; positional_vote_everywhere holds one of each language's."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", " ")).alias("p", "token")).select("source", F.col("p").cast("long").alias("place"), "token", "doc_id").where("token <> ''")
+    return rounded(ag.positional_vote(rows, ["source"], "place", "token", "doc_id"), 8)
 
 
 EVERY_VOTE = """w AS (SELECT lang, unnest(range(len(string_split(text, ' ')))) AS place, unnest(string_split(text, ' ')) AS token FROM documents), v AS (SELECT lang, place, token, count(*) AS votes FROM w WHERE token <> '' GROUP BY 1, 2, 3),
@@ -181,7 +180,7 @@ EVERY_VOTE = """w AS (SELECT lang, unnest(range(len(string_split(text, ' ')))) A
 
 @query(f"WITH {EVERY_VOTE} SELECT lang, place, token, votes, round(share, 8) AS share FROM r WHERE k = 1")
 def positional_vote_everywhere(spark, d):
-    """A vote at every place of the documents; positional_vote holds one at the first five places only."""
+    """A vote of each language's documents at every place."""
     rows = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", " ")).alias("p", "token")).select("lang", F.col("p").cast("long").alias("place"), "token", "doc_id").where("token <> ''")
     return rounded(ag.positional_vote(rows, ["lang"], "place", "token", "doc_id"), 8)
 
@@ -232,9 +231,11 @@ def common_keys(spark, d):
     return o.where("o_orderstatus = 'F'").select("k").intersect(o.where("o_orderstatus = 'P'").select("k"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
 def keys_without_orders(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+    """Customers without urgent orders that are filled."""
+    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(orders.select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -273,14 +274,15 @@ def report_join(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT p_brand, p_type, p_size, min(p_partkey) AS k FROM part WHERE p_partkey % 7 = 0 GROUP BY 1, 2, 3), o AS (SELECT p_brand, p_type, min(p_partkey) AS k FROM part WHERE p_partkey % 7 = 0 GROUP BY 1, 2 HAVING count(*) = 1)
- SELECT p_partkey, coalesce(x.k, o.k) AS match FROM part p LEFT JOIN x ON x.p_brand = p.p_brand AND x.p_type = p.p_type AND x.p_size = p.p_size LEFT JOIN o ON o.p_brand = p.p_brand AND o.p_type = p.p_type"""
+    """WITH x AS (SELECT p_brand, p_type, p_size, min(p_partkey) AS k FROM part GROUP BY 1, 2, 3), o AS (SELECT p_brand, p_type, min(p_partkey) AS k FROM part GROUP BY 1, 2 HAVING count(*) = 1)
+ SELECT p_partkey, coalesce(x.k, o.k) AS match FROM part p LEFT JOIN x ON x.p_brand = p.p_brand AND x.p_type = p.p_type AND x.p_size = p.p_size + 1 LEFT JOIN o ON o.p_brand = p.p_brand AND o.p_type = p.p_type"""
 )
 def lookup_with_fallback(spark, d):
-    """Looks up a seventh of the parts, as in its SQL; for a whole lookup table see supplier_with_fallback."""
+    """For each part the next size of its brand and type, else the only part of that brand and type."""
     parts = table(spark, d, "part")
-    known = parts.where("p_partkey % 7 = 0").select("p_brand", "p_type", "p_size", F.col("p_partkey").alias("match"))
-    return jn.lookup_with_fallback(parts.select("p_partkey", "p_brand", "p_type", "p_size"), known, ["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], "match").select("p_partkey", "match")
+    known = parts.select("p_brand", "p_type", "p_size", F.col("p_partkey").alias("match"))
+    rows = parts.select("p_partkey", "p_brand", "p_type", (F.col("p_size") + 1).alias("p_size"))
+    return jn.lookup_with_fallback(rows, known, ["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], "match").select("p_partkey", "match")
 
 
 @query(

@@ -30,10 +30,10 @@ def _metrics(spark, d):
 @query(
     f"""WITH {M}, f AS (SELECT *, (line_cov >= 0.9 AND word_cov >= 0.4 AND low_conf <= 0.12) AS inside, (agree_cov >= 0.5 AND agree_sim >= 0.9 AND low_conf <= 0.08) AS subset, (gold_mean >= 20 OR gold_p95 >= 35) AS severe,
   (line_cov >= 0.88 AND word_cov >= 0.55 AND low_conf <= 0.12 AND agree_cov <= 0.12 AND gold_mean >= 10 AND gold_p95 >= 18) AS against FROM m),
- e AS (SELECT *, [CASE WHEN inside THEN ('consistent_inside', 1.0::DOUBLE) END, CASE WHEN subset THEN ('strong_agreement', 1.0::DOUBLE) END, CASE WHEN low_conf <= 0.1 THEN ('low_uncertainty', 0.25::DOUBLE) END,
-  CASE WHEN severe THEN ('severe_mismatch', 1.5::DOUBLE) END, CASE WHEN NOT severe AND gold_mean >= 10 AND gold_p95 >= 20 THEN ('raised_mismatch', 0.5::DOUBLE) END, CASE WHEN against THEN ('mismatch_against_strong_path', 1.25::DOUBLE) END,
-  CASE WHEN against AND flag THEN ('sources_disagree', 0.5::DOUBLE) END, CASE WHEN gold_cov <= 0.68 AND gold_mean >= 10 THEN ('coverage_and_timing', 1.0::DOUBLE) END, CASE WHEN NOT (inside OR subset) THEN ('inconsistent_inside', (-1.5)::DOUBLE) END,
-  CASE WHEN line_cov < 0.75 OR low_conf > 0.2 THEN ('weak_path', (-0.5)::DOUBLE) END, CASE WHEN agree_cov > 0 AND agree_bad > 0.2 THEN ('many_bad', (-0.5)::DOUBLE) END] AS ev FROM f),
+ e AS (SELECT *, [CASE WHEN inside THEN ('strong_dtw_internal_consistency', 1.0::DOUBLE) END, CASE WHEN subset THEN ('strong_lrc_whisper_agreement_subset', 1.0::DOUBLE) END, CASE WHEN low_conf <= 0.1 THEN ('low_internal_uncertainty', 0.25::DOUBLE) END,
+  CASE WHEN severe THEN ('severe_gold_timing_mismatch', 1.5::DOUBLE) END, CASE WHEN NOT severe AND gold_mean >= 10 AND gold_p95 >= 20 THEN ('elevated_gold_timing_mismatch', 0.5::DOUBLE) END, CASE WHEN against THEN ('high_gold_mismatch_with_strong_dtw', 1.25::DOUBLE) END,
+  CASE WHEN against AND flag THEN ('multi_source_disagreement_supports_reference_mismatch', 0.5::DOUBLE) END, CASE WHEN gold_cov <= 0.68 AND gold_mean >= 10 THEN ('gold_coverage_timing_combo_mismatch', 1.0::DOUBLE) END, CASE WHEN NOT (inside OR subset) THEN ('insufficient_internal_consistency', (-1.5)::DOUBLE) END,
+  CASE WHEN line_cov < 0.75 OR low_conf > 0.2 THEN ('weak_internal_alignment_signals', (-0.5)::DOUBLE) END, CASE WHEN agree_cov > 0 AND agree_bad > 0.2 THEN ('high_agreement_bad_ratio', (-0.5)::DOUBLE) END] AS ev FROM f),
  s AS (SELECT *, coalesce(list_sum(list_transform(list_filter(ev, lambda x: x IS NOT NULL), lambda x: x[2])), 0) AS raw, array_to_string(list_sort(list_transform(list_filter(ev, lambda x: x IS NOT NULL), lambda x: x[1])), ',') AS names FROM e),
  r AS (SELECT *, (lines >= 40 AND line_cov <= 0.6 AND word_cov <= 0.45 AND agree_cov >= 0.07 AND agree_sim >= 0.9 AND agree_p95 <= 1.2 AND low_conf <= 0.08) AS lone, (words < 20 OR lines < 10) AS few,
   (gold_cov >= 0.6 AND gold_mean >= 1 AND agree_cov >= 0.3 AND agree_p95 >= 1 AND (agree_bad >= 0.1 OR flag) AND line_cov >= 0.65 AND low_conf <= 0.15) OR
@@ -42,14 +42,19 @@ def _metrics(spark, d):
  o AS (SELECT *, CASE WHEN NOT gold THEN lone WHEN few THEN false ELSE raw >= 2.5 END AS suspected FROM r)
  SELECT p_partkey, suspected, round(CASE WHEN NOT gold THEN CASE WHEN lone THEN 1.75 ELSE 0 END WHEN few THEN 0 ELSE raw END, 3)::DOUBLE AS score,
   CASE WHEN NOT gold THEN CASE WHEN lone THEN 'medium' ELSE 'low' END WHEN few THEN 'low' WHEN raw >= 4 THEN 'high' WHEN raw >= 2.5 THEN 'medium' ELSE 'low' END AS confidence,
-  CASE WHEN NOT gold THEN CASE WHEN lone THEN 'agrees_off_path,no_reference' ELSE 'no_reference' END WHEN few THEN 'too_little_to_compare' ELSE names END AS evidence,
-  CASE WHEN suspected THEN 'reference_review' WHEN drops AND strong THEN 'clamp_review' WHEN drops THEN 'drop_timing' WHEN lexical THEN 'lexical_review' WHEN flag THEN 'clamp_review' ELSE 'none' END AS hint FROM o"""
+  CASE WHEN NOT gold THEN CASE WHEN lone THEN 'no_gold_reference,low_dtw_with_strong_anchor_agreement' ELSE 'no_gold_reference' END WHEN few THEN 'insufficient_comparable_coverage' ELSE names END AS evidence,
+  CASE WHEN suspected THEN 'reference_mismatch_review' WHEN drops AND strong THEN 'timing_delta_clamped_review' WHEN drops THEN 'consider_lyrics_no_timing' WHEN lexical THEN 'review_dtw_lexical_matching' WHEN flag THEN 'timing_delta_clamped_review' ELSE 'none' END AS hint FROM o"""
 )
 def diagnoses(spark, d):
     """Evidence with weights and the hint that follows from it, for every part's made-up metrics."""
     rows, m = _metrics(spark, d)
-    out = rows.withColumn("x", di.divergence(m, F.col("gold"), F.col("flag")))
-    return out.select("p_partkey", "x.suspected", "x.score", "x.confidence", F.array_join("x.evidence", ",").alias("evidence"), di.policy_hint(m, F.col("x.suspected"), F.col("flag")).alias("hint"))
+    names = {
+        "lines": "line_count", "words": "gold_comparable_word_count", "line_cov": "dtw_line_coverage", "word_cov": "dtw_word_coverage", "agree_cov": "agreement_coverage_ratio", "agree_sim": "agreement_text_similarity_mean",
+        "agree_p95": "agreement_start_p95_abs_sec", "agree_bad": "agreement_bad_ratio", "low_conf": "low_confidence_ratio", "gold_cov": "gold_word_coverage_ratio", "gold_mean": "gold_start_mean_abs_sec", "gold_p95": "gold_start_p95_abs_sec",
+    }
+    known = rows.select("p_partkey", F.col("gold").alias("gold_available"), F.col("flag").alias("source_disagreement"), F.col("flag").alias("timing_delta_clamped"), *(m[k].alias(name) for k, name in names.items()))
+    out = di.policy_hint(di.divergence(known))
+    return out.select("p_partkey", "suspected", "score", "confidence", F.array_join("evidence", ",").alias("evidence"), "hint")
 
 
 @query(

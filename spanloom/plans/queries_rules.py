@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,17 @@ from spanloom.sources.tables import table
 from .base import points, query, rounded, spans
 
 
+ANY_PREFIX, ANY_PART = ("|".join(map(re.escape, x)) for x in (ru.PREFIXES, ru.SECTIONS))
+
+
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, string_split(text, chr(10)) AS ls, source FROM documents), x AS (SELECT doc_id, i, ls[i + 1] AS line, source FROM l),
  b AS (SELECT *, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g'), ' ') AS bare FROM x)
- SELECT doc_id, count(*) FILTER (regexp_full_match(line, '[\s♪♫♬♩*~\-–—_.…]*') OR regexp_matches(lower(trim(line)), '^(artist:|title:|album:|writer:|composer:|lyrics:|producer:|by:)')
-  OR regexp_matches(lower(line), '\[verse|\[chorus|\[bridge|\[intro|\[outro|all rights reserved|copyright')
+ SELECT doc_id, count(*) FILTER (regexp_full_match(line, '[\s♪♫♬♩*~\-–—_.…]*') OR regexp_matches(lower(trim(line)), '^(ANY_PREFIX)') OR regexp_matches(line, '(?i)\b(ANY_KEYWORD)\s*:\s*[a-z]')
+  OR regexp_matches(lower(line), 'ANY_PART')
   OR (regexp_matches(line, '^[A-Za-z ]+:\s*\p{Lu}\p{L}+(\s+\p{Lu}\p{L}+)*\s*$') AND length(regexp_extract(line, '^([A-Za-z ]+):', 1)) <= 15)
   OR (i <= 1 AND bare <> '' AND bare IN ('released under the mit license', source, 'released under the mit license ' || source, source || ' released under the mit license'))
-  OR (i <= 15 AND regexp_matches(line, '(?i)https?://|www\.|@|\b(subscribe|follow us|download)\b|\+?\d[\d\s().-]{8,}\d'))) AS n_metadata FROM b GROUP BY 1"""
+  OR (i <= 15 AND regexp_matches(line, '(?i)https?://|www\.|@|\b(subscribe|follow us|download)\b|\+?\d[\d\s().-]{8,}\d'))) AS n_metadata FROM b GROUP BY 1""".replace("ANY_PREFIX", ANY_PREFIX).replace("ANY_PART", ANY_PART).replace("ANY_KEYWORD", "|".join(ru.KEYWORDS))
 )
 def metadata_lines(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "line"))
