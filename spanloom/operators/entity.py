@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from spanloom.sources.tables import reachable
 
 
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[str]) -> DataFrame:
@@ -38,57 +44,108 @@ def disagreement(df: DataFrame, keys: list[str], values: dict[str, float]) -> Da
     return out.withColumn("flagged", flag)
 
 
-def per_group(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Order-dependent passes: one pandas frame per key. For keys with bounded groups (a song, a video), not for hot ones."""
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+Row = dict
 
 
-def drop_adjacent_repeats(df: DataFrame, keys: list[str], start: str, end: str, text: str, gap: float = 0.2) -> DataFrame:
-    """Drops a row with the text of the last *kept* row if it starts within ``gap`` of that row's end."""
+def extended(df: DataFrame, **more: T.DataType) -> T.StructType:
+    """The schema of df with further fields; those that it has are replaced."""
+    return T.StructType([f for f in df.schema if f.name not in more] + [T.StructField(n, k) for n, k in more.items()])
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[Row]], Iterator[Row]], schema: T.StructType, batch: int = 1024) -> DataFrame:
+    """Order-dependent passes: ``fold`` maps the rows of one key, one after the other in order, to rows.
+
+    Rows are dealt by key and sorted, then stream through their task: memory is what ``fold`` carries along, however many
+    rows a key has. Null keys are one key; null order values come first.
+    """
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for at in range(0, b.num_rows, batch) for r in b.slice(at, batch).to_pylist())
+        out: list[Row] = []
+        for _, group in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
+            for r in fold(group):
+                out.append(r)
+                if len(out) >= batch:
+                    yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        keep, text_kept, end_kept = [], None, None
-        for i, (s, e, t) in enumerate(zip(*(rows.sort_values([start, end])[c] for c in (start, end, text)), strict=True)):
-            if text_kept is not None and t == text_kept and s - end_kept <= gap:
+    reachable(df.sparkSession)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def unbroken(rows: Iterator[Row], start: str, end: str, reach: float) -> Iterator[list[Row]]:
+    """Rows in order of start, cut where one starts more than ``reach`` after all before it have ended. Rows without times
+    stand alone."""
+    held: list[Row] = []
+    last = 0.0
+    for r in rows:
+        if r[start] is None or r[end] is None:
+            yield [r]
+            continue
+        if held and r[start] > last + reach:
+            yield held
+            held = []
+        last = max(last, r[end]) if held else r[end]
+        held.append(r)
+    if held:
+        yield held
+
+
+def drop_adjacent_repeats(df: DataFrame, keys: list[str], start: str, end: str, text: str, gap: float = 0.2) -> DataFrame:
+    """Drops a row with the text of the last *kept* row if it starts within ``gap`` of that row's end. Rows without text
+    or times are kept."""
+
+    def fold(rows: Iterator[Row]) -> Iterator[Row]:
+        text_kept = end_kept = None
+        for r in rows:
+            s, t = r[start], r[text]
+            if None not in (text_kept, end_kept, s) and t == text_kept and s - end_kept <= gap:
                 continue
-            keep.append(i)
-            text_kept, end_kept = t, e
-        return rows.sort_values([start, end]).iloc[keep]
+            text_kept, end_kept = t, r[end]
+            yield r
 
-    return per_group(df, keys, fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    return in_order(df, keys, [start, end], fold, df.schema)
 
 
 def leader_clusters(df: DataFrame, keys: list[str], at: str, value: str, time_band: float, value_band: float) -> DataFrame:
-    """Greedy clustering in order of time: a row joins the first leader within both bands, else leads a new cluster."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, value])
-        leaders: list[tuple[float, float]] = []
-        found = []
-        for t, v in zip(rows[at], rows[value], strict=True):
-            k = next((i for i, (lt, lv) in enumerate(leaders) if abs(t - lt) <= time_band and abs(v - lv) <= value_band), None)
+    """Greedy clustering in order of time: a row joins the first leader within both bands, else leads a new cluster. Leaders
+    go as soon as they are too old for any row to come. Rows without time or value have no cluster."""
+
+    def fold(rows: Iterator[Row]) -> Iterator[Row]:
+        leaders: deque[tuple[float, float, int]] = deque()
+        n = 0
+        for r in rows:
+            t, v = r[at], r[value]
+            if t is None or v is None:
+                yield r | {"cluster": None}
+                continue
+            while leaders and t - leaders[0][0] > time_band:
+                leaders.popleft()
+            k = next((k for _, lv, k in leaders if abs(v - lv) <= value_band), None)
             if k is None:
-                leaders.append((t, v))
-                k = len(leaders) - 1
-            found.append(k)
-        return rows.assign(cluster=found)
+                k = n
+                leaders.append((t, v, k))
+                n += 1
+            yield r | {"cluster": k}
 
-    return per_group(df, keys, fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", cluster int")
+    return in_order(df, keys, [at, value], fold, extended(df, cluster=T.IntegerType()))
 
 
 def push_overlaps(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0.02, least: float = 0.2) -> DataFrame:
     """Rows in order of start; one that begins before the previous *edited* end + gap moves there and keeps its length,
-    ``least`` at least."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([start, end])
-        starts, ends, reach = [], [], None
-        for s, e in zip(rows[start], rows[end], strict=True):
-            length = max(least, e - s)
-            s = s if reach is None else max(s, reach + gap)
-            starts.append(s)
-            ends.append(s + length)
-            reach = s + length
-        return rows.assign(new_start=starts, new_end=ends)
-
-    return per_group(df, keys, fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", new_start double, new_end double")
+    ``least`` at least. Rows without times stay as they are."""
+
+    def fold(rows: Iterator[Row]) -> Iterator[Row]:
+        reach = None
+        for r in rows:
+            s, e = r[start], r[end]
+            if s is not None and e is not None:
+                length = max(least, e - s)
+                s = s if reach is None else max(s, reach + gap)
+                reach = e = s + length
+            yield r | {"new_start": s, "new_end": e}
+
+    return in_order(df, keys, [start, end], fold, extended(df, new_start=T.DoubleType(), new_end=T.DoubleType()))

@@ -1,12 +1,13 @@
 """Merges and repairs of recognised rows: like texts in one lane that overlap, come again, fade in or stand out of order.
 
-Each pass is a fold over the rows of one bounded group (a video, a song) in order of time, because a merge changes what
-later rows meet; groups run in parallel. Rows without times never merge; a null text is like no other.
+Each pass is a fold over the rows of one group (a video, a song) in order of time, because a merge changes what later rows
+meet; groups run in parallel, and rows stream by in stretches that no merge crosses (``passes``). Rows without times never
+merge; a null text is like no other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import permutations
 
@@ -15,9 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .entity import per_group
+from .entity import Row, extended, in_order, unbroken
 from .sequences import ratio
-from .tracking import fields_of
 
 
 @dataclass
@@ -137,50 +137,83 @@ def add_cycles(entries: list[Entry], lane: float, least: float = 0.97, long: flo
     return sorted(out, key=lambda e: (e.first, e.y))
 
 
-def passes(df: DataFrame, keys: list[str], steps: list[Pass], text: str = "text", first: str = "first", last: str = "last", y: str = "y", brightness: str | None = None) -> DataFrame:
-    """df after the steps, with edited ``first`` and ``last`` and ``inferred`` for rows that a step added."""
+def passes(df: DataFrame, keys: list[str], steps: list[Pass], text: str = "text", first: str = "first", last: str = "last", y: str = "y", brightness: str | None = None, reach: float = 4.0) -> DataFrame:
+    """df after the steps, with edited ``first`` and ``last`` and ``inferred`` for rows that a step added.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([first, y, text])
-        light = rows[brightness].tolist() if brightness else [255.0] * len(rows)
-        entries = [Entry(t or "", float(a), float(b), float(h), k, float(s)) for k, (t, a, b, h, s) in enumerate(zip(rows[text], rows[first], rows[last], rows[y], light, strict=True))]
+    Steps see stretches of rows: where one begins more than ``reach`` seconds after all before it have ended, a new one
+    begins. No step here joins rows over such a gap (the longest that counts is merge_reentries' long_gap).
+    """
+
+    def stretch(rows: list[Row]) -> Iterator[Row]:
+        if rows[0][first] is None or rows[0][last] is None:
+            yield rows[0] | {"inferred": False}
+            return
+        entries = [Entry(r[text] or "", float(r[first]), float(r[last]), float(r[y]), k, float(r[brightness]) if brightness else 255.0) for k, r in enumerate(rows)]
         for step in steps:
             entries = step(entries)
-        return rows.iloc[[e.row for e in entries]].assign(**{first: [e.first for e in entries], last: [e.last for e in entries], "inferred": [e.inferred for e in entries]})
+        for e in entries:
+            yield rows[e.row] | {first: e.first, last: e.last, "inferred": e.inferred}
 
-    return per_group(df, keys, fold, fields_of(df) + ", inferred boolean")
+    def fold(rows: Iterator[Row]) -> Iterator[Row]:
+        for held in unbroken(rows, first, last, reach):
+            yield from stretch(held)
 
+    return in_order(df, keys, [first, y, text], fold, extended(df, inferred=T.BooleanType()))
 
-def repaired_order(starts: list[float], texts: list[str], quality: list[float], sure: list[float], most_passes: int = 4) -> list[int]:
-    """Places of rows after swaps of neighbours that stand more than 0.75 s out of order: like texts (0.82), or short ones
-    of which one is unsure, and of clearly different quality unless nearly equal."""
-    order = list(range(len(starts)))
+
+Line = tuple[float | None, str, float, float]
+
+
+def swapped(a: Line, b: Line) -> bool:
+    """Whether two neighbours (start, text, quality, sure) change places: more than 0.75 s out of order, with like texts
+    (0.82), or short ones of which one is unsure, and of clearly different quality unless nearly equal."""
+    x, y = a[1].lower().split(), b[1].lower().split()
+    if not x or not y or a[0] is None or b[0] is None or not a[0] > b[0] + 0.75:
+        return False
+    r = ratio(" ".join(x), " ".join(y))
+    short = len(x) <= 3 and len(y) <= 4 and min(a[3], b[3]) < 0.45
+    return (r >= 0.82 or short) and (r >= 0.9 or abs(a[2] - b[2]) >= 0.05)
+
+
+def one_pass(rows: Iterable, line: Callable) -> Iterator:
+    """Rows with neighbours swapped, going once from front to back: all that is carried along is one row."""
+    rows = iter(rows)
+    held = next(rows, None)
+    if held is None:
+        return
+    for r in rows:
+        if swapped(line(held), line(r)):
+            yield r
+        else:
+            yield held
+            held = r
+    yield held
+
+
+def repaired(rows: Iterable, line: Callable, most_passes: int = 4) -> Iterator:
+    """Rows after ``most_passes`` passes, each fed by the one before; a pass without swaps changes nothing."""
     for _ in range(most_passes):
-        changed = False
-        for k in range(len(order) - 1):
-            a, b = order[k], order[k + 1]
-            x, y = texts[a].lower().split(), texts[b].lower().split()
-            if not x or not y or not starts[a] > starts[b] + 0.75:
-                continue
-            r = ratio(" ".join(x), " ".join(y))
-            short = len(x) <= 3 and len(y) <= 4 and min(sure[a], sure[b]) < 0.45
-            if (r >= 0.82 or short) and (r >= 0.9 or abs(quality[a] - quality[b]) >= 0.05):
-                order[k], order[k + 1] = b, a
-                changed = True
-        if not changed:
-            break
-    return order
+        rows = one_pass(rows, line)
+    yield from rows
+
+
+def repaired_order(starts: list[float], texts: list[str], quality: list[float], sure: list[float], most_passes: int = 4) -> list[int]:
+    """``repaired`` for lists: the places of the rows in their new order."""
+    lines = list(zip(starts, texts, quality, sure, strict=True))
+    return list(repaired(range(len(lines)), lines.__getitem__, most_passes))
 
 
 def repair_inversions(df: DataFrame, keys: list[str], place: str, start: str, text: str, quality: str, sure: str) -> DataFrame:
-    """df with ``new_place`` from 0 (repaired_order of the rows in order of ``place``, then start)."""
+    """df with ``new_place`` from 0 (``repaired`` of the rows in order of ``place``, then start)."""
+
+    def line(r: Row) -> Line:
+        return r[start], r[text] or "", r[quality] or 0.0, r[sure] or 0.0
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([place, start])
-        order = repaired_order(rows[start].tolist(), rows[text].fillna("").tolist(), rows[quality].tolist(), rows[sure].tolist())
-        return rows.iloc[order].assign(new_place=range(len(order)))
+    def fold(rows: Iterator[Row]) -> Iterator[Row]:
+        for k, r in enumerate(repaired(rows, line)):
+            yield r | {"new_place": k}
 
-    return per_group(df, keys, fold, fields_of(df) + ", new_place int")
+    return in_order(df, keys, [place, start], fold, extended(df, new_place=T.IntegerType()))
 
 
 @F.pandas_udf(T.IntegerType())

@@ -1,45 +1,52 @@
-"""Sequential passes over the rows of one bounded group: blocks, cursors, offsets that carry over, edited neighbours.
+"""Sequential passes over the rows of a group: blocks, cursors, offsets that carry over, edited neighbours.
 
-Each pass is a short fold over a group's rows in order; groups (songs, videos, users) run in parallel through
-``per_group``. None of them is right when rows of a group are seen apart, because a decision changes what later rows see.
+Each pass is a short fold over a group's rows in order; groups (songs, videos, users) run in parallel through ``in_order``,
+and their rows stream by. A decision changes what later rows see; what a fold carries along for that is a few rows.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from itertools import tee
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .entity import per_group
+from .entity import Row, extended, in_order
 
 
-def fields_of(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
-def block_numbers(starts: list[float], ends: list[float], most_span: float, least_overlap: float, most_rows: int) -> list[int]:
-    """Blocks of rows in order of start: a row joins the open block if the block's starts stay within ``most_span``, it
-    shares ``least_overlap`` with all of the block, and there is room."""
-    out, first, low_end, last_start, n, block = [], 0.0, 0.0, 0.0, 0, -1
-    for s, e in zip(starts, ends, strict=True):
+def blocks_of(times: Iterable[tuple[float, float]], most_span: float, least_overlap: float, most_rows: int) -> Iterator[int | None]:
+    """Block numbers of rows (start, end) in order of start: a row joins the open block if the block's starts stay within
+    ``most_span``, it shares ``least_overlap`` with all of the block, and there is room. Rows without times have none."""
+    first, low_end, last_start, n, block = 0.0, 0.0, 0.0, 0, -1
+    for s, e in times:
+        if s is None or e is None:
+            yield None
+            continue
         joins = n and n < most_rows and s - first <= most_span and min(low_end, e) - max(last_start, s) >= least_overlap
         if joins:
             low_end, last_start, n = min(low_end, e), max(last_start, s), n + 1
         else:
             block, first, low_end, last_start, n = block + 1, s, e, s, 1
-        out.append(block)
-    return out
+        yield block
+
+
+def block_numbers(starts: list[float], ends: list[float], most_span: float, least_overlap: float, most_rows: int) -> list[int]:
+    """``blocks_of`` for lists."""
+    return list(blocks_of(zip(starts, ends, strict=True), most_span, least_overlap, most_rows))
 
 
 def visibility_blocks(df: DataFrame, keys: list[str], start: str, end: str, most_span: float = 1.4, least_overlap: float = 0.75, most_rows: int = 6) -> DataFrame:
-    """df with ``block`` (block_numbers per key)."""
+    """df with ``block`` (blocks_of per key)."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([start, end])
-        return rows.assign(block=block_numbers(rows[start].tolist(), rows[end].tolist(), most_span, least_overlap, most_rows))
+    def fold(rows: Iterator[Row]) -> Iterator[Row]:
+        rows, ahead = tee(rows)
+        for r, n in zip(rows, blocks_of(((r[start], r[end]) for r in ahead), most_span, least_overlap, most_rows), strict=True):
+            yield r | {"block": n}
 
-    return per_group(df, keys, fold, fields_of(df) + ", block int")
+    return in_order(df, keys, [start, end], fold, extended(df, block=T.IntegerType()))
 
 
 def shifts_by_silences(gaps: list[tuple[float, float]], silences: list[tuple[float, float]], most: float = 20.0) -> list[tuple[float, float]]:
@@ -80,40 +87,62 @@ def drop_weaker_repeats(df: DataFrame, keys: list[str], at: str, text: str, qual
     """Of two similar rows (among the next ``ahead``, within ``reach``) the clearly worse one goes; rows that went are
     compared no more."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, text])
-        t, x, q = rows[at].tolist(), rows[text].tolist(), rows[quality].tolist()
-        gone: set[int] = set()
-        for i in range(len(t)):
-            for j in range(i + 1, min(i + 1 + ahead, len(t))):
-                if i in gone:
+    def fold(rows: Iterator[Row]) -> Iterator[Row]:
+        held: deque[list] = deque()  # [row, gone]
+
+        def settle() -> Iterator[Row]:
+            """Compares the oldest row with those held behind it and lets it go."""
+            first = held[0]
+            for other in list(held)[1 : 1 + ahead]:
+                if first[1]:
                     break
-                if j in gone or t[j] - t[i] > reach or min(len(x[i].split()), len(x[j].split())) < least_tokens:
+                (a, b) = first[0], other[0]
+                if other[1] or None in (a[at], b[at], a[text], b[text], a[quality], b[quality]) or b[at] - a[at] > reach or min(len(a[text].split()), len(b[text].split())) < least_tokens:
                     continue
-                if abs(q[i] - q[j]) >= least_gap and SequenceMatcher(None, x[i], x[j]).ratio() >= least_ratio:
-                    gone.add(i if q[i] < q[j] else j)
-        return rows.iloc[[k for k in range(len(t)) if k not in gone]]
-
-    return per_group(df, keys, fold, fields_of(df))
+                if abs(a[quality] - b[quality]) >= least_gap and SequenceMatcher(None, a[text], b[text]).ratio() >= least_ratio:
+                    (first if a[quality] < b[quality] else other)[1] = True
+            held.popleft()
+            if not first[1]:
+                yield first[0]
+
+        for r in rows:
+            held.append([r, False])
+            if len(held) > ahead:
+                yield from settle()
+        while held:
+            yield from settle()
+
+    return in_order(df, keys, [at, text], fold, df.schema)
+
+
+def trimmed(times: Iterable[tuple[float, float]], floor: float = 0.06) -> Iterator[tuple[float, float]]:
+    """Rows (start, end) in order of start that never cross the next row's start; each keeps ``floor`` at least, and then
+    pushes the next one on. Rows without times stay as they are."""
+    reach = None
+    now, ahead = tee(times)
+    next(ahead, None)
+    for s, e in now:
+        following = next(ahead, None)
+        if s is None or e is None:
+            yield s, e
+            continue
+        s = s if reach is None else max(s, reach)
+        e = e if following is None or following[0] is None else min(e, following[0])
+        reach = max(e, s + floor)
+        yield s, reach
 
 
 def trim_overlaps(starts: list[float], ends: list[float], floor: float = 0.06) -> list[tuple[float, float]]:
-    """Rows in order of start that never cross the next row's start; each keeps ``floor`` at least, and then pushes the
-    next one on."""
-    out: list[tuple[float, float]] = []
-    for k, (s, e) in enumerate(zip(starts, ends, strict=True)):
-        s = max(s, out[-1][1]) if out else s
-        e = min(e, starts[k + 1]) if k + 1 < len(starts) else e
-        out.append((s, max(e, s + floor)))
-    return out
+    """``trimmed`` for lists."""
+    return list(trimmed(zip(starts, ends, strict=True), floor))
 
 
 def resolved_overlaps(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """df with new_start and new_end (trim_overlaps per key)."""
+    """df with new_start and new_end (trimmed per key)."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([start, end])
-        got = trim_overlaps(rows[start].tolist(), rows[end].tolist())
-        return rows.assign(new_start=[a for a, _ in got], new_end=[b for _, b in got])
+    def fold(rows: Iterator[Row]) -> Iterator[Row]:
+        rows, ahead = tee(rows)
+        for r, (a, b) in zip(rows, trimmed((r[start], r[end]) for r in ahead), strict=True):
+            yield r | {"new_start": a, "new_end": b}
 
-    return per_group(df, keys, fold, fields_of(df) + ", new_start double, new_end double")
+    return in_order(df, keys, [start, end], fold, extended(df, new_start=T.DoubleType(), new_end=T.DoubleType()))
