@@ -13,7 +13,10 @@ from spanloom.operators import align as al
 from spanloom.operators import tracking as tr
 from spanloom.sources.tables import table
 
-from .base import points, query, rounded, spans
+from .base import S, points, query, rounded, spans
+
+#: The intervals of each user, numbered in order, with the start of the next.
+N = S + """, n AS (SELECT *, row_number() OVER w AS rn, lead("start") OVER w AS nxt FROM s WINDOW w AS (PARTITION BY user_id ORDER BY "start", "end"))"""
 
 
 ANY_PREFIX, ANY_PART = ("|".join(map(re.escape, x)) for x in (ru.PREFIXES, ru.SECTIONS))
@@ -72,13 +75,22 @@ def token_rules(spark, d):
     return r.select("doc_id", "expanded", F.size("r").cast("long").alias("collapsed"), F.md5(F.array_join(bound(F.col("r"), lambda x: ru.stripped_ends(x, ("this", "one", "la", "and"))), " ").cast("binary")).alias("stripped"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {N}, w AS (SELECT user_id, rn, event_id, "start" AS first, "end" AS low, "start" AS late, 1 AS k, 0 AS block FROM n WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, CASE WHEN j THEN first ELSE "start" END, CASE WHEN j THEN least(low, "end") ELSE "end" END, CASE WHEN j THEN greatest(late, "start") ELSE "start" END, CASE WHEN j THEN k + 1 ELSE 1 END, CASE WHEN j THEN block ELSE block + 1 END
+   FROM (SELECT n.user_id, n.rn, n.event_id, n."start", n."end", first, low, late, k, block, (k < 6 AND n."start" - first <= 7200 AND least(low, n."end") - greatest(late, n."start") >= 600) AS j FROM w JOIN n ON n.user_id = w.user_id AND n.rn = w.rn + 1))
+ SELECT event_id, block FROM w"""
+)
 def visibility_blocks(spark, d):
     rows = spans(spark, d).select("event_id", "user_id", "start", "end")
     return tr.visibility_blocks(rows, ["user_id"], "start", "end", 7200.0, 600.0, 6).select("event_id", "block")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {N}, w AS (SELECT user_id, rn, event_id, "start" AS a, greatest(least("end", coalesce(nxt, "end")), "start" + 0.06) AS b FROM n WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, a, greatest(least("end", coalesce(nxt, "end")), a + 0.06) FROM (SELECT n.*, greatest(n."start", w.b) AS a FROM w JOIN n ON n.user_id = w.user_id AND n.rn = w.rn + 1))
+ SELECT event_id, round(a, 3) AS new_start, round(b, 3) AS new_end FROM w"""
+)
 def resolved_overlaps(spark, d):
     rows = spans(spark, d).select("event_id", "user_id", "start", "end")
     return rounded(tr.resolved_overlaps(rows, ["user_id"], "start", "end").select("event_id", "new_start", "new_end"), 3)

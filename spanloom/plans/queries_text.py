@@ -12,7 +12,7 @@ from spanloom.operators import joins as jn
 from spanloom.sources import lrc
 from spanloom.sources.tables import table
 
-from .base import points, query, rounded, spans
+from .base import E, S, points, query, rounded, spans
 
 
 @query(
@@ -163,16 +163,30 @@ def turn_alignment(spark, d):
     return rounded(out, 6)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {S}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "start", "end") AS rn FROM s),
+ w AS (SELECT user_id, rn, event_id, "start", "end", event_type AS kept, "end" AS reach, true AS ok FROM n WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, "start", "end", CASE WHEN r THEN kept ELSE event_type END, CASE WHEN r THEN reach ELSE "end" END, NOT r FROM (SELECT n.*, w.kept, w.reach, (n.event_type = w.kept AND n."start" - w.reach <= 3600) AS r FROM w JOIN n ON n.user_id = w.user_id AND n.rn = w.rn + 1)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "start", "end") AS kn FROM w WHERE ok),
+ p AS (SELECT user_id, kn, event_id, "start" AS a, "start" + greatest(0.2, "end" - "start") AS b FROM k WHERE kn = 1
+  UNION ALL SELECT user_id, kn, event_id, a, a + greatest(0.2, "end" - "start") FROM (SELECT k.*, greatest(k."start", p.b + 0.02) AS a FROM p JOIN k ON k.user_id = p.user_id AND k.kn = p.kn + 1))
+ SELECT event_id, user_id, round(a, 3) AS new_start, round(b, 3) AS new_end FROM p"""
+)
 def kept_after_repeats(spark, d):
-    """Sequential passes over bounded groups: repeats by timing dropped, leaders clustered, overlaps pushed apart."""
+    """Sequential passes over each user's rows: repeats by timing dropped, leaders clustered, overlaps pushed apart."""
     rows = spans(spark, d).select("event_id", "user_id", "event_type", "start", "end")
     kept = en.drop_adjacent_repeats(rows, ["user_id"], "start", "end", "event_type", 3600.0)
     pushed = en.push_overlaps(kept, ["user_id"], "start", "end", 0.02, 0.2)
     return rounded(pushed.select("event_id", "user_id", "new_start", "new_end"), 3)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {E}, n AS (SELECT event_id, user_id, tm, value, row_number() OVER (PARTITION BY user_id ORDER BY tm, value) AS rn FROM e),
+ w AS (SELECT user_id, rn, event_id, [{{'t': tm, 'v': value}}] AS leaders, 0 AS cluster FROM n WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, CASE WHEN k IS NULL THEN list_append(leaders, {{'t': tm, 'v': value}}) ELSE leaders END, coalesce(k - 1, len(leaders))::INTEGER
+   FROM (SELECT n.*, w.leaders, nullif(list_position(list_transform(w.leaders, lambda x: abs(n.tm - x.t) <= 86400 AND abs(n.value - x.v) <= 20), true), 0) AS k FROM w JOIN n ON n.user_id = w.user_id AND n.rn = w.rn + 1))
+ SELECT event_id, cluster FROM w"""
+)
 def leader_clusters(spark, d):
     """Greedy leader clusters of a user's events by time and value."""
     rows = points(spark, d).select("event_id", "user_id", "at", "value")
