@@ -93,3 +93,31 @@ def assign_by_overlap(lines: DataFrame, bags: DataFrame, keys: list[str], line:
     out = sizes.join(best, [*keys, line], "left").withColumns({bag: F.coalesce(bag, F.lit(0)), "share": F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0))})
     run = Window.partitionBy(*keys).orderBy(line).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return out.withColumn("assigned", F.max(bag).over(run)).select(*keys, line, "share", "assigned")
+
+
+def similar_tokens(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: float = 0.8) -> DataFrame:
+    """keys, a, b: all pairs of a key's tokens that a matching ratio of ``least`` allows, and some more; what compares the
+    pairs need not look at any other.
+
+    A ratio of 2 M / (|a| + |b|) leaves at most t = (1 - least) (|a| + |b|) characters without a partner. Cut into t + 1
+    parts, a has one that none of these touches, and b holds that part no more than t places from where it stands in a. So
+    tokens meet by (lengths, part): no pair that shares no part is formed.
+    """
+
+    def lengths(of: str, other: str) -> DataFrame:
+        rows = (left if of == a else right).select(*keys, of).distinct().withColumn("__n", F.length(of))
+        share = least / (2 - least)  # of the longer length that the shorter one has at least
+        rows = rows.where("__n > 0").withColumn("__m", F.explode(F.sequence(F.ceil(F.col("__n") * share - 1e-9).cast("int"), F.floor(F.col("__n") / share + 1e-9).cast("int"))))
+        rows = rows.withColumn("__t", F.floor((1 - least) * (F.col("__n") + F.col("__m")) + 1e-9).cast("int")).where("abs(__n - __m) <= __t")
+        la, lb = ("__n", "__m") if of == a else ("__m", "__n")
+        rows = rows.withColumnsRenamed({la: "__la", lb: "__lb"})
+        rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__t"))))
+        edge = lambda k: F.floor(k * F.col("__la") / (F.col("__t") + 1)).cast("int")
+        return rows.withColumns({"__from": edge(F.col("__k")), "__size": edge(F.col("__k") + 1) - edge(F.col("__k"))}).where("__size > 0")
+
+    cut = lengths(a, b).withColumn("__part", F.substring(a, F.col("__from") + 1, F.col("__size")))
+    places = F.sequence(F.greatest(F.lit(0), F.col("__from") - F.col("__t")), F.least(F.col("__lb") - F.col("__size"), F.col("__from") + F.col("__t")))
+    held = lengths(b, a).where("__lb >= __size AND least(__lb - __size, __from + __t) >= greatest(0, __from - __t)").withColumn("__at", F.explode(places))
+    held = held.withColumn("__part", F.substring(b, F.col("__at") + 1, F.col("__size")))
+    on = [*keys, "__la", "__lb", "__k", "__part"]
+    return cut.select(*on, a).distinct().join(held.select(*on, b).distinct(), on).select(*keys, a, b).distinct()

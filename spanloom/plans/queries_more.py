@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scoring as sc
 from spanloom.operators import align as al
 from spanloom.operators import entity as en
+from spanloom.operators import joins as jn
 from spanloom.operators import sequences as sq
 from spanloom.operators import suppress as sp
 from spanloom.operators import windows as wn
@@ -132,10 +135,14 @@ def distinct_by_rounded_time(spark, d):
    FROM customer JOIN supplier ON c_nationkey = s_nationkey), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(score, 9) DESC, gap, s_suppkey) AS k FROM s) SELECT c_custkey, s_suppkey, round(score, 8) AS score FROM r WHERE k = 1"""
 )
 def combined_score_match(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    gap = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    pairs = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).withColumn("gap", gap)
-    score = 0.55 * (F.col("c_nationkey") == F.col("s_nationkey")).cast("int") + 0.25 * F.greatest(F.lit(0.0), 1 - gap / 10000) + 0.2 * (F.col("c_custkey") % 5 == F.col("s_suppkey") % 5).cast("int")
+    """For each customer the supplier of its nation with the best score. The score falls with the gap between balances, and
+    rises if the keys' classes agree: so one of the nearest of the class or of the nation is the best, and as-of joins
+    find these without forming the nation's pairs."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nat"), (F.col("c_custkey") % 5).alias("cls"), F.col("c_acctbal").alias("bal"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nat"), (F.col("s_suppkey") % 5).alias("cls"), F.col("s_acctbal").alias("bal"))
+    near = [jn.as_of(c, s.select(*keys, "bal", "s_suppkey"), keys, "bal", "s_suppkey", way) for keys in (["nat"], ["nat", "cls"]) for way in ("backward", "forward")]
+    pairs = reduce(DataFrame.unionByName, near).where("s_suppkey IS NOT NULL").withColumn("gap", F.abs(F.col("bal") - F.col("s_suppkey_at")))
+    score = 0.55 + 0.25 * F.greatest(F.lit(0.0), 1 - F.col("gap") / 10000) + 0.2 * (F.col("cls") == F.col("s_suppkey") % 5).cast("int")
     best = wn.top_n(pairs.withColumn("score", score), ["c_custkey"], [F.round("score", 9).desc(), "gap", "s_suppkey"], 1)
     return rounded(best.select("c_custkey", "s_suppkey", "score"), 8)
 
@@ -199,12 +206,11 @@ def order_dependent_matches(spark, d):
 
 @query()
 def token_similarity_pairs(spark, d):
-    """Similar tokens of a user's and an assistant's turn. Each distinct pair of tokens with a common start is compared once."""
+    """Similar tokens of a user's and an assistant's turns: all pairs that reach the ratio. Each distinct pair is compared once."""
     words = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 6)))
     rows = table(spark, d, "conversations").select("conv_id", "role", words.alias("w"))
-    a = rows.where("role = 'user'").select("conv_id", F.col("w").alias("a"), F.substring("w", 1, 3).alias("s"))
-    b = rows.where("role = 'assistant'").select("conv_id", F.col("w").alias("b"), F.substring("w", 1, 3).alias("s"))
-    pairs = a.join(b, ["conv_id", "s"]).select("a", "b").distinct().withColumn("similarity", al.similarity("a", "b"))
+    a, b = (rows.where(F.col("role") == role).select("conv_id", F.col("w").alias(c)) for role, c in (("user", "a"), ("assistant", "b")))
+    pairs = jn.similar_tokens(a, b, ["conv_id"], "a", "b", 0.8).select("a", "b").distinct().withColumn("similarity", al.similarity("a", "b"))
     return rounded(pairs.where("similarity >= 0.8"), 6)
 
 

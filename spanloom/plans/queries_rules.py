@@ -109,6 +109,6 @@ def timed_alignment(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, d, "conversations").select("conv_id", "turn", words.alias("b")).withColumn("a", F.lag("b").over(w)).where("a IS NOT NULL")
     clock = lambda c: F.transform(F.col(c), lambda x, k: k.cast("double") * 0.4)
-    rows = rows.withColumn("x", F.explode(al.timed_warp("a", clock("a"), "b", clock("b"))))
+    rows = rows.withColumn("x", F.explode(al.timed_warp("a", clock("a"), "b", clock("b"), None)))
     out = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.avg("x.cost").alias("mean_cost"), F.count_if(F.col("x.cost") < 0.3).alias("close"))
     return rounded(out, 6)

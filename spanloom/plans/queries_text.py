@@ -158,7 +158,7 @@ def _pairs(spark, d):
 @query()
 def turn_alignment(spark, d):
     """Token warping, matching-block F1 and longest common run of successive turns."""
-    rows = _pairs(spark, d).withColumns({"warp": al.token_warp("b", "w"), "f": al.token_f1("b", "w"), "run": al.longest_common_run("b", "w")})
+    rows = _pairs(spark, d).withColumns({"warp": al.token_warp("b", "w", None), "f": al.token_f1("b", "w"), "run": al.longest_common_run("b", "w")})
     out = rows.select("conv_id", "turn", "warp.n_path", "warp.total", "warp.matched", F.col("f.f1").alias("f1"), "run", al.overlap_suffix_prefix(F.col("b"), F.col("w")).alias("joined"))
     return rounded(out, 6)
 
