@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Callable, Iterable
 from functools import cached_property
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -29,9 +30,10 @@ from .common import load, with_columns_from
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]*")
 #: Bounds of what a Python worker remembers: pairs of pieces, bytes of words' ids, and characters of such a word.
-PAIRS = 150_000
-WORD_BYTES = 64 << 20
+PAIRS = 400_000
+WORD_BYTES = 128 << 20
 LONGEST = 64
+SHORT = 24  # characters of a word whose pairs are looked through
 OVERHEAD = 200  # bytes of a remembered word besides its ids
 #: What the unknown id decodes to, as the library has it.
 UNKNOWN_TEXT = " \u2047 "
@@ -55,9 +57,21 @@ class Vocabulary:
     def merged(self, word: str) -> list[str]:
         """The pieces that merging adjacent symbols leaves, best score first, leftmost first among equals.
 
-        A heap of pairs over a linked list, so n characters take n log n steps. An entry counts only while both its
-        symbols are as they were: a symbol that is merged into the one before it has length 0.
+        Short words by looking through all pairs for each merge; others by a heap of pairs over a linked list, so n
+        characters take n log n steps. An entry counts only while both its symbols are as they were: a symbol that is
+        merged into the one before it has length 0.
         """
+        if len(word) <= SHORT:
+            parts, get = list(word), self.scores.get
+            while len(parts) > 1:
+                best, at = None, -1
+                for k, pair in enumerate(map(add, parts, parts[1:])):
+                    if (s := get(pair)) is not None and (best is None or s > best):
+                        best, at = s, k
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return parts
         n, score = len(word), self.scores.get
         size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(-s, k, 2) for k in range(n - 1) if (s := score(word[k : k + 2])) is not None]
