@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import embedding, language_id, ogg, packing, pieces, quality, secret_scan, simhash
 from spanloom.llm.common import Scratch
 from spanloom.llm.components import components
+from spanloom.llm.jaccard import near_copies, settled, shingles, similarity
 from spanloom.llm.wordpiece_cache import ids_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -240,11 +241,30 @@ def test_stage_finds_near_copies_by_five_word_shingles(spark):
     df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], SCHEMA)
     kept = sorted(r[0] for r in rows(simhash.keep_one(spark, df, ""), "doc_id"))
     assert kept == sorted(set(groups.values())) and len(kept) < len(texts) - 12
+    for most in (1, 3):  # all cells, or nearly all, are crowded
+        got = {}
+        for k, root in rows(near_copies(df, most=most), "doc_id", "root"):
+            got.setdefault(root, []).append(k)
+        assert sorted(map(min, got.values())) == kept and {k: min(g) for g in got.values() for k in g} == groups
     base = [word() for _ in range(300)]
     many = [(k, " ".join([*base[:k], word(), *base[k + 1 :]]), "en", "a", 1) for k in range(150)]
     assert rows(simhash.keep_one(spark, spark.createDataFrame(many, SCHEMA), ""), "doc_id") == [(0,)]
 
 
+def test_crowded_cells_lose_no_pair(spark):
+    """Texts of one cell of which only neighbours in a path are alike, far more than a turn's hubs."""
+    words = [f"w{k}" for k in range(1000)]
+    texts = [" ".join(words[3 * k : 3 * k + 60]) for k in list(range(60)) + list(range(100, 160))]
+    sets = [shingles(t) for t in texts]
+    schema = "band int, cell long, node long, fp long, size long"
+    crowded = spark.createDataFrame([(0, 7, k, 0, len(g)) for k, g in enumerate(sets)], schema)
+    grams = spark.createDataFrame([(k, bytearray(g.tobytes())) for k, g in enumerate(sets)], "node long, grams binary")
+    with Scratch() as hold:
+        got = dict(rows(settled(crowded, spark.createDataFrame([], "a long, b long"), grams, hold), "node", "root"))
+    assert similarity(sets[0], sets[1]) >= 0.8 > similarity(sets[0], sets[3])
+    assert got == {k: 60 * (k // 60) for k in range(120)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(5, 5), (None, 3), (300, 301), (301, 300)], "a long, b long")
     got = dict(rows(components(edges), "node", "root"))
