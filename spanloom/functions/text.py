@@ -139,6 +139,12 @@ def canonical(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).translate(table).split()))
 
 
+def syllables(text: Column) -> Column:
+    """The runs of a-z of a text, lower case, cut so that each part ends with a vowel; what follows the last one is a part."""
+    consonant = "[a-z&&[^" + VOWELS + "]]"
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{consonant}*[{VOWELS}]|{consonant}+"), F.lit(0))
+
+
 @F.pandas_udf(T.StringType())
 def matching(text: pd.Series) -> pd.Series:
     """Lower case, accents off, other characters than letters, digits and spaces off, single spaces."""

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import rules as ru
 from spanloom.functions.nested import bound
+from spanloom.functions.text import syllables
 from spanloom.operators import align as al
+from spanloom.operators import sequences as sq
 from spanloom.operators import tracking as tr
 from spanloom.sources.tables import table
 
@@ -112,3 +114,38 @@ def timed_alignment(spark, d):
     rows = rows.withColumn("x", F.explode(al.timed_warp("a", clock("a"), "b", clock("b"), None)))
     out = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.avg("x.cost").alias("mean_cost"), F.count_if(F.col("x.cost") < 0.3).alias("close"))
     return rounded(out, 6)
+
+
+@query(
+    """WITH x AS (SELECT doc_id, regexp_extract_all(lower(text), '[b-df-hj-np-tvwxz]*[aeiouy]|[b-df-hj-np-tvwxz]+') AS parts FROM documents)
+ SELECT doc_id, len(parts) AS n_parts, md5(array_to_string(parts, '|')) AS parts_md5 FROM x"""
+)
+def syllable_parts(spark, d):
+    r = table(spark, d, "documents").select("doc_id", syllables(F.col("text")).alias("parts"))
+    return r.select("doc_id", F.size("parts").cast("long").alias("n_parts"), F.md5(F.array_join("parts", "|").cast("binary")).alias("parts_md5"))
+
+
+def _order_words(spark, d):
+    """Orders as lines, their items as words (start, end) in order; an order has a few items only."""
+    start, end = F.col("l_linenumber").cast("double"), F.col("l_linenumber") + F.col("l_quantity") / 50
+    items = table(spark, d, "lineitem").select("l_orderkey", F.struct(start.alias("start"), end.alias("end")).alias("word"), "l_discount", start.alias("low"), end.alias("high"))
+    return items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("word")).alias("words"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("l_discount").alias("most"))
+
+
+@query(
+    """WITH w AS (SELECT l_orderkey, l_linenumber AS s, l_linenumber + l_quantity / 50 AS e, min(l_linenumber) OVER o AS low, 1 + max(l_discount) OVER o AS f FROM lineitem WINDOW o AS (PARTITION BY l_orderkey))
+ SELECT l_orderkey, round(low + (s - low) * f, 6) AS new_start, round(low + (e - low) * f, 6) AS new_end FROM w"""
+)
+def retimed_words(spark, d):
+    r = _order_words(spark, d).select("l_orderkey", F.explode(sq.retimed(F.col("words"), F.col("low"), 1 + F.col("most"))).alias("w"))
+    return rounded(r.select("l_orderkey", F.col("w.start").alias("new_start"), F.col("w.end").alias("new_end")), 6)
+
+
+@query(
+    """WITH w AS (SELECT l_orderkey, l_linenumber AS s, l_linenumber + l_quantity / 50 AS e, count(*) OVER o AS n, min(l_linenumber) OVER o AS low, max(l_linenumber + l_quantity / 50) OVER o AS high FROM lineitem WINDOW o AS (PARTITION BY l_orderkey)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s, e) - 1 AS k, greatest(high - low, 0.2) / n AS slot FROM w)
+ SELECT l_orderkey, round(low + k * slot, 6) AS new_start, round(low + k * slot + 0.9 * slot, 6) AS new_end FROM k"""
+)
+def reflowed_words(spark, d):
+    r = _order_words(spark, d).select("l_orderkey", F.explode(sq.reflowed(F.col("words"), F.col("low"), F.col("high"))).alias("w"))
+    return rounded(r.select("l_orderkey", F.col("w.start").alias("new_start"), F.col("w.end").alias("new_end")), 6)

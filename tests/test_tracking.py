@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from spanloom.functions import text as tx
 from spanloom.operators import align as al
 from spanloom.operators import tracking as tr
 
@@ -59,3 +61,12 @@ def test_bands_and_costs():
 
 def test_syllables():
     assert al.syllable_groups(list("banana")) == [["b", "a"], ["n", "a"], ["n", "a"]] and al.syllable_groups(list("ast")) == [["a"], ["s", "t"]] and al.syllable_groups([]) == []
+
+
+def test_syllables_of_a_column_equal_the_groups(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abeoyrstn") for _ in range(rng.randrange(1, 9))) for _ in range(50)]
+    rows = spark.createDataFrame([(w,) for w in words] + [("A-b é",), ("",), (None,)], "w string").select("w", tx.syllables(F.col("w")).alias("p")).collect()
+    got = {r.w: r.p for r in rows}
+    assert all(got[w] == ["".join(g) for g in al.syllable_groups(list(w))] for w in words)
+    assert got["A-b é"] == ["a", "b"] and got[""] == [] and got[None] is None
