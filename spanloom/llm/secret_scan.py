@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs: the same matches as runs of any length, the short ones dropped
 KINDS = ("assign", "access", "hex", "random")
 
-LEAST_RUN = 20  # characters; shorter random strings don't tell themselves from words by their pairs
+LEAST_RUN = 20  # characters, unless the caller says otherwise; the shorter, the more words look random by their pairs
 GROWTH = 6
 SEPARATOR = re.compile(r"[/=_-]")
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SYMBOLS = len(LETTERS) + 2  # the edge of a string, and any other character
 #: Of the log-likelihood ratio: nats a character, and in all.
@@ -64,10 +64,12 @@ def codes(value: str) -> np.ndarray:
 
 
 class Markov:
-    """ratio[a, b]: log-likelihood ratio, random over ordinary, of symbol b after symbol a."""
+    """ratio[a, b]: log-likelihood ratio, random over ordinary, of symbol b after symbol a. Runs and parts of fewer than
+    ``least_run`` characters are never random."""
 
-    def __init__(self, ratio: np.ndarray):
-        self.ratio = ratio
+    def __init__(self, ratio: np.ndarray, least_run: int = LEAST_RUN):
+        self.ratio, self.least_run = ratio, least_run
+        self.candidate = re.compile(rf"[A-Za-z0-9+/_=-]{{{least_run},}}")
 
     def score(self, value: str) -> tuple[float, float]:
         """The ratio in all and a character."""
@@ -80,37 +82,32 @@ class Markov:
         return total >= LEAST_TOTAL and mean >= LEAST_MEAN
 
     def random_parts(self, value: str) -> list[tuple[int, int]]:
-        """The random parts of a run of token characters: those whose ratio is most above LEAST_MEAN a character (a key
-        behind a path, say), each grown to separators or ends less than GROWTH characters away where it stays random. A
-        part parts the run; what is left is searched likewise."""
+        """The random parts of a run of token characters: of its maximal parts (see maximal_parts; a key behind a path,
+        say) each is grown to separators or ends less than GROWTH characters away, not into other parts, where it stays
+        random; those that are random and long enough count. Time grows with the run's length."""
         c = codes(value)
-        sums = np.concatenate([[0.0], np.cumsum(self.ratio[c[:-1], c[1:]])])  # the last step is into the end
+        sums = np.concatenate([[0.0], np.cumsum(self.ratio[c[:-2], c[1:-1]])])  # without the step into the end
         above = sums - LEAST_MEAN * np.arange(len(sums))
         random_ = lambda a, b: sums[b] - sums[a] >= max(LEAST_TOTAL, LEAST_MEAN * (b - a))
-        edges = [0, *(m.start() for m in SEPARATOR.finditer(value)), *(m.end() for m in SEPARATOR.finditer(value)), len(value)]
-        out, todo = [], [(0, len(value))]
-        while todo:
-            a, b = todo.pop()
-            if b - a < LEAST_RUN:
-                continue
-            own = above[a : b + 1]
-            end = a + int(np.argmax(own - np.minimum.accumulate(own)))
-            start = a + int(np.argmin(above[a : end + 1]))
-            near = [max(a, start - GROWTH), min(b, end + GROWTH)]
-            grown = max((e for e in edges if near[0] <= e <= start), default=start), min((e for e in edges if end <= e <= near[1]), default=end)
+        edges = sorted({0, len(value), *(x for m in SEPARATOR.finditer(value) for x in m.span())})
+        out, parts = [], maximal_parts(above)
+        for k, (start, end) in enumerate(parts):
+            lowest = max(parts[k - 1][1] if k else 0, out[-1][1] if out else 0, start - GROWTH)
+            highest = min(parts[k + 1][0] if k + 1 < len(parts) else len(value), end + GROWTH)
+            left, right = edges[bisect_right(edges, start) - 1], edges[bisect_left(edges, end)]
+            grown = left if left >= lowest else start, right if right <= highest else end
             if random_(*grown):
                 start, end = grown
-            if end - start >= LEAST_RUN and random_(start, end):
+            if end - start >= self.least_run and random_(start, end):
                 out.append((start, end))
-                todo += [(a, start), (end, b)]
-        return sorted(out)
+        return out
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Random-looking runs, and parts of runs, outside the base spans. Both go by start, so one pass over each is
         enough; what a base span leaves of a run is a run of its own."""
         out, known, k = [], sorted((a, b) for _, a, b in base), 0
         reach = 0  # the end of the base spans so far
-        for m in CANDIDATE.finditer(text):
+        for m in self.candidate.finditer(text):
             at = m.start()
             pieces = []
             while k < len(known) and known[k][0] < m.end():
@@ -119,11 +116,39 @@ class Markov:
                 k += 1
             pieces.append((max(at, reach), m.end()))
             for a, b in pieces:
-                if b - a >= LEAST_RUN:
+                if b - a >= self.least_run:
                     out += [("random", a + x, a + y) for x, y in self.random_parts(text[a:b])]
         return out
 
 
+def maximal_parts(level: np.ndarray) -> list[tuple[int, int]]:
+    """Of a walk with these levels the parts that rise most: the best one (the first and shortest of equals), and likewise
+    in what is left on either side of it. By start, in one pass.
+
+    Parts found so far stand on a stack. Each knows the last part before it that begins lower (``lower``): only that one
+    can be joined to it, and is where it ends lower too.
+    """
+    up = np.flatnonzero(np.diff(level) > 0)
+    if not len(up):
+        return []
+    cut = np.flatnonzero(np.diff(up) > 1) + 1
+    values = level.tolist()
+    stack: list[tuple[int, int, int]] = []  # start, end, lower
+    for start, last in zip(up[np.append(0, cut)].tolist(), up[np.append(cut - 1, len(up) - 1)].tolist(), strict=True):
+        end = last + 1
+        at = len(stack) - 1
+        while True:
+            while at >= 0 and values[stack[at][0]] >= values[start]:
+                at = stack[at][2]
+            if at < 0 or values[stack[at][1]] >= values[end]:
+                break
+            start, before = stack[at][0], stack[at][2]
+            del stack[at:]
+            at = before
+        stack.append((start, end, at))
+    return [(a, b) for a, b, _ in stack]
+
+
 def samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most_documents: int = 400, strings: int = 4000, seed: int = 11) -> DataFrame:
     """Labelled samples (value, label): label 1 random strings in usual alphabets, label 0 identifiers made of the
     corpus's own words (alone, snake_case, kebab-case, camelCase, paths).
@@ -146,8 +171,9 @@ def samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most_do
     return ordinary.select("value", F.lit(0).alias("label")).union(spark.createDataFrame(made, "value string, label int"))
 
 
-def train(labelled: DataFrame, alpha: float = 0.5) -> Markov:
-    """Counts of symbol pairs by label (at most 2 * SYMBOLS**2 rows reach the driver); null values count for nothing."""
+def train(labelled: DataFrame, alpha: float = 0.5, least_run: int = LEAST_RUN) -> Markov:
+    """Counts of symbol pairs by label (at most 2 * SYMBOLS**2 rows reach the driver); null values count for nothing.
+    ``least_run``: see Markov."""
     reachable(labelled.sparkSession)
 
     def count(batches):
@@ -168,7 +194,7 @@ def train(labelled: DataFrame, alpha: float = 0.5) -> Markov:
     for r in rows:
         counts[r["label"], r["a"], r["z"]] += r["n"]
     p = np.log(counts / counts.sum(axis=2, keepdims=True))
-    return Markov(p[1] - p[0])
+    return Markov(p[1] - p[0], least_run)
 
 
 FOUND = T.StructType([T.StructField("secrets", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
@@ -179,10 +205,10 @@ def scan(df: DataFrame, model: Markov, text: str = "text", keep: list[str] | Non
 
     Null and empty texts have none. A column of that name is replaced; others, or those in ``keep``, pass through.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model.ratio)
+    sent = df.sparkSession.sparkContext.broadcast((model.ratio, model.least_run))
 
     def make():
-        m = Markov(sent.value)
+        m = Markov(*sent.value)
 
         def work(texts):
             out = []
@@ -199,7 +225,7 @@ def scan(df: DataFrame, model: Markov, text: str = "text", keep: list[str] | Non
 def masked(df: DataFrame, model: Markov, text: str = "text", mark: str = "<secret>") -> DataFrame:
     """df with every secret in ``text`` replaced by ``mark``; spans that overlap or touch become one. Of an assignment
     only the value goes, the name stays. Null stays null."""
-    sent = df.sparkSession.sparkContext.broadcast(model.ratio)
+    sent = df.sparkSession.sparkContext.broadcast((model.ratio, model.least_run))
     kind = next(f for f in df.schema if f.name == text)
 
     def clean(m: Markov, t: str | None) -> str | None:
@@ -215,7 +241,7 @@ def masked(df: DataFrame, model: Markov, text: str = "text", mark: str = "<secre
         return "".join(out) + t[at:] if out else t
 
     def make():
-        m = Markov(sent.value)
+        m = Markov(*sent.value)
         return lambda texts: [[clean(m, t) for t in texts]]
 
     return with_columns_from(df, [text], T.StructType([T.StructField(text, kind.dataType)]), make)

@@ -591,6 +591,64 @@ def test_random_parts_behind_ordinary_ones(markov):
     assert all(a >= 30 for _, a, b in markov.spans("0" * 30 + key, base)) and markov.spans("0" * 30 + key, base)
 
 
+def slow_parts(level: list[float]) -> list[tuple[int, int]]:
+    """The best rise, first and shortest of equals, and likewise on either side of it."""
+    rises = [(level[a] - level[b], b - a, a, b) for a in range(len(level)) for b in range(a + 1, len(level)) if level[b] > level[a]]
+    if not rises:
+        return []
+    _, _, a, b = min(rises, key=lambda r: (r[0], r[2], r[1]))
+    return slow_parts(level[: a + 1]) + [(a, b)] + [(b + x, b + y) for x, y in slow_parts(level[b:])]
+
+
+def test_maximal_parts_equal_slow_search():
+    rng = random.Random(21)
+    for _ in range(600):
+        steps = [rng.choice([-3, -2, -1, 1, 2, 3]) + rng.random() / 8 for _ in range(rng.randint(0, 24))]
+        level = np.concatenate([[0.0], np.cumsum(steps)]) if steps else np.zeros(1)
+        assert secret_scan.maximal_parts(level) == slow_parts(level.tolist())
+
+
+def slow_random_parts(m, value: str) -> list[tuple[int, int]]:
+    """Parts by slow search, each grown by trying every separator's edge near by."""
+    codes = secret_scan.codes(value).tolist()
+    sums = [0.0]
+    for a, b in zip(codes, codes[1:-1], strict=False):
+        sums.append(sums[-1] + m.ratio[a, b])
+    level = [s - secret_scan.LEAST_MEAN * k for k, s in enumerate(sums)]
+    fits = lambda a, b: sums[b] - sums[a] >= secret_scan.LEAST_TOTAL and (sums[b] - sums[a]) >= secret_scan.LEAST_MEAN * (b - a)
+    edges = {0, len(value)} | {k for k, c in enumerate(value) if c in "/=_-"} | {k + 1 for k, c in enumerate(value) if c in "/=_-"}
+    out, parts = [], slow_parts(level)
+    for k, (a, b) in enumerate(parts):
+        low = max([a - secret_scan.GROWTH] + [p[1] for p in parts[:k]] + [o[1] for o in out])
+        high = min([b + secret_scan.GROWTH] + [p[0] for p in parts[k + 1 :]])
+        x, y = max([e for e in edges if low <= e <= a], default=a), min([e for e in edges if b <= e <= high], default=b)
+        a, b = (x, y) if fits(x, y) else (a, b)
+        if b - a >= m.least_run and fits(a, b):
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("least", [8, 16, 20])
+def test_random_parts_equal_slow_search(markov, least):
+    rng, m = random.Random(22), secret_scan.Markov(markov.ratio, least)
+    found = 0
+    for _ in range(150):
+        parts = [rng.choice(["river", "mill", "config", "the", "_", "-", "/"]) if rng.random() < 0.6 else "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(4, 30))) for _ in range(rng.randint(1, 5))]
+        value = "".join(parts)[:70]
+        assert m.random_parts(value) == slow_random_parts(m, value)
+        found += len(m.random_parts(value))
+    assert found > 20
+
+
+def test_scanning_takes_linear_time(markov):
+    rng = random.Random(23)
+    key = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=32))
+    text = "/".join(f"the/river/mill/{key()}" for _ in range(22_000))[: 10**6]
+    began = time.process_time()
+    spans = markov.spans(text, [])
+    assert time.process_time() - began < 2 and sum(b - a for _, a, b in spans) > 600_000
+
+
 def test_precision_and_recall_of_random_spans(markov):
     rng = random.Random(21)
     ordinary = ["-".join("".join(rng.choices(["ka", "lo", "mi", "ren", "tos", "ing", "er"], k=3)) for _ in range(4)) for _ in range(300)]
