@@ -2,7 +2,9 @@
 
 Paragraphs earn points for their length and commas and pass them to their ancestors, in full to the parent and in
 falling shares above, discounted by the share of link text. The best container is kept together with its siblings that
-hold content; what is navigation, advertising, forms and the like by tag, role, class or id is never part of it.
+hold content, and the siblings of the containers around it. Navigation, scripts and the like are never content. Forms,
+footers and what role, class or id call advertising, comments, notices and so on is barred, but only while content is
+left without it: where the page has hardly any, the barred element that holds most of it is let in.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import cached_property
+from heapq import heappop, heappush
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +23,10 @@ from .common import load, with_columns_from
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 #: Never content, with all they hold.
-DROPPED = RAW | frozenset("head nav footer aside form button select option fieldset menu dialog svg math canvas object audio video map datalist".split())
-BLOCKS = frozenset(
+DROPPED = RAW | frozenset("head nav button select option menu dialog svg math canvas object audio video map datalist".split())
+#: Content only if there is hardly any without them.
+BARRED = frozenset("footer aside form fieldset".split())
+BLOCKS = BARRED | frozenset(
     "address article blockquote body caption center dd details dir div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -37,6 +42,12 @@ BAD_WORDS = frozenset(
 )
 #: Of these, words that layout wrappers around the content bear too; they don't count on an element with an article inside.
 LAYOUT_WORDS = frozenset("nav navbar navigation menu sidebar footer banner promo share sharing social toolbar topbar search ads".split())
+#: Words of what readers or advertisers wrote, or what covers the page: such an element is let in only if nothing else earns points.
+NEVER_FIRST = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored comment comments disqus reply replies respond cookie cookies consent gdpr popup modal overlay subscribe newsletter signup login hidden".split())
+#: Barred elements are let in while the rest of the page earns fewer points than this, and less than this share of theirs.
+HARDLY_ANY, SMALL_SHARE = 4.0, 0.2
+#: Siblings of containers further up than the best one's need so many points.
+FAR_POINTS = 3.0
 #: Before such a word: the page says that it has, or lacks, such a part; it isn't one.
 PARTICLES = frozenset("no not has have with without".split())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -48,14 +59,18 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "score", "bad", "layout", "holds", "length", "linked")
+    __slots__ = ("tag", "attrs", "parent", "kids", "score", "bad", "bar", "layout", "holds", "length", "linked", "points", "under", "out")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.kids, self.score = tag, attrs, parent, [], 0.0
+        self.tag, self.attrs, self.parent, self.kids, self.score, self.points = tag, attrs, parent, [], 0.0, 0.0
         self.holds, self.length, self.linked = False, 0, 0  # whether an article is inside; characters of text, and of links
         words = marks(attrs) if attrs and tag not in ("html", "body") else frozenset()
-        self.bad = tag in DROPPED or bool(words)
-        self.layout = tag not in DROPPED and bool(words) and words <= LAYOUT_WORDS
+        inline = tag not in BLOCKS
+        self.bad = tag in DROPPED or inline and bool(words)
+        #: 0 not barred, 1 barred, 2 barred and let in last.
+        self.bar = 0 if inline else 2 if words & NEVER_FIRST else 1 if words or tag in BARRED else 0
+        self.layout = not inline and words <= LAYOUT_WORDS and (bool(words) or tag == "form")
+        self.under, self.out = None, False  # the nearest barred element around it, or itself; whether it is barred in the end
 
 
 def marks(attrs: str) -> set[str]:
@@ -209,11 +224,11 @@ def parse(html: str) -> Node:
             here = close(root)
         node = Node(tag, rest, here)
         here.kids.append(node)
-        if tag in CONTENT and not node.bad:
+        if tag in CONTENT and not node.bar:
             up = here
             while up is not None and not up.holds:
                 up.holds = True
-                up.bad = up.bad and not up.layout
+                up.bar = 0 if up.layout else up.bar
                 up = up.parent
         if tag in RAW:
             markup.resume = last_end = markup.after_raw(tag, end)
@@ -227,7 +242,7 @@ def parse(html: str) -> Node:
 
 def blocks(node: Node) -> list[tuple[Node, str, int]]:
     """(innermost block element, text, characters of it in links) for each run of text, in page order; white space is
-    collapsed. Content only."""
+    collapsed. What is never content is left out."""
     out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     linked = [0]
@@ -265,22 +280,60 @@ def blocks(node: Node) -> list[tuple[Node, str, int]]:
 
 
 def in_order(root: Node) -> list[Node]:
-    """The elements below root and root itself, each before those inside it."""
-    out, at = [root], 0
-    while at < len(out):
-        out += [k for k in out[at].kids if not isinstance(k, str)]
-        at += 1
+    """root and the elements below it in page order, each before those inside it."""
+    out, todo = [], [root]
+    while todo:
+        out.append(todo.pop())
+        todo += [k for k in reversed(out[-1].kids) if not isinstance(k, str)]
     return out
 
 
-def drop_headers(nodes: list[Node]) -> None:
-    """Headers that are not those of an article, section or main element are no content."""
+def bar_headers(nodes: list[Node]) -> None:
+    """Headers that are not those of an article, section or main element are barred."""
     inside: set[int] = set()
     for n in nodes:
         if id(n.parent) in inside or n.tag in ("article", "section", "main"):
             inside.add(id(n))
         if n.tag == "header" and id(n.parent) not in inside:
-            n.bad = True
+            n.bar = n.bar or 1
+
+
+def let_in(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
+    """Lets barred elements in while the page has hardly any content without them: of the outermost ones that with the most
+    points inside, first in page order among equals, if the rest has less than a small share of them; those let in last
+    only if nothing else earns points. What is barred inside stays so until its turn. A page with text in an article or main
+    element that isn't barred has content. Sets ``out`` of all elements."""
+    articles: set[int] = set()
+    for n in nodes:
+        n.under = n if n.bar else n.parent.under if n.parent is not None else None
+        if n.under is None and (n.tag in CONTENT or id(n.parent) in articles):
+            articles.add(id(n))
+    own: dict[int, float] = Counter()  # points of an element that nothing within it bars
+    for owner, text, linked in found:
+        own[id(owner.under)] += points(owner, text, linked)
+    barred = [n for n in nodes if n.bar]
+    outer = lambda n: n.parent.under if n.parent is not None else None
+    total = dict(own)
+    below: dict[int, list[tuple[int, Node]]] = {}
+    for n in reversed(barred):
+        total[id(outer(n))] = total.get(id(outer(n)), 0.0) + total.get(id(n), 0.0)
+    for place, n in enumerate(barred):
+        below.setdefault(id(outer(n)), []).append((place, n))
+    content = HARDLY_ANY if any(id(owner) in articles for owner, _, _ in found) else own[id(None)]
+    heap: list[tuple] = []
+    todo = below.get(id(None), [])
+    while True:
+        for place, n in todo:
+            if total.get(id(n), 0.0) > 0:
+                heappush(heap, (n.bar, -round(total[id(n)], 6), place, n))
+        if not heap or content >= HARDLY_ANY or content > 0 and (heap[0][0] == 2 or content >= SMALL_SHARE * -heap[0][1]):
+            break
+        *_, n = heappop(heap)
+        n.bar = 0
+        content += own[id(n)]
+        todo = below.get(id(n), [])
+    for n in nodes:
+        n.out = bool(n.bar) or n.parent is not None and n.parent.out
 
 
 def points(owner: Node, text: str, linked: int) -> float:
@@ -289,13 +342,14 @@ def points(owner: Node, text: str, linked: int) -> float:
 
 
 def weigh(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
-    """Sets score, length and linked of all elements. A block's points go in full to its parent (a div keeps its own), half
+    """Sets score, length, linked and points (of all that is inside) of all elements. A block's points go in full to its parent (a div keeps its own), half
     to the one above, and from there on two thirds of what the one below got."""
     first: dict[int, float] = {}  # points that arrive in full
     rest: dict[int, float] = {}  # and those that have been passed on
     for owner, text, linked in found:
         to = owner if owner.tag == "div" or owner.parent is None else owner.parent
         first[id(to)] = first.get(id(to), 0.0) + points(owner, text, linked)
+        owner.points += points(owner, text, linked)
         owner.length += len(text)
         owner.linked += linked
     for n in reversed(nodes):
@@ -305,37 +359,67 @@ def weigh(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
             rest[id(up)] = rest.get(id(up), 0.0) + full / 2 + shared * 2 / 3
             up.length += n.length
             up.linked += n.linked
+            up.points += n.points
+
+
+def density(n: Node) -> float:
+    return n.linked / max(1, n.length)
+
+
+def content_of(best: Node) -> list[Node]:
+    """The best container, its siblings that hold content, and those of the containers around it.
+
+    Siblings next to it: with few links, and a fifth of its score, or a long paragraph, or a heading. Further up: with few
+    links and enough points; around an article only such as hold an article.
+    """
+    kept, article = [best], best.tag in CONTENT
+    least, far = max(1.0, 0.2 * best.score), max(FAR_POINTS, 0.2 * best.points)
+    node = best
+    while node.parent is not None:
+        for kid in node.parent.kids:
+            if isinstance(kid, str) or kid is node or kid.out or not kid.length or density(kid) >= 0.3:
+                continue
+            if node is best:
+                wanted = kid.score >= least or kid.tag == "p" and kid.length >= 80 or not article and kid.tag in HEADINGS
+            else:
+                wanted = kid.points >= far and (not article or kid.holds or kid.tag in CONTENT)
+            if wanted:
+                kept.append(kid)
+        node = node.parent
+    return kept
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks in page order, joined by an empty line; empty for null, empty and textless pages. Takes time
-    in proportion to the page's length, however deep or wrong its markup."""
+    """The article's blocks in page order, joined by an empty line; empty for null, empty and textless pages, and for those
+    of nothing but links, which are menus.
+
+    Of containers with equal scores (to six digits) the first in page order is best, and the outer one of two within each
+    other. If no block earns points, the blocks that aren't mostly links are the text. Takes time in proportion to the
+    page's length, however deep or wrong its markup.
+    """
     if not html:
         return ""
     root = parse(html)
     nodes = in_order(root)
-    drop_headers(nodes)
+    bar_headers(nodes)
     found = blocks(root)
-    if not found:
-        return ""
+    let_in(nodes, found)
+    found = [b for b in found if not b[0].out]
     weigh(nodes, found)
-    density = lambda n: n.linked / max(1, n.length)
-    best = max((n for n in nodes if n.length or n is root), key=lambda n: n.score * (1 - density(n)))
+    best = max(nodes, key=lambda n: round(n.score * (1 - density(n)), 6))
+    unlinked = "\n\n".join(text for _, text, linked in found if 2 * linked < len(text))
+    if best.score <= 0:
+        return unlinked
     up = best
     while up is not None:  # an article or main element around the best container is what its author calls the content
         if up.tag in CONTENT:
             best = up
         up = up.parent
     if best.parent is None or best.tag == "body":
-        return "\n\n".join(t for _, t, _ in found)
-    kept = [best]
-    least = max(1.0, 0.2 * best.score)
-    for kid in best.parent.kids:
-        if not isinstance(kid, str) and kid is not best and not kid.bad and kid.length and density(kid) < 0.3:
-            long_paragraph = kid.tag == "p" and kid.length >= 80
-            if kid.score >= least or long_paragraph or best.tag not in CONTENT and kid.tag in HEADINGS:
-                kept.append(kid)
-    inside = {id(n) for k in kept for n in in_order(k)}
+        kept = [k for k in best.kids if not isinstance(k, str) and density(k) < 0.5]
+        inside = {id(best)} | {id(n) for k in kept for n in in_order(k)}
+    else:
+        inside = {id(n) for k in content_of(best) for n in in_order(k)}
     return "\n\n".join(text for owner, text, _ in found if id(owner) in inside)
 
 

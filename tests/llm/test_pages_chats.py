@@ -50,6 +50,35 @@ def test_main_text(body, blocks):
     assert html_text.main_text(page(body)) == "\n\n".join(blocks)
 
 
+FIVE = [f"{P1} {k}" for k in range(5)]
+THREE = "".join(f"<p>{t}</p>" for t in FIVE[:3])
+TWO = "".join(f"<p>{t}</p>" for t in FIVE[3:])
+
+
+@pytest.mark.parametrize(
+    ("body", "blocks"),
+    [
+        (f"<div><section>{THREE}</section></div><div><section>{TWO}</section></div>", FIVE),
+        (f"<div><div><section>{THREE}</section></div></div><div><p>&copy; us</p></div>", FIVE[:3]),
+        (f"<div><article>{THREE}</article></div><div><section>{TWO}</section></div>", FIVE[:3]),
+        (f"<form><article>{THREE}</article></form>", FIVE[:3]),
+        (f"<form><div id=content>{THREE}</div><input></form>", FIVE[:3]),
+        (f'<div class="post social-issues">{THREE}</div>', FIVE[:3]),
+        (f'<div id="search-results">{THREE}</div>', FIVE[:3]),
+        (f'<div class="page-header-menu">{THREE}</div>', FIVE[:3]),
+        (f'<article class="notice">{THREE}</article><footer>&copy; us</footer>', FIVE[:3]),
+        (f"<div id=c><p>{P1}</p><p>{P2}</p></div><div class=comments>{THREE}{TWO}</div>", [P1, P2]),
+        (f"<div class=comments>{THREE}</div>", FIVE[:3]),
+        (f"<article><h1>Mill</h1></article><div class=ad>{P1}</div>", ["Mill"]),
+        (f"<article><p>Hi.</p></article><aside>{THREE}{TWO}</aside><form>{THREE}</form>", ["Hi."]),
+        ("<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>", []),
+        (f"<ul><li><a href=x>Home</a></li></ul><p>{P1}</p><p>{P2}</p>", [P1, P2]),
+    ],
+)
+def test_no_article_is_lost(body, blocks):
+    assert html_text.main_text(page(body)) == "\n\n".join(blocks)
+
+
 def test_main_text_of_odd_pages():
     for html in (None, "", "   ", "<", "<p", "</p></div>", "<!--", "<script>", "<a" * 50, "\0"):
         assert isinstance(html_text.main_text(html), str)
@@ -68,6 +97,12 @@ def test_time_grows_with_length_only(unit):
     assert time.process_time() - began < 20
 
 
+def above(n):
+    while n is not None:
+        yield n
+        n = n.parent
+
+
 def slow_main_text(html: str) -> str:
     """Tree scoring over the standard library's parser, every block walking up to the root. For well-formed pages."""
     root = here = html_text.Node("html", "", None)
@@ -79,11 +114,10 @@ def slow_main_text(html: str) -> str:
                 return
             node = html_text.Node(tag, " ".join(f'{k}="{v or ""}"' for k, v in attrs), here)
             here.kids.append(node)
-            if tag in html_text.CONTENT and not node.bad:
-                up = here
-                while up is not None:
-                    up.bad = up.bad and not up.layout
-                    up = up.parent
+            if tag in html_text.CONTENT and not node.bar:
+                for up in above(node.parent):
+                    up.bar = 0 if up.layout else up.bar
+                    up.holds = True
             if tag not in html_text.VOID:
                 here = node
 
@@ -99,43 +133,54 @@ def slow_main_text(html: str) -> str:
 
     Reader(convert_charrefs=True).feed(html)
 
-    def above(n):
-        while n is not None:
-            yield n
-            n = n.parent
-
-    def mark(n):
+    def order(n):
+        yield n
         for k in n.kids:
             if not isinstance(k, str):
-                if k.tag == "header" and not any(u.tag in ("article", "section", "main") for u in above(k.parent)):
-                    k.bad = True
-                mark(k)
+                yield from order(k)
 
-    mark(root)
+    nodes = list(order(root))
+    for n in nodes:
+        if n.tag == "header" and not any(u.tag in ("article", "section", "main") for u in above(n.parent)):
+            n.bar = n.bar or 1
     found = html_text.blocks(root)
-    score, length, linked = Counter(), Counter(), Counter()
-    nodes = {id(n): n for owner, _, _ in found for n in above(owner)}
+    points = lambda owner, text, links: 0.0 if owner.tag in html_text.HEADINGS else (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - links / len(text))
+    barred = lambda n: any(u.bar for u in above(n))
+    article = any(any(u.tag in html_text.CONTENT for u in above(o)) and not barred(o) for o, _, _ in found)
+    while not article:
+        free = sum(points(*b) for b in found if not barred(b[0]))
+        inside = {id(n): round(sum(points(*b) for b in found if any(u is n for u in above(b[0]))), 6) for n in nodes if n.bar and not barred(n.parent)}
+        first = [n for n in nodes if inside.get(id(n), 0) > 0 and n.bar == 1] or [n for n in nodes if inside.get(id(n), 0) > 0]
+        best = max(first, key=lambda n: inside[id(n)], default=None)
+        if best is None or free >= 4 or free > 0 and (best.bar == 2 or free >= 0.2 * inside[id(best)]):
+            break
+        best.bar = 0
+    found = [b for b in found if not barred(b[0])]
+    score, length, linked, total = Counter(), Counter(), Counter(), Counter()
     for owner, text, links in found:
-        points = 0.0 if owner.tag in html_text.HEADINGS else (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - links / len(text))
+        p = points(owner, text, links)
         for k, n in enumerate(above(owner if owner.tag == "div" or owner.parent is None else owner.parent)):
-            score[id(n)] += points * (1 if k == 0 else 0.5 * (2 / 3) ** (k - 1))
+            score[id(n)] += p * (1 if k == 0 else 0.5 * (2 / 3) ** (k - 1))
         for n in above(owner):
             length[id(n)] += len(text)
             linked[id(n)] += links
-    if not found:
-        return ""
+            total[id(n)] += p
     density = lambda n: linked[id(n)] / max(1, length[id(n)])
-    best = max(nodes.values(), key=lambda n: round(score[id(n)] * (1 - density(n)), 9))
+    best = max(nodes, key=lambda n: round(score[id(n)] * (1 - density(n)), 6))
+    if score[id(best)] <= 0:
+        return "\n\n".join(t for _, t, links in found if links < len(t) / 2)
     for n in above(best):
         best = n if n.tag in html_text.CONTENT else best
     if best.parent is None:
-        return "\n\n".join(t for _, t, _ in found)
-    kept = {id(best)} | {
-        id(k) for k in best.parent.kids
-        if not isinstance(k, str) and not k.bad and length[id(k)] and density(k) < 0.3
-        and (score[id(k)] >= max(1.0, 0.2 * score[id(best)]) or k.tag == "p" and length[id(k)] >= 80 or best.tag not in html_text.CONTENT and k.tag in html_text.HEADINGS)
-    }
-    return "\n\n".join(t for owner, t, _ in found if any(id(n) in kept for n in above(owner)))
+        return "\n\n".join(t for o, t, _ in found if o is best or any(n.parent is best and density(n) < 0.5 for n in above(o)))
+    kept, article = [best], best.tag in html_text.CONTENT
+    for n in above(best):
+        for k in n.parent.kids if n.parent is not None else []:
+            if not isinstance(k, str) and k is not n and not barred(k) and length[id(k)] and density(k) < 0.3:
+                near = score[id(k)] >= max(1.0, 0.2 * score[id(best)]) or k.tag == "p" and length[id(k)] >= 80 or not article and k.tag in html_text.HEADINGS
+                far = total[id(k)] >= max(3.0, 0.2 * total[id(best)]) and (not article or any(x.tag in html_text.CONTENT and not x.bar for x in order(k)))
+                kept += [k] if (near if n is best else far) else []
+    return "\n\n".join(t for owner, t, _ in found if any(n is k for n in above(owner) for k in kept))
 
 
 def test_main_text_equals_slow_scoring():
@@ -151,7 +196,7 @@ def test_main_text_equals_slow_scoring():
             return f"<ul>{''.join(f'<li><a href=x>{words(3)}</a></li>' for _ in range(rng.randint(1, 6)))}</ul>"
         if kind == 4:
             return f"<h2>{words(3)}</h2>"
-        tag = rng.choice(["div", "section", "div class='sidebar'", "blockquote", "article", "header", "nav", "div id='c1'"])
+        tag = rng.choice(["div", "section", "div class='sidebar'", "blockquote", "article", "header", "nav", "div id='c1'", "form", "div class='comments'", "aside", "div", "section"])
         return f"<{tag}>{''.join(some(depth - 1) for _ in range(rng.randint(1, 5)))}</{tag.split()[0]}>"
 
     for _ in range(400):
