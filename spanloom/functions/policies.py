@@ -136,8 +136,8 @@ def lyric_quality(df: DataFrame, losses=LYRIC_LOSSES) -> DataFrame:
     return df.withColumn("quality", F.when(F.col("n_lines") < 1, 0.0).when(F.col("n_lines") < 2, 20.0).otherwise(clamp((100 - lost).cast("double"), 0.0, 100.0)))
 
 
-def timing_quality(df: DataFrame) -> DataFrame:
-    """df (TIMING_METRICS) with timing_quality_score, timing_quality_band and timing_quality_mode.
+def timing_quality(df: DataFrame, digits: int = 4) -> DataFrame:
+    """df (TIMING_METRICS) with timing_quality_score (to so many digits), timing_quality_band and timing_quality_mode.
 
     Internal metrics where both coverages are known, else a fallback on anchors; blended with the gold metrics where 20
     words compare, held down by them where a short gold text compares well. Other nulls count 0.
@@ -151,7 +151,7 @@ def timing_quality(df: DataFrame) -> DataFrame:
     score = clamp(F.when(blended, (1 - GOLD_SHARE) * F.col("__own") + GOLD_SHARE * F.col("__gold")).when(clipped, F.least("__own", "__gold")).otherwise(F.col("__own")))
     mode = F.concat(F.when(F.col("__dtw"), "dtw_internal").otherwise("anchor_fallback"), F.when(blended, "+gold").when(clipped, "+gold_clip").otherwise(""))
     out = known.withColumns({"__score": score, "__mode": mode})
-    return out.select(*(F.col(f"__{c}").alias(c) for c in df.columns), F.round("__score", 4).alias("timing_quality_score"), band(F.col("__score"), QUALITY, "poor").alias("timing_quality_band"), F.col("__mode").alias("timing_quality_mode"))
+    return out.select(*(F.col(f"__{c}").alias(c) for c in df.columns), F.round("__score", digits).alias("timing_quality_score"), band(F.col("__score"), QUALITY, "poor").alias("timing_quality_band"), F.col("__mode").alias("timing_quality_mode"))
 
 
 def trust_policy(df: DataFrame, severe: float = 12.0, cases: Cases = TRUST, modes: Mapping[str, str] = TRUST_MODES) -> DataFrame:
@@ -198,23 +198,23 @@ def stepped(steps: Steps) -> tuple[Column, Column]:
     return score, F.array_sort(F.filter(F.array(*reasons), lambda x: x.isNotNull()))
 
 
-def triage(df: DataFrame, steps: Steps, least: float) -> DataFrame:
+def triage(df: DataFrame, steps: Steps, least: float, digits: int = 3) -> DataFrame:
     """The rows of df (TRIAGE_METRICS, timing_quality_score, suspected, gold_available; nulls count 0) whose score exceeds
     ``least``, with triage_score and reasons."""
     known = df.withColumn("known_quality", F.col("timing_quality_score").cast("double"))
     known = known.select(*(F.col(c).alias(f"__{c}") for c in df.columns), "known_quality", "suspected", "gold_available", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in TRIAGE_METRICS))
     score, reasons = stepped(steps)
     out = known.withColumns({"triage_score": score, "reasons": reasons}).where(F.col("triage_score") > least)
-    return out.select(*(F.col(f"__{c}").alias(c) for c in df.columns), F.round("triage_score", 3).alias("triage_score"), "reasons")
+    return out.select(*(F.col(f"__{c}").alias(c) for c in df.columns), F.round("triage_score", digits).alias("triage_score"), "reasons")
 
 
-def triage_rankings(df: DataFrame, key: str, top: int = 5) -> DataFrame:
+def triage_rankings(df: DataFrame, key: str, top: int = 5, digits: int = 3) -> DataFrame:
     """kind, place, key, triage_score and reasons: the records of likely wrong references, and of likely pipeline failures,
     ``top`` of each (a top-k report), ties by key."""
     kinds = (("likely_reference_divergence", REFERENCE_STEPS, 0.0), ("likely_pipeline_failure", PIPELINE_STEPS, 0.25))
     out = None
     for kind, steps, least in kinds:
-        best = triage(df, steps, least).select(F.lit(kind).alias("kind"), key, "triage_score", "reasons").orderBy(F.col("triage_score").desc(), key).limit(top)
+        best = triage(df, steps, least, digits).select(F.lit(kind).alias("kind"), key, "triage_score", "reasons").orderBy(F.col("triage_score").desc(), key).limit(top)
         out = best if out is None else out.unionByName(best)
     return out.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("triage_score").desc(), key)))
 

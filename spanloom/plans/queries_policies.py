@@ -58,10 +58,10 @@ def _unit(x: str) -> str:
    0.35 * {_unit("gold_word_coverage_ratio")} + 0.65 * (1 - {_unit("gold_start_mean_abs_sec / 1.25")}) AS gold FROM a),
  c AS (SELECT *, CASE WHEN gold_comparable_word_count >= 20 THEN 0.78 * own + 0.22 * gold WHEN gold_word_count <= 40 AND gold_comparable_word_count >= 8 AND gold_word_coverage_ratio >= 0.75 THEN least(own, gold) ELSE own END AS score,
    CASE WHEN dtw THEN 'dtw_internal' ELSE 'anchor_fallback' END || CASE WHEN gold_comparable_word_count >= 20 THEN '+gold' WHEN gold_word_count <= 40 AND gold_comparable_word_count >= 8 AND gold_word_coverage_ratio >= 0.75 THEN '+gold_clip' ELSE '' END AS mode FROM b)
- SELECT p_partkey, round(score, 4) AS score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.65 THEN 'good' WHEN score >= 0.5 THEN 'fair' ELSE 'poor' END AS band, mode FROM c"""
+ SELECT p_partkey, round(score, 7) AS score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.65 THEN 'good' WHEN score >= 0.5 THEN 'fair' ELSE 'poor' END AS band, mode FROM c"""
 )
 def timing_qualities(spark, d):
-    return po.timing_quality(_made(spark, d)).select("p_partkey", F.col("timing_quality_score").alias("score"), F.col("timing_quality_band").alias("band"), F.col("timing_quality_mode").alias("mode"))
+    return po.timing_quality(_made(spark, d), 7).select("p_partkey", F.col("timing_quality_score").alias("score"), F.col("timing_quality_band").alias("band"), F.col("timing_quality_mode").alias("mode"))
 
 
 @query(
@@ -111,6 +111,7 @@ def failure_modes(spark, d):
     return po.failure_mode(_made(spark, d)).select("p_partkey", "failure")
 
 
+#: To seven digits: fewer would leave ties, which the two engines round each in its own way.
 TRIAGE = f"""{M}, q AS (SELECT p_partkey, suspected, gold_available, coalesce(dtw_line_coverage, 0) AS ln, coalesce(dtw_word_coverage, 0) AS wd, low_confidence_ratio AS low, agreement_coverage_ratio AS agree, agreement_text_similarity_mean AS sim, agreement_start_p95_abs_sec AS p95,
   agreement_bad_ratio AS bad, CASE WHEN p_partkey % 10 <> 6 THEN coverage END AS quality, gold_word_coverage_ratio AS gold, gold_start_mean_abs_sec AS off, gold_start_p95_abs_sec AS off95, hook_boundary_variant_ratio AS hook, agreement_hook_boundary_eligibility_ratio AS elig,
   agreement_hook_boundary_text_similarity_mean AS hsim, least(divergence_score, 4) AS div FROM m),
@@ -131,25 +132,25 @@ def _triaged(spark, d):
     return _made(spark, d).withColumn("timing_quality_score", F.when(F.col("p_partkey") % 10 != 6, F.col("coverage")))
 
 
-@query(f"WITH {TRIAGE} SELECT p_partkey, round(pipeline, 3) AS score, pipeline_reasons AS reasons FROM f WHERE pipeline > 0.25")
+@query(f"WITH {TRIAGE} SELECT p_partkey, round(pipeline, 7) AS score, pipeline_reasons AS reasons FROM f WHERE pipeline > 0.25")
 def pipeline_triage(spark, d):
-    out = po.triage(_triaged(spark, d), po.PIPELINE_STEPS, 0.25)
+    out = po.triage(_triaged(spark, d), po.PIPELINE_STEPS, 0.25, 7)
     return out.select("p_partkey", F.col("triage_score").alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"WITH {TRIAGE} SELECT p_partkey, round(reference, 3) AS score, reference_reasons AS reasons FROM f WHERE reference > 0")
+@query(f"WITH {TRIAGE} SELECT p_partkey, round(reference, 7) AS score, reference_reasons AS reasons FROM f WHERE reference > 0")
 def reference_triage(spark, d):
-    out = po.triage(_triaged(spark, d), po.REFERENCE_STEPS, 0.0)
+    out = po.triage(_triaged(spark, d), po.REFERENCE_STEPS, 0.0, 7)
     return out.select("p_partkey", F.col("triage_score").alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(
-    f"""WITH {TRIAGE}, k AS (SELECT 'likely_reference_divergence' AS kind, p_partkey, round(reference, 3) AS score, reference_reasons AS reasons FROM f WHERE reference > 0 UNION ALL SELECT 'likely_pipeline_failure', p_partkey, round(pipeline, 3), pipeline_reasons FROM f WHERE pipeline > 0.25),
+    f"""WITH {TRIAGE}, k AS (SELECT 'likely_reference_divergence' AS kind, p_partkey, round(reference, 7) AS score, reference_reasons AS reasons FROM f WHERE reference > 0 UNION ALL SELECT 'likely_pipeline_failure', p_partkey, round(pipeline, 7), pipeline_reasons FROM f WHERE pipeline > 0.25),
  r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, p_partkey) AS place FROM k) SELECT kind, place::INTEGER AS place, p_partkey, score, reasons FROM r WHERE place <= 5"""
 )
 def triage_reports(spark, d):
     """The five records of each kind that are most worth a look."""
-    out = po.triage_rankings(_triaged(spark, d), "p_partkey")
+    out = po.triage_rankings(_triaged(spark, d), "p_partkey", digits=7)
     return out.select("kind", "place", "p_partkey", F.col("triage_score").alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
