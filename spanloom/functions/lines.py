@@ -46,6 +46,10 @@ def window_tokens(words: Column, normalise) -> Column:
     return F.flatten(F.transform(timed, lambda w: F.transform(tokens(w), lambda t: F.struct(t.alias("token"), w["start"].alias("start")))))
 
 
+#: Fixed value: bracketed notes of a title, with the white space around them.
+NOTES = r"(?i)\s*[(\[](?:remaster(?:ed)?|remix|live|acoustic|demo|edit|version|ver\.?|feat\.?\s+[^)\]]+|ft\.?\s+[^)\]]+|with\s+[^)\]]+|\d{4}(?:\s+remaster)?|single|album|ep|radio|extended|original|bonus\s+track|deluxe|explicit|clean)[)\]]\s*"
+
+
 def scaled(seconds: Column, tempo: float) -> Column:
     """A time at another tempo."""
     return seconds if tempo == 1.0 else seconds / tempo
@@ -57,8 +61,7 @@ def title_parts(title: Column) -> Column:
     text = title
     for suffix in SUFFIXES:
         text = F.regexp_replace(text, F.lit(rf"(?i)\s*[(\[]?\s*\Q{suffix}\E\s*[)\]]?\s*$"), F.lit(""))
-    notes = r"(?i)\s*[(\[](?:remaster(?:ed)?|remix|live|acoustic|demo|edit|version|ver\.?|feat\.?\s+[^)\]]+|ft\.?\s+[^)\]]+|with\s+[^)\]]+|\d{4}(?:\s+remaster)?|single|album|ep|radio|extended|original|bonus\s+track|deluxe|explicit|clean)[)\]]\s*"
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, F.lit(notes), F.lit(" ")), F.lit(r"\s+"), F.lit(" ")))
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, F.lit(NOTES), F.lit(" ")), F.lit(r"\s+"), F.lit(" ")))
     pair = lambda a, b: F.struct(a.alias("artist"), b.alias("title"))
     out = None
     for sep in TITLE_SEPARATORS:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scoring import clamp
 from .text import has_credit, is_promo, is_symbols_only
 
 #: Beginnings of lines that are credits.
@@ -60,49 +59,67 @@ def repeats_title(line: Column, title: Column, least: int = 24, beyond: int = 8)
     return F.coalesce((F.length(name) > 0) & (found > 0) & (twice | once), F.lit(False))
 
 
-def is_header(line: Column, title: Column, artist: Column) -> Column:
-    """Whether a line repeats the title or the artist, or both around a hyphen, after plain normalising."""
-    bare = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    x, t, a = bare(line), bare(title), bare(artist)
-    return ((x == t) | (x == a) | (x == F.concat_ws(" ", t, a)) | (x == F.concat_ws(" ", a, t))) & (x != "")
-
-
-def is_metadata(line: Column, title: Column, artist: Column, at: Column) -> Column:
-    """Empty or symbols only, or credits and sections; headers in the first second; promotion in the first 15."""
-    fixed = is_symbols_only(line) | has_prefix(line) | has_keyword(line) | has_part(line) | has_credit(line)
-    return F.coalesce(fixed | ((at <= 1) & is_header(line, title, artist)) | ((at <= 15) & is_promo(line)), F.lit(False))
-
-
-def lyric_quality(n: Column, covered: Column, largest_gap: Column, off: Column) -> Column:
-    """100 less penalties: few lines, low coverage of the track, a large gap, a duration that is off; 0 at least."""
-    few = F.when(n < 5, 60).when(n < 10, 30).otherwise(0)
-    thin = F.when(covered < 0.5, 25).when(covered < 0.7, 10).otherwise(0)
-    gap = F.when(largest_gap > 45, 20).when(largest_gap > 30, 10).otherwise(0)
-    wrong = F.when(F.abs(off) > 30, 30).when(F.abs(off) > 15, 15).otherwise(0)
-    return clamp(100 - few - thin - gap - wrong, 0, 100)
-
+#: Further spellings of one artist, which any line that holds them is a header of.
+ARTIST_SPELLINGS = ("blueöystercult", "blueoystercult", "blueoyster", "b.o.c", "boc")
 
-def quality_blend(internal: Column, gold: Column, share: float = 0.6) -> tuple[Column, Column]:
-    """(score, mode): gold and internal measures blended where both are known, else the one there is."""
-    both = internal.isNotNull() & gold.isNotNull()
-    score = F.when(both, gold * share + internal * (1 - share)).otherwise(F.coalesce(gold, internal))
-    mode = F.when(both, "blended").when(gold.isNotNull(), "gold").when(internal.isNotNull(), "internal").otherwise("none")
-    return score, mode
 
-
-def trust_policy(mismatch: Column, recoverable: Column, padding: Column) -> Column:
-    """How far given times are trusted: by the seconds that the duration is off, and what may explain it."""
-    return F.when(mismatch.isNull() | (F.abs(mismatch) <= 8), "trust").when(padding, "trust_start").when(recoverable, "realign").otherwise("reject")
-
-
-def should_retry(lines: Column, tried: Column, coverage: Column, similarity: Column) -> Column:
-    """One more, aggressive try: enough lines, not tried yet, and a middling result."""
-    return (lines >= 8) & ~tried & coverage.between(0.3, 0.75) & (similarity < 0.7)
+def is_title_header(line: Column, title: Column, artist: Column, more: int = 10) -> Column:
+    """Whether a line is the title, or holds it and fewer than ``more`` further characters, or is title and artist in either
+    order; without spaces, apostrophes and parentheses, in any case. An empty title heads nothing."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[ '()]", "")
+    x, t, a = bare(line), bare(title), bare(artist)
+    within = F.contains(x, t) & (F.length(x) < F.length(t) + more)
+    both = (F.coalesce(F.length(artist), F.lit(0)) > 0) & ((x == F.concat(t, a)) | (x == F.concat(a, t)))
+    return F.coalesce((F.length(title) > 0) & ((x == t) | within | both), F.lit(False))
+
+
+def is_artist_header(line: Column, artist: Column, spellings: tuple[str, ...] = ARTIST_SPELLINGS) -> Column:
+    """Whether a line holds the artist's name, or one of ``spellings``: without spaces, ö and ü as o and u. An empty artist
+    heads nothing."""
+    bare = lambda c: F.translate(F.replace(F.lower(c), F.lit(" ")), "öü", "ou")
+    x = bare(line)
+    out = F.contains(x, bare(artist))
+    for v in spellings:
+        out = out | F.contains(x, F.lit(v))
+    return F.coalesce((F.length(artist) > 0) & out, F.lit(False))
+
+
+def is_metadata(line: Column, title: Column, artist: Column, at: Column, header: float = 1.0, promotion: float = 12.0, title_sentence: float = 15.0, promos: bool = True) -> Column:
+    """Whether a line is no lyrics: blank or symbols only, or a credit or section mark; a header of title or artist up to
+    second ``header``; promotion up to second ``promotion``, and a sentence that advertises the title up to second
+    ``title_sentence``, unless ``promos`` is off. An unknown time counts as the beginning."""
+    when = F.coalesce(at.cast("double"), F.lit(-1.0))
+    out = is_symbols_only(line) | has_prefix(line) | has_keyword(line) | has_part(line) | has_credit(line)
+    out = out | ((when <= header) & (is_title_header(line, title, artist) | is_artist_header(line, artist)))
+    if promos:
+        out = out | ((when <= promotion) & is_promo(line)) | ((when <= title_sentence) & repeats_title(line, title))
+    return F.coalesce(out, F.lit(False))
+
+
+#: Parts of titles of versions that no studio made.
+NON_STUDIO = (
+    "live", "concert", "performance", "performs", "performing", "tour", "in concert", "acoustic", "unplugged", "stripped", "piano version", "remix", "extended", "extended mix", "demo", "rehearsal", "bootleg", "outtake", "alternate take",
+    "cover", "tribute", "karaoke", "instrumental", "reaction", "tutorial", "lesson", "how to play", "guitar lesson", "slowed", "sped up", "reverb", "8d audio", "nightcore", "bass boosted", "session", "sessions", "bbc session", "peel session",
+    "maida vale", "parody", "weird al",
+)
+#: Patterns of places, shows and years of performances.
+PERFORMANCES = (
+    r"\bat\b.*\b(show|festival|arena|stadium|hall|theater|theatre|club|center|centre)\b", r"\blive\s+(at|from|in)\b", r"\b(snl|saturday night live|letterman|fallon|kimmel|conan|ellen|tonight show)\b",
+    r"\b(jools holland|later with|top of the pops|totp|graham norton)\b", r"\b(tiny desk|npr|kexp|colors?\s*show|a]colors)\b", r"\b(glastonbury|coachella|lollapalooza|reading|leeds|bonnaroo)\b",
+    r"\b(rock am ring|download|download festival|wacken|hellfest)\b", r"\b(south by southwest|sxsw|austin city limits|acl)\b", r"\b(mtv|vma|grammy|grammys|brit awards?|ama|american music)\b", r"\b(billboard|bet awards|iheartradio)\b",
+    r"\b(unplugged|stripped|acoustic sessions?)\b", r"\b(spotify\s*sessions?|apple\s*music\s*sessions?)\b", r"\b(19|20)[0-9]{2}\s+(tour|live|concert|performance)\b",
+)
+#: Edits that studios make, and radio shows, which aren't such edits.
+STUDIO_EDIT = r"\b(single|radio|album)\s*(edit|version)?\b"
+RADIO_SHOWS = (r"radio\s*[0-9]", r"radio\s+session", r"bbc\s+radio", r"radio\s+show")
 
 
-def failure_mode(coverage: Column, drift: Column, spread: Column) -> Column:
-    """The dominant failure: the first rule that holds."""
-    return F.when(coverage < 0.4, "coverage").when(F.abs(drift) > 1.0, "offset").when(spread > 0.6, "jitter").otherwise("none")
+def is_non_studio(title: Column) -> Column:
+    """Whether a title tells of a live, covered or altered version. A single, album or radio edit is none, unless the radio
+    is a show's. Null is unknown, so not."""
+    low = F.lower(title)
+    edit = low.rlike(STUDIO_EDIT) & ~(F.contains(low, F.lit("radio")) & low.rlike("|".join(RADIO_SHOWS)))
+    return F.coalesce(~edit & (has_part(title, NON_STUDIO) | low.rlike("|".join(PERFORMANCES))), F.lit(False))
 
 
 def expanded_tokens(tokens: Column, forms: dict[str, str]) -> Column:

@@ -116,20 +116,31 @@ def prefix_splits(text: Column) -> Column:
     return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), cut)).otherwise(F.array().cast("array<struct<head:string,tail:string>>"))
 
 
+#: Signs of lines without words.
+SYMBOLS = "♪🎵🎶♫♬-–—=_.·•"
+#: Parts of lines that advertise, in any case.
+PROMOTION = (r"https?://", r"www\.", r"@\w", r"\bmp3\b", r"\bsms\b", r"\bdownload\b", r"\bsubscribe\b", r"\bmember\b", r"\bring( ?)?tone\b", r"\bmobile\b", r"\bphone\b", r"\btext\b")
+#: Fixed value: telephone numbers and short codes.
+TELEPHONE = r"\+?[0-9][0-9\s\-().]{4,}[0-9]"
+#: Fixed value: one word, a colon and capitalised words.
+CREDIT = r"^([\p{L}\p{N}_]+)\s*:\s*([A-Z][a-z]+(\s+[A-Z][a-z]+)*)\s*$"
+
+
 def is_symbols_only(text: Column) -> Column:
-    """Blank, or music signs and dashes only."""
-    return text.rlike(r"^[\s♪♫♬♩*~\-–—_.…]*$")
+    """Blank, or white space and SYMBOLS only. Null counts as blank."""
+    return F.coalesce(text, F.lit("")).rlike(f"^[\\s{SYMBOLS.replace('-', chr(92) + '-')}]*$")
 
 
 def has_credit(text: Column, most: int = 15) -> Column:
-    """``Word: Proper Name`` with a short first part."""
-    pattern = r"^([A-Za-z ]+):\s*\p{Lu}\p{L}+(\s+\p{Lu}\p{L}+)*\s*$"
-    return text.rlike(pattern) & (F.length(F.regexp_extract(text, pattern, 1)) <= most)
+    """``Word: Proper Name`` with a first word of at most ``most`` characters."""
+    line = F.trim(text)
+    return line.rlike(CREDIT) & (F.length(F.regexp_extract(line, CREDIT, 1)) <= most)
 
 
 def is_promo(text: Column) -> Column:
-    """Holds a web address, an @ sign, a call to subscribe, or a phone number."""
-    return text.rlike(r"(?i)https?://|www\.|@|\b(subscribe|follow us|download)\b|\+?\d[\d\s().-]{8,}\d")
+    """Holds a web address, an @ before a word, one of the words of PROMOTION, or a telephone number."""
+    low = F.lower(text)
+    return low.rlike("|".join(PROMOTION)) | low.rlike(TELEPHONE)
 
 
 @F.pandas_udf(T.StringType())

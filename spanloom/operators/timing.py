@@ -29,7 +29,7 @@ def start_score(issues: DataFrame, keys: list[str]) -> DataFrame:
 
 def pause_score(lines: DataFrame, silences: DataFrame, keys: list[str], start: str, end: str, order: str, vocal_start: Column, least: float = 2.0, slack: float = 0.5) -> DataFrame:
     """keys, n_silences, n_matched and score: the percentage of long silences that some pair of lines one after the other
-    leaves free. Silences (keys, start, end, and what vocal_start needs) count when they begin after the vocals do, and
+    leaves free; 100 for keys (of lines or silences) without long silences. Silences (keys, start, end, and what vocal_start needs) count when they begin after the vocals do, and
     are matched also when they begin together.
 
     A pair leaves a silence free if its first line ends by the silence's start and its second starts at the silence's end
@@ -42,7 +42,10 @@ def pause_score(lines: DataFrame, silences: DataFrame, keys: list[str], start: s
     w = Window.partitionBy(*keys).orderBy("__at", F.col("__end").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = pairs.unionByName(asked).withColumn("__latest", F.max("__next").over(w)).where("__end IS NOT NULL")
     out = seen.groupBy(*keys).agg(F.count_if("__in").alias("n_silences"), F.count_if(F.coalesce(F.col("__latest") >= F.col("__end") - slack, F.lit(False))).alias("n_matched"))
-    return out.where("n_silences > 0").withColumn("score", 100.0 * F.col("n_matched") / F.col("n_silences"))
+    every = lines.select(*keys).union(silences.select(*keys)).distinct()
+    none = lambda c: F.when(F.col("n_silences") > 0, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c)
+    score = F.when(F.col("n_silences") > 0, 100.0 * F.col("n_matched") / F.col("n_silences")).otherwise(100.0)
+    return every.join(out, keys, "left").select(*keys, none("n_silences"), none("n_matched"), score.alias("score"))
 
 
 def assignment_profile(assigned: DataFrame, keys: list[str], token: Column, known: Column, placeholder: Column, drift: Column, segment: Column) -> DataFrame:

@@ -40,8 +40,9 @@ def start_scores(spark, d):
 
 @query(
     f"""WITH {Q}, l AS (SELECT user_id, t, t + value / 100 AS fin, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nxt FROM q), v AS (SELECT user_id, min(t) AS vocal FROM q WHERE event_type <> 'signup' GROUP BY 1),
- s AS (SELECT user_id, event_id, t AS a, t + value / 20 AS b FROM q WHERE event_type = 'signup'), k AS (SELECT s.*, vocal, EXISTS (SELECT 1 FROM l WHERE l.user_id = s.user_id AND nxt IS NOT NULL AND fin <= a + 0.5 AND nxt >= b - 0.5) AS hit FROM s JOIN v USING (user_id) WHERE b - a >= 2 AND a >= vocal)
- SELECT user_id, count(*) FILTER (a > vocal) AS n_silences, count(*) FILTER (hit) AS n_matched, round(100.0 * count(*) FILTER (hit) / count(*) FILTER (a > vocal), 4)::DOUBLE AS score FROM k GROUP BY 1 HAVING count(*) FILTER (a > vocal) > 0"""
+ s AS (SELECT user_id, event_id, t AS a, t + value / 20 AS b FROM q WHERE event_type = 'signup'), k AS (SELECT s.*, vocal, EXISTS (SELECT 1 FROM l WHERE l.user_id = s.user_id AND nxt IS NOT NULL AND fin <= a + 0.5 AND nxt >= b - 0.5) AS hit FROM s JOIN v USING (user_id) WHERE b - a >= 2 AND a >= vocal),
+ g AS (SELECT user_id, count(*) FILTER (a > vocal) AS n, count(*) FILTER (hit) AS m FROM k GROUP BY 1)
+ SELECT user_id, coalesce(n, 0) AS n_silences, CASE WHEN n > 0 THEN m ELSE 0 END AS n_matched, round(CASE WHEN n > 0 THEN 100.0 * m / n ELSE 100 END, 4)::DOUBLE AS score FROM (SELECT DISTINCT user_id FROM q) LEFT JOIN g USING (user_id)"""
 )
 def pause_scores(spark, d):
     """Signups are silences here, between the events of their user."""

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spanloom.functions import policies as po
 from spanloom.functions import rules as ru
 from spanloom.functions.nested import bound
 from spanloom.functions.text import syllables
@@ -22,42 +23,57 @@ N = S + """, n AS (SELECT *, row_number() OVER w AS rn, lead("start") OVER w AS
 
 
 ANY_PREFIX, ANY_PART = ("|".join(map(re.escape, x)) for x in (ru.PREFIXES, ru.SECTIONS))
+#: The predicates in SQL, over ``line``.
+BLANK = r"regexp_full_match(line, '[\s♪🎵🎶♫♬\-–—=_.·•]*')"
+PROMO = r"""(regexp_matches(lower(line), 'https?://|www\.|@\w|\bmp3\b|\bsms\b|\bdownload\b|\bsubscribe\b|\bmember\b|\bring ?tone\b|\bmobile\b|\bphone\b|\btext\b') OR regexp_matches(line, '\+?[0-9][0-9\s().-]{4,}[0-9]'))"""
+CREDITED = r"""(regexp_matches(trim(line, ' '), '^[\p{L}\p{N}_]+\s*:\s*[A-Z][a-z]+(\s+[A-Z][a-z]+)*\s*$') AND length(regexp_extract(trim(line, ' '), '^([\p{L}\p{N}_]+)\s*:', 1)) <= 15)"""
+TITLE = "Released under the MIT License."
 
 
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, string_split(text, chr(10)) AS ls, source FROM documents), x AS (SELECT doc_id, i, ls[i + 1] AS line, source FROM l),
- b AS (SELECT *, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g'), ' ') AS bare FROM x)
- SELECT doc_id, count(*) FILTER (regexp_full_match(line, '[\s♪♫♬♩*~\-–—_.…]*') OR regexp_matches(lower(trim(line)), '^(ANY_PREFIX)') OR regexp_matches(line, '(?i)\b(ANY_KEYWORD)\s*:\s*[a-z]')
-  OR regexp_matches(lower(line), 'ANY_PART')
-  OR (regexp_matches(line, '^[A-Za-z ]+:\s*\p{Lu}\p{L}+(\s+\p{Lu}\p{L}+)*\s*$') AND length(regexp_extract(line, '^([A-Za-z ]+):', 1)) <= 15)
-  OR (i <= 1 AND bare <> '' AND bare IN ('released under the mit license', source, 'released under the mit license ' || source, source || ' released under the mit license'))
-  OR (i <= 15 AND regexp_matches(line, '(?i)https?://|www\.|@|\b(subscribe|follow us|download)\b|\+?\d[\d\s().-]{8,}\d'))) AS n_metadata FROM b GROUP BY 1""".replace("ANY_PREFIX", ANY_PREFIX).replace("ANY_PART", ANY_PART).replace("ANY_KEYWORD", "|".join(ru.KEYWORDS))
+ b AS (SELECT *, regexp_replace(lower(line), '[ ''()]', '', 'g') AS bare, 'releasedunderthemitlicense.' AS title, regexp_replace(lower(source), '[ ''()]', '', 'g') AS artist, replace(lower(line), ' ', '') AS x2, lower(line) AS low FROM x),
+ t AS (SELECT *, (len(string_split(low, 'released under the mit license.')) > 2 OR len(string_split(low, 'released under the mit license.')) = 2 AND NOT starts_with(regexp_replace(low, '^[ "''“”‘’(]+', ''), 'released under the mit license.')
+   AND (regexp_matches(trim(line, ' '), '[.!?]$') OR regexp_matches(string_split(low, 'released under the mit license.')[1], '["“”]') AND regexp_matches(string_split(low, 'released under the mit license.')[2], '["“”]')) AND length(low) >= 39) AS advertises FROM b)
+ SELECT doc_id, count(*) FILTER (BLANK OR regexp_matches(lower(trim(line, ' ')), '^(ANY_PREFIX)') OR regexp_matches(line, '(?i)\b(ANY_KEYWORD)\s*:\s*[a-z]') OR regexp_matches(lower(line), 'ANY_PART') OR CREDITED
+  OR (i <= 1 AND (bare = title OR contains(bare, title) AND length(bare) < length(title) + 10 OR bare = title || artist OR bare = artist || title))
+  OR (i <= 1 AND source <> '' AND (contains(translate(x2, 'öü', 'ou'), translate(replace(lower(source), ' ', ''), 'öü', 'ou')) OR regexp_matches(translate(x2, 'öü', 'ou'), 'blueöystercult|blueoystercult|blueoyster|b\.o\.c|boc')))
+  OR (i <= 12 AND PROMO) OR (i <= 15 AND advertises)) AS n_metadata FROM t GROUP BY 1""".replace("ANY_PREFIX", ANY_PREFIX).replace("ANY_PART", ANY_PART).replace("ANY_KEYWORD", "|".join(ru.KEYWORDS)).replace("BLANK", BLANK).replace("CREDITED", CREDITED).replace("PROMO", PROMO)
 )
 def metadata_lines(spark, d):
+    """Lines of each document that are no lyrics, were the license its title and its source its artist; a line a second."""
     rows = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    flag = ru.is_metadata(F.col("line"), F.lit("Released under the MIT License."), F.col("source"), F.col("i"))
+    flag = ru.is_metadata(F.col("line"), F.lit(TITLE), F.col("source"), F.col("i"))
     return rows.groupBy("doc_id").agg(F.count_if(flag).alias("n_metadata"))
 
 
 @query(
-    """WITH m AS (SELECT user_id, count(*) AS n, avg((value > 30)::INT) AS cov, max(value) AS gap, avg(value) - 50 AS off, stddev_pop(value) / 100 AS spread, bool_or(event_type = 'signup') AS tried FROM events GROUP BY 1)
- SELECT user_id, greatest(0, least(100, 100 - CASE WHEN n < 5 THEN 60 WHEN n < 10 THEN 30 ELSE 0 END - CASE WHEN cov < 0.5 THEN 25 WHEN cov < 0.7 THEN 10 ELSE 0 END - CASE WHEN gap > 45 THEN 20 WHEN gap > 30 THEN 10 ELSE 0 END
-   - CASE WHEN abs(off) > 30 THEN 30 WHEN abs(off) > 15 THEN 15 ELSE 0 END))::INTEGER AS quality,
- round(CASE WHEN user_id % 3 = 0 THEN cov ELSE spread * 0.6 + cov * 0.4 END, 6) AS score, CASE WHEN user_id % 3 = 0 THEN 'internal' ELSE 'blended' END AS mode,
- CASE WHEN abs(off) <= 8 THEN 'trust' WHEN tried THEN 'trust_start' WHEN cov > 0.5 THEN 'realign' ELSE 'reject' END AS trust, (n >= 8 AND NOT tried AND cov BETWEEN 0.3 AND 0.75 AND spread < 0.7) AS retry,
- CASE WHEN cov < 0.4 THEN 'coverage' WHEN abs(off / 10) > 1 THEN 'offset' WHEN spread > 0.6 THEN 'jitter' ELSE 'none' END AS failure FROM m"""
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, lower(line) AS low FROM l),
+ p AS (SELECT doc_id, regexp_matches(low, '(single|radio|album)\s*(edit|version)?') AND NOT (contains(low, 'radio') AND regexp_matches(low, 'radio\s*[0-9]|radio\s+session|bbc\s+radio|radio\s+show')) AS edit, regexp_matches(low, 'ANY_TERM') AS term, regexp_matches(low, 'ANY_SHOW') AS shown FROM n)
+ SELECT doc_id, count(*) FILTER (NOT edit AND (term OR shown)) AS n_non_studio, count(*) FILTER (edit) AS n_edits FROM p GROUP BY 1""".replace("ANY_TERM", "|".join(ru.NON_STUDIO)).replace("ANY_SHOW", "|".join(ru.PERFORMANCES))
+)
+def non_studio_titles(spark, d):
+    """Lines of each document that would be titles of versions made outside a studio, and of studio edits."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    low = F.lower("line")
+    edit = low.rlike(ru.STUDIO_EDIT) & ~(F.contains(low, F.lit("radio")) & low.rlike("|".join(ru.RADIO_SHOWS)))
+    return rows.groupBy("doc_id").agg(F.count_if(ru.is_non_studio(F.col("line"))).alias("n_non_studio"), F.count_if(edit).alias("n_edits"))
+
+
+@query(
+    """WITH m AS (SELECT user_id, count(*) AS n, avg((value > 30)::INT) AS cov, count(*) FILTER (value > 90) AS gaps, abs(avg(value) - 50) AS off, stddev_pop(value) / 100 AS spread, bool_or(event_type = 'signup') AS tried FROM events GROUP BY 1)
+ SELECT user_id, greatest(0, 100 - CASE WHEN cov < 0.6 THEN 30 WHEN cov < 0.8 THEN 15 ELSE 0 END - CASE WHEN n / 10 < 1.5 THEN 20 WHEN n / 10 < 2 THEN 10 ELSE 0 END - CASE WHEN off <= 8 THEN 0 ELSE 20 END - CASE WHEN n < 10 THEN 15 ELSE 0 END - CASE WHEN gaps > 2 THEN 10 ELSE 0 END)::DOUBLE AS quality,
+ CASE WHEN off < 12 THEN 'duration_mismatch_not_severe' WHEN tried THEN 'likely_trailing_outro_padding' WHEN cov > 0.5 THEN 'severe_mismatch_with_audio_recovery' ELSE 'severe_mismatch_without_audio_recovery' END AS reason,
+ NOT tried AND n >= 25 AND cov BETWEEN 0.78 AND 0.88 AND cov BETWEEN 0.8 AND 0.92 AND spread >= 0.35 AS retry FROM m WHERE n > 1"""
 )
 def policy_rules(spark, d):
+    """Each user's events as lines of a song: what they are worth, whether their times are trusted, and a second pass tried."""
     m = table(spark, d, "events").groupBy("user_id").agg(
-        F.count("*").alias("n"), F.avg((F.col("value") > 30).cast("int")).alias("cov"), F.max("value").alias("gap"), (F.avg("value") - 50).alias("off"), (F.stddev_pop("value") / 100).alias("spread"), F.bool_or(F.col("event_type") == "signup").alias("tried")
-    )
-    n, cov, gap, off, spread, tried = (F.col(c) for c in ("n", "cov", "gap", "off", "spread", "tried"))
-    score, mode = ru.quality_blend(cov, F.when(F.col("user_id") % 3 != 0, spread))
-    out = m.select(
-        "user_id", ru.lyric_quality(n, cov, gap, off).cast("int").alias("quality"), score.alias("score"), mode.alias("mode"), ru.trust_policy(off, cov > 0.5, tried).alias("trust"),
-        ru.should_retry(n, tried, cov, spread).alias("retry"), ru.failure_mode(cov, off / 10, spread).alias("failure"),
-    )
-    return rounded(out, 6)
+        F.count("*").alias("n_lines"), F.avg((F.col("value") > 30).cast("int")).alias("coverage"), F.count_if(F.col("value") > 90).alias("large_gaps"), F.abs(F.avg("value") - 50).alias("mismatch"),
+        (F.stddev_pop("value") / 100).alias("phonetic_similarity_coverage"), F.bool_or(F.col("event_type") == "signup").alias("tried"),
+    ).where("n_lines > 1")
+    known = m.withColumns({"density": F.col("n_lines") / 10, "duration_match": F.col("mismatch") <= 8, "padding": F.col("tried"), "recoverable": F.col("coverage") > 0.5, "line_count": F.col("n_lines"), "matched_ratio": F.col("coverage"), "line_coverage": F.col("coverage")})
+    return po.should_retry(po.trust_policy(po.lyric_quality(known))).select("user_id", "quality", "reason", "retry")
 
 
 FORMS = {"of": "out of", "the": "this one", "le": "la"}

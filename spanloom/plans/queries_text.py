@@ -66,8 +66,9 @@ def token_overlap(spark, d):
 
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
- SELECT doc_id, count(*) FILTER (regexp_full_match(line, '[\s♪♫♬♩*~\-–—_.…]*')) AS symbols, count(*) FILTER (regexp_matches(line, '(?i)https?://|www\.|@|\b(subscribe|follow us|download)\b|\+?\d[\d\s().-]{8,}\d')) AS promo,
- count(*) FILTER (regexp_matches(line, '^[A-Za-z ]+:\s*\p{Lu}\p{L}+(\s+\p{Lu}\p{L}+)*\s*$') AND length(regexp_extract(line, '^([A-Za-z ]+):', 1)) <= 15) AS credit FROM l GROUP BY 1"""
+ SELECT doc_id, count(*) FILTER (regexp_full_match(line, '[\s♪🎵🎶♫♬\-–—=_.·•]*')) AS symbols,
+ count(*) FILTER (regexp_matches(lower(line), 'https?://|www\.|@\w|\bmp3\b|\bsms\b|\bdownload\b|\bsubscribe\b|\bmember\b|\bring ?tone\b|\bmobile\b|\bphone\b|\btext\b') OR regexp_matches(line, '\+?[0-9][0-9\s().-]{4,}[0-9]')) AS promo,
+ count(*) FILTER (regexp_matches(trim(line, ' '), '^[\p{L}\p{N}_]+\s*:\s*[A-Z][a-z]+(\s+[A-Z][a-z]+)*\s*$') AND length(regexp_extract(trim(line, ' '), '^([\p{L}\p{N}_]+)\s*:', 1)) <= 15) AS credit FROM l GROUP BY 1"""
 )
 def line_predicates(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))

@@ -10,7 +10,7 @@ from spanloom.operators import islands as il
 from spanloom.operators import joins as jn
 from spanloom.operators import windows as wn
 from spanloom.sources.tables import table
-from spanloom.streaming.tracks import session_counts, track_batch
+from spanloom.streaming.tracks import timed_tracks_batch, session_counts, track_batch
 
 from .base import E, S, of_type, points, query, rounded, spans
 
@@ -399,3 +399,16 @@ def sustained_onsets(spark, d):
 )
 def idle_tracks(spark, d):
     return rounded(track_batch(points(spark, d), "user_id", "at", "value", 7200.0), 3, "total")
+
+
+@query(
+    f"""WITH {E}, t AS (SELECT user_id, floor(tm * 1000) / 1000 AS t, count(*) AS n, sum(value) AS total, min(value) AS low FROM e GROUP BY 1, 2),
+ g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 86400 THEN 1 ELSE 0 END AS cut FROM t), k AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY t) AS track FROM g),
+ r AS (SELECT *, count(*) FILTER (low < 20) OVER (PARTITION BY user_id, track ORDER BY t) AS run FROM k),
+ h AS (SELECT *, sum(CASE WHEN low >= 20 THEN n ELSE 0 END) OVER (PARTITION BY user_id, track, run ORDER BY t) AS hit, min(CASE WHEN low >= 20 THEN t END) OVER (PARTITION BY user_id, track, run) AS since FROM r)
+ SELECT user_id, round(min(t), 3) AS first, round(max(t), 3) AS last, sum(n)::BIGINT AS n, round(sum(total), 3) AS total, round(coalesce(min(CASE WHEN hit >= 3 THEN since END), max(t)), 3) AS seen FROM h GROUP BY user_id, track"""
+)
+def seen_tracks(spark, d):
+    """Each user's tracks, open for a day after the last event, and when three events in a row have been of some value."""
+    rows = points(spark, d).withColumn("at", F.timestamp_millis(F.floor(F.col("at") * 1000).cast("long")))
+    return rounded(timed_tracks_batch(rows, "user_id", "at", "value", 86_400.0, 20.0, 3), 3)
