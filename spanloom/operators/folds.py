@@ -3,6 +3,8 @@ and over chains of options."""
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 from heapq import heappush, heappushpop
@@ -239,3 +241,73 @@ def forward(now: list[int], before: list[int], totals: list[float], grace: int,
         came.append(k)
         sums.append(total)
     return came, sums
+
+
+def cursor_matches(lines: DataFrame, bags: DataFrame, keys: list[str], place: str, tokens: str, bag_place: str, bag_tokens: str, least_ahead: int = 10) -> DataFrame:
+    """keys, place, bag and share: for each line, in order, the bag that holds the largest share of its distinct tokens, the
+    first of equals, among the next ``max(least_ahead, a quarter of the key's bags)`` from the cursor on. The cursor follows
+    a hit and stays after a miss (share 0, the bag at the cursor); ``bag`` is null where the key has none.
+
+    The look-ahead is a share of the key's bags, so the bags from the cursor on are held, and no others.
+    """
+    left = lines.where(F.col(place).isNotNull()).select(F.col(place).alias("__place"), *keys, F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("__tokens"))
+    right = bags.where(F.col(bag_place).isNotNull()).select(F.col(bag_place).alias("__place"), *keys, F.col(bag_tokens).alias("__tokens"))
+    first, then = (F.struct(F.lit(k).alias("side"), F.col("__place").cast("double").alias("at")) for k in (0, 1))
+
+    def fold(events: Iterator[Event]) -> Iterator[Row]:
+        held: deque[tuple[int, set[str]]] = deque()
+        ahead = None
+        for is_line, r in events:
+            if not is_line:
+                held.append((r["__place"], set(r["__tokens"] or ())))
+                continue
+            ahead = max(least_ahead, len(held) // 4) if ahead is None else ahead
+            wanted, best, share = r["__tokens"], 0, 0.0
+            for k in range(min(ahead, len(held))):
+                got = sum(t in held[k][1] for t in wanted) / len(wanted) if wanted else 0.0
+                if got > share:
+                    best, share = k, got
+            for _ in range(best):
+                held.popleft()
+            yield {k: r[k] for k in keys} | {"place": r["__place"], "bag": held[0][0] if held else None, "share": share}
+
+    fields = T.StructType([*(f for f in lines.schema if f.name in keys), T.StructField("place", lines.schema[place].dataType), T.StructField("bag", bags.schema[bag_place].dataType), T.StructField("share", T.DoubleType())])
+    return co_ordered(left, right, keys, then, first, fold, fields).withColumnRenamed("place", place)
+
+
+def silence_shifts(gaps: DataFrame, silences: DataFrame, keys: list[str], gap_end: str, silence_end: str, most: float = 20.0) -> DataFrame:
+    """keys, at and shift: for each gap, in order of its end, how far the silence is off whose end lies nearest to the gap's
+    end moved by the shift found before (the earlier of equals); gaps without one less than ``most`` away are left out.
+
+    A shift may lead anywhere, so the ends of a key's silences are held, as numbers.
+    """
+    left, right = (df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("__end"), *keys) for df, c in ((gaps, gap_end), (silences, silence_end)))
+    first, then = (F.struct(F.lit(k).alias("side"), F.col("__end").alias("at")) for k in (0, 1))
+
+    def fold(events: Iterator[Event]) -> Iterator[Row]:
+        ends, shift = array("d"), 0.0
+        for is_gap, r in events:
+            if not is_gap:
+                ends.append(r["__end"])
+                continue
+            aim = r["__end"] + shift
+            k = bisect_left(ends, aim)
+            near = min(((abs(ends[j] - aim), ends[j]) for j in (k - 1, k) if 0 <= j < len(ends)), default=None)
+            if near is not None and near[0] < most:
+                shift = near[1] - r["__end"]
+                yield {c: r[c] for c in keys} | {"at": r["__end"], "shift": shift}
+
+    fields = T.StructType([*(f for f in gaps.schema if f.name in keys), T.StructField("at", T.DoubleType()), T.StructField("shift", T.DoubleType())])
+    return co_ordered(left, right, keys, then, first, fold, fields)
+
+
+def shifted_starts(lines: DataFrame, shifts: DataFrame, keys: list[str], start: str, place: str) -> DataFrame:
+    """lines with ``new_start``: the start moved by the last shift (see silence_shifts) at or before it, and never before that
+    of the line before. Native: two windows over a key. Lines without a start have none."""
+    own = lines.where(F.col(start).isNotNull())
+    told = shifts.select(*keys, F.col("at").alias("__at"), F.col("shift").alias("__shift"), F.lit(0).alias("__side"))
+    both = own.select(*keys, F.col(start).cast("double").alias("__at"), F.lit(1).alias("__side"), F.struct(*lines.columns).alias("__row"), F.col(place).alias("__place")).unionByName(told, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("__at", "__side", "__place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = both.withColumn("__to", F.col("__at") + F.coalesce(F.last("__shift", ignorenulls=True).over(w), F.lit(0.0))).where("__side = 1")
+    out = moved.withColumn("new_start", F.max("__to").over(w)).select("__row.*", "new_start")
+    return out.unionByName(lines.where(F.col(start).isNull()).withColumn("new_start", F.lit(None).cast("double")))

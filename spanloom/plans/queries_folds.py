@@ -47,3 +47,34 @@ def turn_options(spark, d, near: int = 12):
 def chained_words(spark, d):
     """Each turn's words on those of the turn before: sure ones first, the windows between them by least cost."""
     return fo.chained(turn_options(spark, d), ["conv_id", "turn"], "place", "choice", "cost", "sure")
+
+
+@query()
+def cursor_bags(spark, d):
+    """Sentences of each turn on the turns of the conversation, read in order with a cursor."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = table(spark, d, "conversations").where("conv_id IS NOT NULL").withColumn("n", F.row_number().over(w))
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    bags = turns.select("conv_id", "n", words("text").alias("bag"))
+    said = turns.select("conv_id", "n", F.posexplode(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: x != "")).alias("k", "line"))
+    lines = said.select("conv_id", F.struct("n", "k").alias("s"), words("line").alias("words")).withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("s")))
+    return rounded(fo.cursor_matches(lines, bags, ["conv_id"], "place", "words", "n", "bag"), 6)
+
+
+def _silent(spark, d):
+    """Each user's views as silences, clicks as gaps between lines, other events as lines, an hour a second."""
+    rows = points(spark, d).select("user_id", "event_id", "event_type", (F.col("at") / 3600).alias("at"))
+    return [rows.where(p).drop("event_type") for p in ("event_type = 'click'", "event_type = 'view'", "event_type NOT IN ('click', 'view')")]
+
+
+@query()
+def shifts_by_silence(spark, d):
+    gaps, silences, _ = _silent(spark, d)
+    return rounded(fo.silence_shifts(gaps, silences, ["user_id"], "at", "at"))
+
+
+@query()
+def shifted_lines(spark, d):
+    gaps, silences, lines = _silent(spark, d)
+    shifts = fo.silence_shifts(gaps, silences, ["user_id"], "at", "at")
+    return rounded(fo.shifted_starts(lines, shifts, ["user_id"], "at", "event_id").select("event_id", "new_start"))

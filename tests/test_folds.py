@@ -194,3 +194,60 @@ def test_co_ordered_merges_in_order(spark):
     schema = T.StructType().add("name", T.StringType()).add("seen", T.ArrayType(T.IntegerType()))
     got = {r.name: r.seen for r in folds.co_ordered(left, right, ["k"], F.col("at"), F.col("t"), fold, schema).collect()}
     assert got == {"a": [7], "b": [7, 8], "c": [], "d": []}
+
+
+# cursors and shifts
+
+
+def test_cursor_bags_equal_list_version(spark, small):
+    import re
+
+    got = {(r.conv_id, r.place): (r.bag, r.share) for r in QUERIES["cursor_bags"](spark, small).collect()}
+    words = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w}
+    rows, seen = groups(spark.read.parquet(f"{small}/conversations.parquet").collect(), "conv_id"), 0
+    for (conv,), turns in rows.items():
+        turns.sort(key=lambda r: (r.turn, r.role, r.text))
+        bags = [words(t.text) for t in turns]
+        lines = [x for t in turns for x in re.split(r"(?<=[.!?])\s+", t.text) if x]
+        cursor, ahead = 0, max(10, len(bags) // 4)
+        for k, line in enumerate(lines):
+            w = words(line)
+            shares = [(len(w & b) / len(w) if w else 0.0) for b in bags[cursor : cursor + ahead]]
+            best = max(shares)
+            cursor += shares.index(best) if best > 0 else 0
+            assert got[conv, k + 1] == (cursor + 1, pytest.approx(best, abs=1e-6))
+            seen += 1
+    assert seen == len(got)
+
+
+def test_shifts_equal_list_version(spark, small):
+    events = groups(queries_folds.points(spark, small).collect(), "user_id")
+    shifts = groups(QUERIES["shifts_by_silence"](spark, small).collect(), "user_id")
+    moved = {r.event_id: r.new_start for r in QUERIES["shifted_lines"](spark, small).collect()}
+    for key, own in events.items():
+        at = lambda *kinds, own=own: sorted((r.at / 3600, r.event_id) for r in own if r.event_type in kinds)
+        offset, want = 0.0, []
+        for end, _ in at("click"):
+            far, z = min(((abs(z - end - offset), z) for z, _ in at("view")), default=(99.0, 0.0))
+            if far < 20:
+                offset = z - end
+                want.append((end, offset))
+        assert sorted((r.at, r.shift) for r in shifts[key]) == [pytest.approx(w, abs=1e-3) for w in want]
+        last = None
+        for start, event in at("error", "signup", "purchase"):
+            new = start + next((o for e, o in reversed(want) if e <= start), 0.0)
+            last = new if last is None else max(last, new)
+            assert moved[event] == pytest.approx(last, abs=1e-3)
+    assert sum(map(len, shifts.values())) > 20
+
+
+def test_cursor_and_shifts_of_odd_rows(spark):
+    lines = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, None), (1, 2, ["z"]), (1, None, ["a"]), (2, 0, ["a"]), (1, 3, ["c", "c", "d"])], "k int, n int, t array<string>")
+    bags = spark.createDataFrame([(1, 0, ["x"]), (1, 1, ["b"]), (1, 2, ["a", "b"]), (1, 3, None), (1, 4, ["c"])], "k int, m int, b array<string>")
+    got = {(r.k, r.n): (r.bag, r.share) for r in folds.cursor_matches(lines, bags, ["k"], "n", "t", "m", "b").collect()}
+    assert got == {(1, 0): (2, 1.0), (1, 1): (2, 0.0), (1, 2): (2, 0.0), (1, 3): (4, 0.5), (2, 0): (None, 0.0)}
+    times = spark.createDataFrame([(1, None), (2, 5.0)], "k int, at double")
+    assert folds.silence_shifts(times, times.where("k = 1"), ["k"], "at", "at").count() == 0
+    rows = spark.createDataFrame([(1, 7, None), (1, 8, 2.0), (1, 9, 1.0)], "k int, id int, s double")
+    out = folds.shifted_starts(rows, folds.silence_shifts(times, times, ["k"], "at", "at"), ["k"], "s", "id").collect()
+    assert {r.id: r.new_start for r in out} == {7: None, 8: 2.0, 9: 1.0}
