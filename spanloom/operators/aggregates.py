@@ -30,8 +30,9 @@ def percentile_of_bins(value: str, q: float, bins: int = 100) -> Column:
 
 
 def percentile_nearest_rank(value: str, p: float = 0.95) -> Column:
-    """The value at place floor(p * n) of the sorted values, from 0. For small groups: it gathers a group's values."""
-    return F.expr(f"try_element_at(array_sort(collect_list({value})), cast(floor({p} * count({value})) as int) + 1)")
+    """The value at place floor(p * n) of the sorted values, from 0: the first whose share of values up to it exceeds p,
+    which counts of distinct values, merged like sums, are enough for. p lies below 1; null without values."""
+    return F.expr(f"percentile_disc({p + 1e-12!r}D) WITHIN GROUP (ORDER BY {value})")
 
 
 def offset_and_spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:

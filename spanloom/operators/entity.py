@@ -136,16 +136,16 @@ def leader_clusters(df: DataFrame, keys: list[str], at: str, value: str, time_ba
 
 def push_overlaps(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0.02, least: float = 0.2) -> DataFrame:
     """Rows in order of start; one that begins before the previous *edited* end + gap moves there and keeps its length,
-    ``least`` at least. Rows without times stay as they are."""
+    ``least`` at least. Rows without times stay as they are.
 
-    def fold(rows: Iterator[Row]) -> Iterator[Row]:
-        reach = None
-        for r in rows:
-            s, e = r[start], r[end]
-            if s is not None and e is not None:
-                length = max(least, e - s)
-                s = s if reach is None else max(s, reach + gap)
-                reach = e = s + length
-            yield r | {"new_start": s, "new_end": e}
-
-    return in_order(df, keys, [start, end], fold, extended(df, new_start=T.DoubleType(), new_end=T.DoubleType()))
+    A row's new start is the latest of what each row up to it leads to by its own start and the lengths and gaps since: a
+    running sum, and a running maximum of start less that sum.
+    """
+    timed = F.col(start).isNotNull() & F.col(end).isNotNull()
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    rows = df.where(timed).withColumn("__length", F.greatest(F.lit(least), F.col(end) - F.col(start)))
+    rows = rows.withColumn("__before", F.coalesce(F.sum(F.col("__length") + gap).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    rows = rows.withColumn("new_start", F.max(F.col(start) - F.col("__before")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("__before"))
+    out = rows.withColumn("new_end", F.col("new_start") + F.col("__length")).drop("__length", "__before")
+    untimed = df.where(~timed).withColumns({"new_start": F.col(start).cast("double"), "new_end": F.col(end).cast("double")})
+    return out.unionByName(untimed)

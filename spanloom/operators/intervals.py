@@ -45,16 +45,23 @@ def complement(df: DataFrame, windows: DataFrame, keys: list[str], start: str =
     return inside.unionByName(edges).withColumn("reach", reach).where("start > reach").select(*keys, F.col("reach").alias("start"), F.col("start").alias("end"))
 
 
-def intersect(left: DataFrame, right: DataFrame, keys: list[str], bucket: float = 3600.0) -> DataFrame:
+def intersect(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pieces that both sets share, strictly overlapping. Sets are coalesced first, so pieces don't repeat.
 
-    A range join by time buckets: an interval lies in each bucket that it touches, and a pair counts in the bucket where
-    its overlap begins only. Buckets should be about as long as a usual interval.
+    A sweep over the ends of both sets, one window over a key: a piece lies between two ends where both sets are open. No
+    pairs are formed, and intervals of any length take two rows.
     """
-    a, b = (_bucketed(coalesce(x, keys), bucket).withColumnsRenamed({"start": f"{n}_start", "end": f"{n}_end"}) for x, n in ((left, "a"), (right, "b")))
-    start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
-    pairs = a.join(b, [*keys, "bucket"]).where((start < end) & (F.floor(start / bucket) == F.col("bucket")))
-    return pairs.select(*keys, start.alias("start"), end.alias("end"))
+    bounds = None
+    for n, df in (("__a", left), ("__b", right)):
+        whole, other = coalesce(df, keys).where("start < end"), "__b" if n == "__a" else "__a"
+        ends = [whole.select(*keys, F.col(c).alias("at"), F.lit(d).alias(n), F.lit(0).alias(other)) for c, d in (("start", 1), ("end", -1))]
+        bounds = ends[0].unionByName(ends[1]) if bounds is None else bounds.unionByName(ends[0]).unionByName(ends[1])
+    # ends at one time count together, so one row a time goes into the window
+    times = bounds.groupBy(*keys, "at").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = times.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("__a").over(upto).alias("__a"), F.sum("__b").over(upto).alias("__b"))
+    return open_.where("__a > 0 AND __b > 0").select(*keys, "start", "end")
 
 
 def _bucketed(df: DataFrame, bucket: float, start: str = "start", end: str = "end") -> DataFrame:
@@ -78,24 +85,25 @@ def overlap_measure(probes: DataFrame, members: DataFrame, keys: list[str], prob
     return probes.select(*keys, probe_id).join(sums, probe_id, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
 
 
-def points_within(points: DataFrame, members: DataFrame, keys: list[str], at: str = "at", bucket: float = 3600.0) -> DataFrame:
-    """Points that lie in some interval of their key, both ends included."""
-    b = _bucketed(members.select(*keys, F.col("start").alias("m_start"), F.col("end").alias("m_end")), bucket, "m_start", "m_end")
-    a = points.withColumn("bucket", F.floor(F.col(at) / bucket))
-    joined = [a[k] == b[k] for k in keys] + [a["bucket"] == b["bucket"], a[at] >= b["m_start"], a[at] <= b["m_end"]]
-    condition = joined[0]
-    for c in joined[1:]:
-        condition = condition & c
-    return a.join(b, condition, "left_semi").drop("bucket")
+def points_within(points: DataFrame, members: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
+    """Points that lie in some interval of their key, both ends included: those that the latest end among the intervals
+    begun by then reaches. One window over a key, no pairs."""
+    told = members.select(*keys, F.col("start").cast("double").alias("__at"), F.col("end").cast("double").alias("__end"), F.lit(0).alias("__side")).where("__at <= __end")
+    asked = points.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("double").alias("__at"), F.struct(*points.columns).alias("__row"), F.lit(1).alias("__side"))
+    w = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = told.unionByName(asked, allowMissingColumns=True)
+    for k in keys:  # a null key names no set
+        known = known.where(F.col(k).isNotNull())
+    return known.withColumn("__reach", F.max("__end").over(w)).where("__side = 1 AND __reach >= __at").select("__row.*")
 
 
-def coverage(reference: DataFrame, found: DataFrame, keys: list[str], least_piece: float = 0.5, bucket: float = 3600.0) -> DataFrame:
+def coverage(reference: DataFrame, found: DataFrame, keys: list[str], least_piece: float = 0.5) -> DataFrame:
     """Per key: recall (shared over reference length), precision (shared over found length), and how many uncovered
     pieces of the reference are least_piece or longer. Keys of the reference only; empty sets have ratio 0."""
     ref, got = coalesce(reference, keys), coalesce(found, keys)
-    shared = measure(intersect(ref, got, keys, bucket), keys).withColumnRenamed("total", "shared")
+    shared = measure(intersect(ref, got, keys), keys).withColumnRenamed("total", "shared")
     windows = ref.groupBy(*keys).agg(F.min("start").alias("low"), F.max("end").alias("high"))
-    missed = intersect(ref, complement(got, windows, keys), keys, bucket)
+    missed = intersect(ref, complement(got, windows, keys), keys)
     pieces = missed.where(F.col("end") - F.col("start") >= least_piece).groupBy(*keys).agg(F.count("*").alias("uncovered"))
     out = measure(ref, keys).withColumnRenamed("total", "ref").join(measure(got, keys).withColumnRenamed("total", "got"), keys, "left").join(shared, keys, "left").join(pieces, keys, "left")
     share = lambda n: F.when(F.col(n) > 0, F.coalesce("shared", F.lit(0.0)) / F.col(n)).otherwise(0.0)

@@ -93,7 +93,7 @@ TWO = f"""{S}, c AS (SELECT * FROM s WHERE event_type = 'click'), v AS (SELECT *
 @query(f"WITH {TWO} SELECT * FROM x")
 def interval_intersect(spark, d):
     rows = spans(spark, d)
-    return iv.intersect(of_type(rows, "click"), of_type(rows, "view"), U, HOUR)
+    return iv.intersect(of_type(rows, "click"), of_type(rows, "view"), U)
 
 
 @query(f"""WITH {S} SELECT user_id, round(sum(greatest(0, "end" - "start")), 2) AS total FROM s GROUP BY user_id""")
@@ -113,7 +113,7 @@ def interval_measure(spark, d):
 )
 def interval_coverage(spark, d):
     rows = spans(spark, d)
-    return rounded(iv.coverage(of_type(rows, "click"), of_type(rows, "view"), U, 0.5, HOUR), 6)
+    return rounded(iv.coverage(of_type(rows, "click"), of_type(rows, "view"), U, 0.5), 6)
 
 
 @query(
@@ -128,7 +128,7 @@ def interval_overlap_measure(spark, d):
 
 @query(f"""WITH {S} SELECT e.event_id, e.user_id FROM e WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND s.event_type = 'view' AND e.tm BETWEEN s."start" AND s."end")""")
 def points_in_intervals(spark, d):
-    return iv.points_within(of_type(points(spark, d), "click").select("event_id", "user_id", "at"), of_type(spans(spark, d), "view"), U, "at", HOUR).select("event_id", "user_id")
+    return iv.points_within(of_type(points(spark, d), "click").select("event_id", "user_id", "at"), of_type(spans(spark, d), "view"), U, "at").select("event_id", "user_id")
 
 
 RUNS = """, r AS (SELECT *, sum(CASE WHEN flag THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY tm ROWS UNBOUNDED PRECEDING) AS island, coalesce(lead(tm) OVER (PARTITION BY user_id ORDER BY tm), tm) AS nxt FROM f),

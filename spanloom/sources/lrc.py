@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.rules import is_metadata
 from spanloom.functions.scoring import estimated_duration
-from spanloom.functions.text import has_credit, is_promo, is_symbols_only
 
 STAMP = r"\[(\d+):(\d{1,2})\.(\d{1,3})\]"
 
@@ -19,14 +19,15 @@ def stamp_seconds(text: Column) -> Column:
     return F.when(text.rlike(STAMP) & (part(2).try_cast("int") < 60), part(1).try_cast("double") * 60 + part(2).try_cast("double") + fraction)
 
 
-def scan(files: DataFrame, key: str, text: str, drop_metadata: bool = True) -> DataFrame:
-    """key, line_idx, start, line: a row per stamped line, in file order, without unstamped and metadata lines."""
-    rows = files.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("line_idx", "raw"))
-    rows = rows.select(key, "line_idx", stamp_seconds(F.trim("raw")).alias("start"), F.trim(F.regexp_replace("raw", r"\[[^\]]*\]", "")).alias("line")).where("start IS NOT NULL")
+def scan(files: DataFrame, key: str, text: str, drop_metadata: bool = True, title: Column | None = None, artist: Column | None = None, promos: bool = True) -> DataFrame:
+    """key, line_idx, start, line: a row per stamped line, in file order, without unstamped and empty ones and, if wished,
+    without metadata lines (``rules.is_metadata``; ``title`` and ``artist`` are columns of ``files``, unknown ones null)."""
+    none = F.lit(None).cast("string")
+    rows = files.select(key, (none if title is None else title).alias("__title"), (none if artist is None else artist).alias("__artist"), F.posexplode(F.split(text, r"\r?\n")).alias("line_idx", "raw"))
+    rows = rows.select(key, "line_idx", stamp_seconds(F.trim("raw")).alias("start"), F.trim(F.regexp_replace("raw", r"\[[^\]]*\]", "")).alias("line"), "__title", "__artist").where("start IS NOT NULL")
     if drop_metadata:
-        early = (F.col("start") <= 15) & (is_promo(F.col("line")) | has_credit(F.col("line")))
-        rows = rows.where(~is_symbols_only(F.col("line")) & ~early)
-    return rows
+        rows = rows.where(~is_metadata(F.col("line"), F.col("__title"), F.col("__artist"), F.col("start"), promos=promos))
+    return rows.drop("__title", "__artist")
 
 
 def tag(text: Column, name: str) -> Column:

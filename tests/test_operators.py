@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import numpy as np
 from pyspark.sql import functions as F
 
+from spanloom.functions import rules as ru
 from spanloom.functions import text as tx
 from spanloom.operators import aggregates as ag
 from spanloom.operators import align as al
@@ -38,8 +39,8 @@ def test_measure_splits_by_a_set(spark):
     a, b = iv.coalesce(make(12), ["k"]), iv.coalesce(make(9), ["k"])
     w = a.groupBy("k").agg(F.min("start").alias("low"), F.max("end").alias("high"))
     whole = dict(pairs(iv.measure(a, ["k"]), "k", "total"))
-    inside = dict(pairs(iv.measure(iv.intersect(a, b, ["k"], 7.0), ["k"]), "k", "total"))
-    outside = dict(pairs(iv.measure(iv.intersect(a, iv.complement(b, w, ["k"]), ["k"], 7.0), ["k"]), "k", "total"))
+    inside = dict(pairs(iv.measure(iv.intersect(a, b, ["k"]), ["k"]), "k", "total"))
+    outside = dict(pairs(iv.measure(iv.intersect(a, iv.complement(b, w, ["k"]), ["k"]), ["k"]), "k", "total"))
     for k, total in whole.items():
         assert abs(total - inside.get(k, 0) - outside.get(k, 0)) < 1e-9
 
@@ -79,6 +80,22 @@ def test_lyric_headers_and_scan(spark):
     files = spark.createDataFrame([("f", "[ar: X]\n[ar:Y]\n[00:01.00]Written by: Some One\n[00:20.00]la\n[00:21.00]♪\nplain")], "p string, t string")
     assert files.select(lrc.tag(F.col("t"), "ar").alias("a")).first().a == "Y"
     assert pairs(lrc.scan(files, "p", "t"), "start", "line") == [(20.0, "la")]
+    songs = spark.createDataFrame([("f", "Old Mill", "The Weirs", "[00:00.50]Old Mill\n[00:00.90]The Weirs (band)\n[00:11.00]text 12345 now\n[00:13.00]text 12345 now\n[00:14.00]Everyone will love the song Old Mill.\n[00:16.00]Old Mill, Old Mill")], "p string, title string, artist string, t string")
+    kept = lambda **more: [r.start for r in lrc.scan(songs, "p", "t", title=F.col("title"), artist=F.col("artist"), **more).orderBy("line_idx").collect()]
+    assert kept() == [13.0, 16.0] and kept(promos=False) == [11.0, 13.0, 14.0, 16.0] and len(kept(drop_metadata=False)) == 6
+
+
+def test_titles_made_outside_a_studio(spark):
+    titles = {"Song (Live at Wembley)": True, "Song - Radio Edit": False, "Song BBC Radio Session": True, "Song (Album Version)": False, "Old Mill": False, "Delivery": True, "Old Mill 1999 Concert": True, "Mill on MTV": True, "Mill at the Blue Hall": True}
+    rows = spark.createDataFrame([(t,) for t in [*titles, None]], "t string").select("t", ru.is_non_studio(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == titles | {None: False}
+
+
+def test_lines_without_lyrics(spark):
+    lines = {"♪ 🎵 ·=•": "symbols", "  ": "symbols", "*": None, "♬♫ x": None, "Writer: Some One": "credit", "Two words: Some One": None, "Verylongfirstword1: Some One": None, "word: Élan": None, "mail me@home": "promo", "me @ home": None, "send an SMS": "promo", "call 06 12 34": "promo", "in 12345": None, "in 123456": "promo", "Remember members": None}
+    c = F.col("t")
+    kind = F.when(tx.is_symbols_only(c), "symbols").when(tx.has_credit(c), "credit").when(tx.is_promo(c), "promo")
+    assert {r.t: r.k for r in spark.createDataFrame([(t,) for t in lines], "t string").select("t", kind.alias("k")).collect()} == lines
 
 
 def test_text_forms(spark):
