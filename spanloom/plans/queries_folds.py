@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import folds as fo
+from spanloom.operators import variants as vr
 from spanloom.sources.tables import table
 
 from .base import points, query, rounded, spans
@@ -78,3 +79,19 @@ def shifted_lines(spark, d):
     gaps, silences, lines = _silent(spark, d)
     shifts = fo.silence_shifts(gaps, silences, ["user_id"], "at", "at")
     return rounded(fo.shifted_starts(lines, shifts, ["user_id"], "at", "event_id").select("event_id", "new_start"))
+
+
+def read_lines(spark, d):
+    """Each user's events as lines read off a screen, an hour a second: a letter or a word is missing here and there."""
+    rows = points(spark, d).select("event_id", "user_id", (F.col("at") / 3600).alias("start"), (F.col("value") / 100).alias("confidence"), "event_type")
+    kind = F.when(F.col("event_id") % 4 == 0, F.regexp_replace("event_type", "^(.)(.)", "$1")).otherwise(F.col("event_type"))
+    text = F.concat_ws(" ", F.lit("We all"), kind, F.when(F.col("event_id") % 7 != 0, "by"), F.element_at(F.array(*map(F.lit, ("the mill", "the river", "night"))), (F.col("event_id") % 3 + 1).cast("int")))
+    rows = rows.withColumn("text", text).withColumn("tokens", F.split(F.lower("text"), " "))
+    return rows.withColumn("quality", vr.read_quality(F.col("confidence"), F.when(F.col("event_id") % 5 == 0, 0.3), F.lit(1.0)))
+
+
+@query()
+def canonical_lines(spark, d):
+    """Lines that come again, written as their best reading."""
+    sure = (F.col("confidence") > 0.6) & (F.col("event_id") % 5 != 0)
+    return vr.canonical_variants(read_lines(spark, d), ["user_id"], "event_id", "start", "text", "tokens", "quality", sure).select("event_id", "family", "canonical")
