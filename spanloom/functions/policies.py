@@ -225,3 +225,94 @@ def override_gain(current: Column, fuzzy: Column, before: Column, advised: Colum
     now = F.coalesce(current, F.lit(0.0))
     or_now = lambda e: now - F.coalesce(F.when(e != 0, e), now)
     return F.when(advised, F.greatest(or_now(fuzzy), or_now(before))).otherwise(or_now(fuzzy))
+
+
+#: Terms of the verdict on an alignment; unknown metrics count 0.
+VERDICT_TERMS = {
+    "strong_internal": "dtw_line_coverage >= 0.85 AND dtw_word_coverage >= 0.55 AND low_confidence_ratio <= 0.12",
+    "stable_agreement": "agreement_coverage_ratio <= 0 OR agreement_start_p95_abs_sec <= 0.9",
+    "strong_gold": "gold_available AND gold_comparable_word_count >= 40 AND gold_word_coverage_ratio >= 0.8 AND gold_start_mean_abs_sec <= 0.65 AND gold_start_p95_abs_sec <= 1.9",
+    "regression": "gold_available AND gold_downstream_regression_line_count >= greatest(6, floor(line_count * 0.1)) AND gold_downstream_regression_mean_improvement_sec >= 0.6 AND gold_pre_whisper_start_mean_abs_sec + 0.15 < gold_start_mean_abs_sec",
+    "hooks_agree": "agreement_hook_boundary_eligibility_ratio >= greatest(0.85, agreement_coverage_ratio + 0.2) AND agreement_hook_boundary_text_similarity_mean >= greatest(0.9, agreement_text_similarity_mean)",
+    "late_agreement": "agreement_coverage_ratio >= 0.35 AND agreement_start_p95_abs_sec > 1.2",
+}
+#: Verdicts in order of precedence: predicate, verdict, confidence, reasons each with its predicate.
+VERDICTS = (
+    ("suspected", "likely_reference_divergence", "divergence_confidence", ()),
+    ("line_count < 8 OR NOT (has_dtw OR gold_available)", "insufficient_evidence", "'low'", (("insufficient_coverage", "true"),)),
+    (
+        "strong_internal AND stable_agreement AND (NOT gold_available OR strong_gold)", "likely_pipeline_ok", "CASE WHEN strong_gold THEN 'high' ELSE 'medium' END",
+        (("strong_internal_alignment", "true"), ("gold_timing_consistent", "gold_available")),
+    ),
+    (
+        "hint = 'review_dtw_lexical_matching' AND strong_gold AND agreement_coverage_ratio >= 0.4 AND agreement_start_p95_abs_sec <= 0.9 AND low_confidence_ratio <= 0.1", "needs_manual_review", "'medium'",
+        (("review_dtw_lexical_matching", "true"), ("gold_timing_consistent", "true"), ("agreement_consistent", "true"), ("hook_boundary_variants_dominant", "hook_boundary_variant_ratio >= 0.25"), ("hook_normalized_agreement_consistent", "hooks_agree")),
+    ),
+    ("regression", "needs_pipeline_work", "'high'", (("downstream_regression_dominant", "true"), ("pre_whisper_timing_stronger_than_final", "true"))),
+    (
+        "dtw_line_coverage < 0.75 OR dtw_word_coverage < 0.45 OR low_confidence_ratio > 0.2 OR (late_agreement AND NOT strong_gold)", "needs_pipeline_work", "'high'",
+        (("low_dtw_line_coverage", "dtw_line_coverage < 0.75"), ("low_dtw_word_coverage", "dtw_word_coverage < 0.45"), ("high_low_confidence_ratio", "low_confidence_ratio > 0.2"), ("high_agreement_p95", "late_agreement AND NOT strong_gold")),
+    ),
+    ("true", "needs_manual_review", "'medium'", (("mixed_signals", "true"),)),
+)
+VERDICT_METRICS = (
+    "line_count", "dtw_line_coverage", "dtw_word_coverage", "low_confidence_ratio", "agreement_coverage_ratio", "agreement_start_p95_abs_sec", "agreement_text_similarity_mean", "gold_word_coverage_ratio", "gold_start_mean_abs_sec", "gold_start_p95_abs_sec",
+    "gold_pre_whisper_start_mean_abs_sec", "gold_downstream_regression_line_count", "gold_downstream_regression_mean_improvement_sec", "gold_comparable_word_count", "hook_boundary_variant_ratio", "agreement_hook_boundary_eligibility_ratio",
+    "agreement_hook_boundary_text_similarity_mean",
+)
+
+
+def quality_verdict(df: DataFrame, terms: Mapping[str, str] = VERDICT_TERMS, verdicts=VERDICTS) -> DataFrame:
+    """df (VERDICT_METRICS, gold_available, suspected, divergence_confidence, divergence_evidence and hint) with verdict,
+    confidence and reasons: those of the first verdict whose predicate holds, by name, with the hint after the first two."""
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("gold_available", "suspected")]
+    known = df.select(*(F.col(c).alias(f"__{c}") for c in df.columns), *flags, "hint", F.coalesce("divergence_confidence", F.lit("medium")).alias("divergence_confidence"), "divergence_evidence", F.col("dtw_line_coverage").isNotNull().alias("has_dtw"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in VERDICT_METRICS))
+    known = with_terms(known, terms)
+    hinted = F.when(F.col("hint").isNotNull() & ~F.col("hint").isin("", "none"), F.concat(F.lit("policy_hint:"), F.col("hint")))
+    told = F.when(F.size("divergence_evidence") > 0, F.col("divergence_evidence")).otherwise(F.array(F.lit("reference_divergence_suspected")))
+    cases = []
+    for k, (predicate, verdict, confidence, reasons) in enumerate(verdicts):
+        own = told if k == 0 else F.array(*[F.when(F.expr(p), F.lit(r)) for r, p in reasons], *([hinted] if k > 1 else []))
+        cases.append(F.when(F.coalesce(F.expr(predicate), F.lit(False)), F.struct(F.lit(verdict).alias("verdict"), F.expr(confidence).alias("confidence"), F.array_sort(F.array_distinct(F.filter(own, lambda r: r.isNotNull()))).alias("reasons"))))
+    out = known.withColumn("__found", F.coalesce(*cases))
+    return out.select(*(F.col(f"__{c}").alias(c) for c in df.columns), "__found.*")
+
+
+#: What keeps a line out of a comparison, in order: reason and predicate.
+LINE_GUARDS = (
+    ("insufficient_window_words_for_long_line", "n_words >= 6 AND window_words < greatest(2, floor(0.35 * n_words))"),
+    ("low_window_confidence_and_sparse_words", "n_words >= 5 AND window_prob < 0.45 AND window_words < greatest(2, floor(0.5 * n_words))"),
+    ("explicit_window_too_sparse", "has_window AND n_words >= 4 AND window_words < 2"),
+    ("missing_line_start", "start IS NULL"),
+    ("missing_anchor_start", "anchor_start IS NULL"),
+    ("anchor_outside_window", "anchor_start < window_start - 1.0 OR anchor_start > window_end + 1.0"),
+)
+#: What rescues a line whose text is less like its anchor's than asked; ``delta`` is the seconds between their starts.
+LINE_RESCUES = (
+    "n_words >= 5 AND delta <= 0.22 AND overlap >= greatest(0.82, least_overlap + 0.25) AND window_words >= greatest(3, floor(0.6 * n_words)) AND window_prob >= 0.55",
+    "n_words BETWEEN 3 AND 4 AND delta <= 0.12 AND overlap >= greatest(0.9, least_overlap + 0.35) AND window_words >= n_words AND window_prob >= 0.65",
+    "n_words >= 3 AND delta <= 0.14 AND overlap >= greatest(0.72, least_overlap + 0.22) AND window_words >= greatest(2, floor(0.5 * n_words)) AND window_prob >= 0.55",
+    "n_words >= 4 AND delta <= 0.2 AND overlap >= greatest(0.15, least_overlap - 0.35) AND window_words >= greatest(2, floor(0.4 * n_words)) AND window_prob >= 0.55",
+)
+LINE_COLUMNS = ("n_words", "window_words", "window_prob", "start", "anchor_start", "window_start", "window_end", "similarity", "overlap", "leads")
+
+
+def line_eligibility(df: DataFrame, least_similarity: float, least_overlap: float, guards: Cases = LINE_GUARDS, rescues: Iterable[str] = LINE_RESCUES) -> DataFrame:
+    """df (LINE_COLUMNS) with skip_reason, eligible, delta and rescued: whether a line takes part in a comparison with its
+    anchor, and why not.
+
+    Lines that a guard keeps out aren't eligible. Of the others those are skipped whose first content word is not among the
+    first words of their window although the start is 0.8 seconds off (``leads``: whether it is there, null if unknown),
+    and those less like their anchor than asked, in text or tokens, that nothing rescues. Null window_words count 0.
+    """
+    known = df.select(*(F.col(c).alias(f"__{c}") for c in df.columns), *(c for c in LINE_COLUMNS if c != "window_words"), F.col("window_words").isNotNull().alias("has_window"), F.coalesce("window_words", F.lit(0)).alias("window_words"), F.lit(float(least_overlap)).alias("least_overlap"))
+    known = known.withColumns({"delta": F.abs(F.col("start") - F.col("anchor_start")), "__guard": F.coalesce(*[F.when(F.coalesce(F.expr(p), F.lit(False)), F.lit(r)) for r, p in guards])})
+    rescue = F.lit(False)
+    for p in rescues:
+        rescue = rescue | F.coalesce(F.expr(p), F.lit(False))
+    known = known.withColumn("__rescue", rescue)
+    absent = F.expr("delta >= 0.8 AND NOT leads AND overlap >= greatest(0.6, least_overlap + 0.1)")
+    unlike, apart = F.col("similarity") < least_similarity, F.col("overlap") < least_overlap
+    reason = F.coalesce("__guard", F.when(absent, "missing_window_line_start"), F.when(~F.col("__rescue") & unlike, "low_text_similarity"), F.when(~F.col("__rescue") & apart, "low_token_overlap"))
+    out = known.withColumns({"__reason": reason, "__eligible": F.col("__guard").isNull()})
+    return out.select(*(F.col(f"__{c}").alias(c) for c in df.columns), F.col("__reason").alias("skip_reason"), F.col("__eligible").alias("eligible"), "delta", (F.col("__reason").isNull() & F.col("__rescue") & unlike).alias("rescued"))

@@ -165,3 +165,52 @@ def override_gains(spark, d):
     rows = rounded(_made(spark, d).select("p_partkey", F.col("gold_start_mean_abs_sec").alias("now"), gain.alias("gain")), 6).where("gain > 0")
     top = rows.orderBy(F.col("gain").desc(), F.col("now").desc(), "p_partkey").limit(100)
     return top.select("p_partkey", "gain", F.row_number().over(Window.orderBy(F.col("gain").desc(), F.col("now").desc(), "p_partkey")).cast("long").alias("place"))
+
+
+VERDICT_SQL = f"""{M}, q AS (SELECT p_partkey, hint, suspected, gold_available AS has_gold, dtw_line_coverage IS NOT NULL AS has_dtw, line_count AS n, coalesce(dtw_line_coverage, 0) AS ln, coalesce(dtw_word_coverage, 0) AS wd, low_confidence_ratio AS low, agreement_coverage_ratio AS agree,
+  agreement_start_p95_abs_sec AS p95, agreement_text_similarity_mean AS sim, gold_word_coverage_ratio AS gold, gold_start_mean_abs_sec AS off, gold_start_p95_abs_sec AS off95, gold_comparable_word_count * 2 AS words, hook_boundary_variant_ratio AS hook, agreement_hook_boundary_eligibility_ratio AS elig,
+  agreement_hook_boundary_text_similarity_mean AS hsim, gold_downstream_regression_line_count AS worse, gold_downstream_regression_mean_improvement_sec AS gained, gold_pre_whisper_start_mean_abs_sec AS pre FROM m),
+ s AS (SELECT *, has_gold AND words >= 40 AND gold >= 0.8 AND off <= 0.65 AND off95 <= 1.9 AS sg FROM q),
+ v AS (SELECT *, CASE WHEN suspected THEN 1 WHEN n < 8 OR NOT has_dtw AND NOT has_gold THEN 2 WHEN ln >= 0.85 AND wd >= 0.55 AND low <= 0.12 AND (agree <= 0 OR p95 <= 0.9) AND (NOT has_gold OR sg) THEN 3
+  WHEN coalesce(hint = 'review_dtw_lexical_matching', false) AND sg AND agree >= 0.4 AND p95 <= 0.9 AND low <= 0.1 THEN 4 WHEN has_gold AND worse >= greatest(6, floor(n * 0.1)) AND gained >= 0.6 AND pre + 0.15 < off THEN 5
+  WHEN ln < 0.75 OR wd < 0.45 OR low > 0.2 OR agree >= 0.35 AND p95 > 1.2 AND NOT sg THEN 6 ELSE 7 END AS k FROM s)
+ SELECT p_partkey, CASE k WHEN 1 THEN 'likely_reference_divergence' WHEN 2 THEN 'insufficient_evidence' WHEN 3 THEN 'likely_pipeline_ok' WHEN 4 THEN 'needs_manual_review' WHEN 5 THEN 'needs_pipeline_work' WHEN 6 THEN 'needs_pipeline_work' ELSE 'needs_manual_review' END AS verdict,
+  CASE WHEN k = 1 THEN 'medium' WHEN k = 2 THEN 'low' WHEN k = 3 AND sg THEN 'high' WHEN k IN (5, 6) THEN 'high' ELSE 'medium' END AS confidence,
+  array_to_string(list_sort(list_filter([CASE WHEN k = 1 AND p_partkey % 2 = 0 THEN 'seen' END, CASE WHEN k = 1 AND p_partkey % 2 <> 0 THEN 'reference_divergence_suspected' END, CASE WHEN k = 2 THEN 'insufficient_coverage' END, CASE WHEN k = 3 THEN 'strong_internal_alignment' END,
+   CASE WHEN k = 3 AND has_gold OR k = 4 THEN 'gold_timing_consistent' END, CASE WHEN k = 4 THEN 'review_dtw_lexical_matching' END, CASE WHEN k = 4 THEN 'agreement_consistent' END, CASE WHEN k = 4 AND hook >= 0.25 THEN 'hook_boundary_variants_dominant' END,
+   CASE WHEN k = 4 AND elig >= greatest(0.85, agree + 0.2) AND hsim >= greatest(0.9, sim) THEN 'hook_normalized_agreement_consistent' END, CASE WHEN k = 5 THEN 'downstream_regression_dominant' END, CASE WHEN k = 5 THEN 'pre_whisper_timing_stronger_than_final' END,
+   CASE WHEN k = 6 AND ln < 0.75 THEN 'low_dtw_line_coverage' END, CASE WHEN k = 6 AND wd < 0.45 THEN 'low_dtw_word_coverage' END, CASE WHEN k = 6 AND low > 0.2 THEN 'high_low_confidence_ratio' END, CASE WHEN k = 6 AND agree >= 0.35 AND p95 > 1.2 AND NOT sg THEN 'high_agreement_p95' END,
+   CASE WHEN k = 7 THEN 'mixed_signals' END, CASE WHEN k > 2 THEN 'policy_hint:' || hint END], lambda z: z IS NOT NULL)), ',') AS reasons FROM v"""
+
+
+@query(f"WITH {VERDICT_SQL}")
+def quality_verdicts(spark, d):
+    evidence = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("seen")))
+    rows = _made(spark, d).withColumns({"gold_comparable_word_count": F.col("gold_comparable_word_count") * 2, "divergence_confidence": F.lit(None).cast("string"), "divergence_evidence": evidence})
+    return po.quality_verdict(rows).select("p_partkey", "verdict", "confidence", F.array_join("reasons", ",").alias("reasons"))
+
+
+#: Lines made of lineitem: words, window, starts and likeness.
+LINES = """m AS (SELECT l_orderkey, l_linenumber, (l_partkey % 9 + 1)::DOUBLE AS n_words, CASE WHEN l_suppkey % 6 <> 0 THEN (l_suppkey * 7 % 9)::DOUBLE END AS window_words, CASE WHEN l_partkey % 8 <> 3 THEN 0.3 + (l_partkey * 11 % 61) / 100 END AS window_prob,
+  CASE WHEN l_suppkey % 13 <> 4 THEN 10 + l_linenumber::DOUBLE END AS s, CASE WHEN l_partkey % 17 <> 5 THEN 10 + l_linenumber + ((l_partkey * 3 + l_suppkey) % 41 - 20) / 20 END AS a, 8 + l_linenumber + (l_suppkey % 5) / 2 AS ws, 11 + l_linenumber + (l_partkey % 5) / 2 AS we,
+  (l_partkey * 13 % 101) / 100 AS sim, (l_suppkey * 17 % 101) / 100 AS ov, CASE WHEN l_suppkey % 4 <> 2 THEN l_partkey % 2 = 0 END AS leads FROM lineitem)"""
+
+
+@query(
+    f"""WITH {LINES}, d AS (SELECT *, abs(s - a) AS delta, coalesce(window_words, 0) AS ww FROM m),
+ g AS (SELECT *, CASE WHEN n_words >= 6 AND ww < greatest(2, floor(0.35 * n_words)) THEN 'insufficient_window_words_for_long_line' WHEN n_words >= 5 AND window_prob < 0.45 AND ww < greatest(2, floor(0.5 * n_words)) THEN 'low_window_confidence_and_sparse_words'
+  WHEN window_words IS NOT NULL AND n_words >= 4 AND ww < 2 THEN 'explicit_window_too_sparse' WHEN s IS NULL THEN 'missing_line_start' WHEN a IS NULL THEN 'missing_anchor_start' WHEN a < ws - 1 OR a > we + 1 THEN 'anchor_outside_window' END AS guard,
+  coalesce(n_words >= 5 AND delta <= 0.22 AND ov >= 0.82 AND ww >= greatest(3, floor(0.6 * n_words)) AND window_prob >= 0.55, false) OR coalesce(n_words >= 3 AND n_words <= 4 AND delta <= 0.12 AND ov >= 0.9 AND ww >= n_words AND window_prob >= 0.65, false)
+  OR coalesce(n_words >= 3 AND delta <= 0.14 AND ov >= 0.72 AND ww >= greatest(2, floor(0.5 * n_words)) AND window_prob >= 0.55, false) OR coalesce(n_words >= 4 AND delta <= 0.2 AND ov >= 0.15 AND ww >= greatest(2, floor(0.4 * n_words)) AND window_prob >= 0.55, false) AS rescue FROM d),
+ r AS (SELECT *, CASE WHEN guard IS NOT NULL THEN guard WHEN delta >= 0.8 AND NOT leads AND ov >= 0.6 THEN 'missing_window_line_start' WHEN NOT rescue AND sim < 0.58 THEN 'low_text_similarity' WHEN NOT rescue AND ov < 0.5 THEN 'low_token_overlap' END AS reason FROM g)
+ SELECT l_orderkey, coalesce(reason, 'compared') AS reason, guard IS NULL AS eligible, reason IS NULL AND rescue AND sim < 0.58 AS rescued, count(*) AS n FROM r GROUP BY 1, 2, 3, 4"""
+)
+def line_eligibilities(spark, d):
+    """Why lines take part in a comparison or not."""
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", (p % 9 + 1).cast("double").alias("n_words"), F.when(s % 6 != 0, (s * 7 % 9).cast("double")).alias("window_words"), F.when(p % 8 != 3, 0.3 + (p * 11 % 61) / 100).alias("window_prob"), F.when(s % 13 != 4, 10 + n.cast("double")).alias("start"),
+        F.when(p % 17 != 5, 10 + n + ((p * 3 + s) % 41 - 20) / 20).alias("anchor_start"), (8 + n + (s % 5) / 2).alias("window_start"), (11 + n + (p % 5) / 2).alias("window_end"), (p * 13 % 101 / 100).alias("similarity"), (s * 17 % 101 / 100).alias("overlap"), F.when(s % 4 != 2, p % 2 == 0).alias("leads"),
+    )
+    out = po.line_eligibility(rows, 0.58, 0.5)
+    return out.groupBy("l_orderkey", F.coalesce("skip_reason", F.lit("compared")).alias("reason"), "eligible", "rescued").agg(F.count("*").alias("n"))

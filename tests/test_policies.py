@@ -118,3 +118,56 @@ def test_triage_steps(spark):
 def test_override_gain(spark):
     got = spark.createDataFrame([(2.0, 0.5, 0.1, False), (2.0, 0.5, 0.1, True), (2.0, None, 3.0, True), (None, 1.0, None, False), (2.0, 0.0, 0.0, True)], "a double, b double, c double, d boolean")
     assert [r[0] for r in got.select(po.override_gain(*(F.col(c) for c in "abcd"))).collect()] == pytest.approx([1.5, 1.9, 0.0, -1.0, 0.0])
+
+
+GOOD = {"line_count": 30, "dtw_line_coverage": 0.9, "dtw_word_coverage": 0.6, "low_confidence_ratio": 0.1, "agreement_coverage_ratio": 0.5, "agreement_start_p95_abs_sec": 0.9}
+GOLD = {"gold_comparable_word_count": 40, "gold_word_coverage_ratio": 0.8, "gold_start_mean_abs_sec": 0.65, "gold_start_p95_abs_sec": 1.9}
+REVIEW = "review_dtw_lexical_matching"
+
+
+@pytest.mark.parametrize(
+    ("metrics", "flags", "verdict"),
+    [
+        (GOOD, {"suspected": True}, ("likely_reference_divergence", "medium", ["reference_divergence_suspected"])),
+        (GOOD, {"suspected": True, "divergence_confidence": "high", "divergence_evidence": ["b", "a"]}, ("likely_reference_divergence", "high", ["a", "b"])),
+        (GOOD | {"line_count": 7}, {"hint": "x"}, ("insufficient_evidence", "low", ["insufficient_coverage"])),
+        ({"line_count": 9}, {}, ("insufficient_evidence", "low", ["insufficient_coverage"])),
+        (GOOD, {"hint": "x"}, ("likely_pipeline_ok", "medium", ["policy_hint:x", "strong_internal_alignment"])),
+        (GOOD | GOLD, {"gold_available": True}, ("likely_pipeline_ok", "high", ["gold_timing_consistent", "strong_internal_alignment"])),
+        (
+            GOOD | GOLD | {"dtw_word_coverage": 0.5, "hook_boundary_variant_ratio": 0.25, "agreement_hook_boundary_eligibility_ratio": 0.9, "agreement_hook_boundary_text_similarity_mean": 0.9}, {"gold_available": True, "hint": REVIEW},
+            ("needs_manual_review", "medium", ["agreement_consistent", "gold_timing_consistent", "hook_boundary_variants_dominant", "hook_normalized_agreement_consistent", f"policy_hint:{REVIEW}", REVIEW]),
+        ),
+        (
+            GOOD | {"gold_downstream_regression_line_count": 6, "gold_downstream_regression_mean_improvement_sec": 0.6, "gold_start_mean_abs_sec": 1.0}, {"gold_available": True, "hint": "none"},
+            ("needs_pipeline_work", "high", ["downstream_regression_dominant", "pre_whisper_timing_stronger_than_final"]),
+        ),
+        (GOOD | {"dtw_line_coverage": 0.7, "dtw_word_coverage": 0.4, "low_confidence_ratio": 0.3, "agreement_start_p95_abs_sec": 1.3}, {}, ("needs_pipeline_work", "high", ["high_agreement_p95", "high_low_confidence_ratio", "low_dtw_line_coverage", "low_dtw_word_coverage"])),
+        (GOOD | {"dtw_word_coverage": 0.5}, {}, ("needs_manual_review", "medium", ["mixed_signals"])),
+    ],
+)
+def test_verdicts(spark, metrics, flags, verdict):
+    made = dict.fromkeys(po.VERDICT_METRICS) | metrics
+    said = {"gold_available": False, "suspected": False, "divergence_confidence": None, "hint": None} | {k: v for k, v in flags.items() if k != "divergence_evidence"}
+    evidence = flags.get("divergence_evidence")
+    df = spark.range(1).select(
+        *(F.lit(v).cast("double").alias(k) for k, v in made.items()), *(F.lit(v).cast("boolean" if k in ("gold_available", "suspected") else "string").alias(k) for k, v in said.items()),
+        (F.array(*map(F.lit, evidence)) if evidence else F.lit(None).cast("array<string>")).alias("divergence_evidence"),
+    )
+    r = po.quality_verdict(df).first()
+    assert (r["verdict"], r["confidence"], r["reasons"]) == verdict
+
+
+def test_line_eligibility(spark):
+    base = {"n_words": 5.0, "window_words": 5.0, "window_prob": 0.9, "start": 10.0, "anchor_start": 10.2, "window_start": 9.0, "window_end": 12.0, "similarity": 0.9, "overlap": 0.9, "leads": True}
+    cases = [
+        ({}, None, True, False), ({"n_words": 6.0, "window_words": 1.0}, "insufficient_window_words_for_long_line", False, False), ({"window_words": 1.0, "window_prob": 0.4}, "low_window_confidence_and_sparse_words", False, False),
+        ({"n_words": 4.0, "window_words": 1.0}, "explicit_window_too_sparse", False, False), ({"n_words": 4.0, "window_words": None}, None, True, False), ({"start": None}, "missing_line_start", False, False), ({"anchor_start": None}, "missing_anchor_start", False, False),
+        ({"anchor_start": 7.9}, "anchor_outside_window", False, False), ({"anchor_start": 13.1}, "anchor_outside_window", False, False), ({"window_end": None, "anchor_start": 99.0}, None, True, False), ({"anchor_start": 10.8, "leads": False}, "missing_window_line_start", True, False),
+        ({"anchor_start": 10.8, "leads": None}, None, True, False), ({"similarity": 0.1, "anchor_start": 10.5}, "low_text_similarity", True, False), ({"overlap": 0.1, "anchor_start": 10.5}, "low_token_overlap", True, False), ({"similarity": 0.1}, None, True, True),
+        ({"similarity": 0.1, "n_words": 3.0, "anchor_start": 10.1}, None, True, True), ({"similarity": 0.1, "overlap": 0.2, "window_words": 2.0}, None, True, True), ({"similarity": 0.1, "overlap": 0.2, "window_prob": None}, "low_text_similarity", True, False),
+    ]
+    rows = [tuple((base | c[0])[k] for k in po.LINE_COLUMNS) + (n,) for n, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'boolean' if c == 'leads' else 'double'}" for c in po.LINE_COLUMNS) + ", n int")
+    got = {r["n"]: (r["skip_reason"], r["eligible"], r["rescued"]) for r in po.line_eligibility(df, 0.58, 0.5).collect()}
+    assert got == {n: c[1:] for n, c in enumerate(cases)}
