@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import folds as fo
+from spanloom.operators import sweeps as sw
 from spanloom.operators import variants as vr
 from spanloom.sources.tables import table
 
@@ -95,3 +96,24 @@ def canonical_lines(spark, d):
     """Lines that come again, written as their best reading."""
     sure = (F.col("confidence") > 0.6) & (F.col("event_id") % 5 != 0)
     return vr.canonical_variants(read_lines(spark, d), ["user_id"], "event_id", "start", "text", "tokens", "quality", sure).select("event_id", "family", "canonical")
+
+
+def on_screen(spark, d):
+    """Each user's events as rows on screen, four hours a second: few texts of two to six words, short or up to 49 seconds
+    long, in five lanes."""
+    rows = points(spark, d)
+    words = F.element_at(F.array(*map(F.lit, ("we go down to the mill", "the river runs all night long", "oh night", "some say it never ran dry", "nobody knows how old it is"))), (F.floor(F.col("event_id") / 5) % 5 + 1).cast("int"))
+    text = F.when(F.col("event_type").isin("view", "click"), "oh night").otherwise(words)
+    return rows.select("event_id", "user_id", F.col("event_id").alias("id"), text.alias("text"), (F.col("at") / 14_400).alias("first"), (F.col("at") / 14_400 + F.when(text == "oh night", 1.5 + F.col("value") % 7).otherwise(F.col("value") % 49)).alias("last"), (F.col("event_id") % 5 * 20).cast("double").alias("y"), (text == "oh night").alias("short"))
+
+
+@query()
+def context_epochs(spark, d):
+    """Beginnings of long rows that their companions' changes let expect."""
+    return rounded(sw.epochs(on_screen(spark, d), ["user_id"], 18.0, few=60).select("user_id", F.col("of").alias("event_id"), "first", "last"))
+
+
+@query()
+def overlap_repetitions(spark, d):
+    """Beginnings of rows that stand in two lanes at once for long."""
+    return rounded(sw.repetitions(on_screen(spark, d), ["user_id"], 18.0).select("user_id", F.col("of").alias("event_id"), "first", "last"))
