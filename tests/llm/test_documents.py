@@ -143,6 +143,45 @@ def test_quality_rules(spark):
     assert texts["clean"] == clean == texts["licence"]
 
 
+def slow_quality(text: str | None, r: quality.Rules) -> tuple:
+    """kept, clean text and word characters lost, line by line in plain Python."""
+    import regex
+
+    left, lost = [], 0
+    for line in (text or "").split("\n"):
+        words = WORDS.findall(line)
+        marks = sum(line.count(c) for c in quality.SYMBOLS) + len(re.findall(r"[!?]{2,}", line))
+        letters, capitals = len(regex.findall(r"\p{L}", line)), len(regex.findall(r"\p{Lu}", line))
+        separators = sum(w in ("|", "»", "›", "•", "·", "/", ">", "<", "::", "→", "-", "–") for w in words)
+        fails = marks > r.symbols_per_word * len(words)
+        fails |= len(words) >= r.least_words and capitals > r.shouted * letters
+        fails |= len(words) >= r.unpunctuated_words and not any(c in line for c in ".,;:!?")
+        fails |= separators >= 2 and separators > r.separators * len(words)
+        fails |= len(words) <= r.boilerplate_words and re.search(r.boilerplate, line) is not None
+        if words and fails:
+            lost += sum(map(len, words))
+        else:
+            left.append(line)
+    failed = base_counts(text)[-1]
+    chars = sum(map(len, WORDS.findall(text or "")))
+    kept = not failed and any(WORDS.search(x) for x in left) and lost <= r.most_lost * chars
+    return kept, None if text is None else "\n".join(left), lost
+
+
+def test_quality_verdicts_equal_plain_ones(spark, small, odd):
+    """On all documents, odd rows, and texts of lines that reach each rule at its limit."""
+    rng = random.Random(31)
+    lines = [
+        PROSE.strip(), "", " \t", "Home | About | News", "a - b - c d e f g h", "a - b - c d e f g h i j", "a / b", "ALL OF THIS IS LOUD", "ALL OF", "All OF THIS is", "what?! no!! yes??", "x " * 59 + "x", "x " * 59 + "x.", "##", "a # b c", "a # b c d", "1 2 3 4", "ÄÖÜ ÉÈ ÀÂ ÇŒ",
+        "All rights reserved.", "We use cookies " + "and so on " * 8, "We use cookies " + "and so on " * 10, "Copyright (c) 2020", "Copyright © 2020", "Lorem ipsum dolor", "· • » ›", "a\x0bb\x0cc",
+    ]
+    made = [(k, "\n".join(rng.choices(lines, k=rng.randint(1, 9))), "en", "a", 1) for k in range(400)]
+    for df in (documents(spark, small), odd, spark.createDataFrame(made, SCHEMA)):
+        got = quality.judged(df)
+        want = Counter((r.text, *slow_quality(r.text, quality.Rules())) for r in df.collect())
+        assert Counter(rows(got, "text", "kept", "clean_text", "lost_chars")) == want
+
+
 def test_quality_keeps_labelled_documents(spark, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     got = quality.op5_quality(spark, small).join(labels, "doc_id").where("NOT base_failed")
