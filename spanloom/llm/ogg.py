@@ -218,7 +218,12 @@ def padded(text: str, multiple: int = 64):
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as sound: written to Ogg, read back, described."""
+    """All documents as sound: written to Ogg, read back, described.
+
+    Null and empty texts are 64 zero bytes, n_bytes 0. Each row is a file, however often it recurs; equal texts have equal
+    files, since serial numbers don't depend on the row. A table without rows gives none. A file that doesn't read back
+    would have nulls in what is read from it; none does (tests).
+    """
     docs = load(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), padded("text").alias("payload"))
     media = encode_column(docs, "payload").select("doc_id", "n_bytes", "media")
     media = media.select("*", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))

@@ -303,5 +303,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: what the documents left are packed into."""
+    """Pipeline stage: what the documents left are packed into: pack_documents of them.
+
+    Null and empty texts are one token (the end id). Each row is a document, however often it recurs; null ids stay null.
+    Pieces of equal length are interchangeable, so ties decide only which sequence a piece lies in. No rows give none.
+    """
     return pack_documents(docs)

@@ -151,7 +151,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go; of the others the failing lines go, and n_chars follows."""
+    """Pipeline stage: rejected documents go; of the others the failing lines go, and n_chars follows.
+
+    Null, empty and wordless texts fail the base rules and go. Each row is judged by itself, so rows that recur stay or go
+    together; ids and other columns may be null. A table without rows gives none.
+    """
     prefix = "__judged_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix

@@ -262,6 +262,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets are masked in the texts, n_chars follows; no document goes."""
+    """Pipeline stage: secrets are masked in the texts, n_chars follows; no document goes.
+
+    Null texts stay null, and so does their n_chars; empty ones stay empty. Rows that recur stay, each masked alike. The
+    models are trained on the stage's own documents; without any, random strings alone train them, and no row needs them.
+    """
     out = masked(docs, train(samples(docs)))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
