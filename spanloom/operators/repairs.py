@@ -7,10 +7,14 @@ merge; a null text is like no other.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
-from itertools import permutations
+from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +48,11 @@ class Entry:
 Pass = Callable[[list[Entry]], list[Entry]]
 
 
+_ratio = lru_cache(1 << 16)(ratio)
+
+
 def like(a: Entry, b: Entry) -> float:
-    return ratio(a.text.lower(), b.text.lower())
+    return _ratio(a.text.lower(), b.text.lower())
 
 
 def extend(into: Entry, other: Entry) -> None:
@@ -109,31 +116,60 @@ def fades(a: Entry, b: Entry, shared: float) -> bool:
 
 
 def merge_fades(entries: list[Entry], lane: float) -> list[Entry]:
-    """Of two rows of a lane of which one fades into the other, the dimmer or shorter one goes; rows gone are met no more."""
+    """Of two rows of a lane of which one fades into the other, the dimmer or shorter one goes; rows gone are met no more.
+
+    Each row in turn meets the others in order. Those that can't fade into it, by time, lane, length and brightness, are
+    left out by arrays first, so texts are compared only where the rest fits.
+    """
     left = dict(enumerate(entries))
-    for i, j in permutations(range(len(entries)), 2):
-        if i in left and j in left:
+    first, last, y, light = (np.array([getattr(e, n) for e in entries], float) for n in ("first", "last", "y", "brightness"))
+    there = np.ones(len(entries), bool)
+
+    def may_fade(i: int, met: int) -> list[int]:
+        """Rows after ``met`` that row i may fade into, or they into it."""
+        length, own = last - first, last[i] - first[i]
+        low, high, apart = np.minimum(length, own), np.maximum(length, own), np.abs(light - light[i])
+        near = there & (np.abs(y - y[i]) <= lane) & (first <= last[i] + 0.25) & (last >= first[i] - 0.25)
+        near &= (own > 2 * length) & (light[i] > 1.2 * light) | (low < 1.5) & (high > 3.0) | (apart > 40)
+        near[: met + 1] = near[i] = False
+        return np.flatnonzero(near).tolist()
+
+    for i in range(len(entries)):
+        met, todo = -1, deque(may_fade(i, -1)) if i in left else deque()
+        while todo and i in left:
+            met = j = todo.popleft()
             a, b = left[i], left[j]
             if abs(a.y - b.y) <= lane and (shared := touching(a, b)) > 0 and fades(a, b, shared) and one_line(a, b):
                 win, lose = (i, j) if a.brightness > b.brightness + 20 or a.length > b.length + 1 else (j, i)
                 extend(left[win], left.pop(lose))
+                first[win], last[win], there[lose] = left[win].first, left[win].last, False
+                if win == i:
+                    todo = deque(may_fade(i, met))
     return list(left.values())
 
 
 def add_cycles(entries: list[Entry], lane: float, least: float = 0.97, long: float = 6.0, shared: float = 7.0, gaps: tuple[float, float] = (4.0, 10.5)) -> list[Entry]:
-    """Two long rows of one text in different lanes, a steady gap apart: the next turn of that cycle is inferred once."""
+    """Two long rows of one text in different lanes, a steady gap apart: the next turn of that cycle is inferred once.
+
+    Rows are taken in order of their beginning, each with those that begin at most the longest gap after it; whether a turn
+    is there already is looked up by time.
+    """
     out = list(entries)
-    long_ones = [e for e in entries if e.length >= long]
+    by_time = sorted((e.first, k) for k, e in enumerate(out))
+    long_ones = sorted((e for e in entries if e.length >= long), key=lambda e: e.first)
     for k, a in enumerate(long_ones):
-        for b in long_ones[k + 1 :]:
-            gap, end, begun = abs(a.first - b.first), min(a.last, b.last), max(a.first, b.first)
+        for b in islice(long_ones, k + 1, None):
+            gap, end, begun = b.first - a.first, min(a.last, b.last), b.first
+            if gap > gaps[1]:
+                break
             at = begun + gap
-            steady = gaps[0] <= gap <= gaps[1] and end - begun >= max(shared, gap - 0.5) and begun + 2 < at < end - 1
+            steady = gap >= gaps[0] and end - begun >= max(shared, gap - 0.5) and begun + 2 < at < end - 1
             if not steady or abs(a.y - b.y) <= lane or like(a, b) < least:
                 continue
-            of = a if a.first >= b.first else b
-            if not any(abs(x.y - of.y) <= lane and abs(x.first - at) <= 1.2 and like(x, of) >= least for x in out):
-                out.append(replace(of, first=at, last=min(of.last, at + 1.2), inferred=True))
+            near = (out[x] for _, x in by_time[bisect_left(by_time, (at - 1.25,)) : bisect_right(by_time, (at + 1.25, len(out)))])
+            if not any(abs(x.y - b.y) <= lane and abs(x.first - at) <= 1.2 and like(x, b) >= least for x in near):
+                out.append(replace(b, first=at, last=min(b.last, at + 1.2), inferred=True))
+                insort(by_time, (at, len(out) - 1))
     return sorted(out, key=lambda e: (e.first, e.y))
 
 

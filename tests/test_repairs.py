@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import random
+import time
+from copy import deepcopy
+from dataclasses import replace
 from functools import partial
+from itertools import permutations
 
 from spanloom.operators import repairs as rp
 from spanloom.operators.repairs import Entry
@@ -55,3 +60,58 @@ def test_passes_keep_columns_and_nulls(spark):
 def test_last_match(spark):
     df = spark.createDataFrame([(["take me home", "country roads", "thanks for watching"], ["Take me home", "Country roads"]), (["zzz"], ["take me"]), (None, None)], "a array<string>, b array<string>")
     assert [r.x for r in df.select(rp.last_match("a", "b").alias("x")).collect()] == [1, None, None]
+
+
+def slow_fades(entries, lane):
+    """Every row meets every other one, in order."""
+    left = dict(enumerate(entries))
+    for i, j in permutations(range(len(entries)), 2):
+        if i in left and j in left:
+            a, b = left[i], left[j]
+            shared = rp.touching(a, b)
+            if abs(a.y - b.y) <= lane and shared > 0 and rp.fades(a, b, shared) and rp.one_line(a, b):
+                win, lose = (i, j) if a.brightness > b.brightness + 20 or a.length > b.length + 1 else (j, i)
+                rp.extend(left[win], left.pop(lose))
+    return list(left.values())
+
+
+def slow_cycles(entries, lane):
+    """Every long row meets every later one; whether a turn is there is looked up among all rows."""
+    out, long = list(entries), [e for e in entries if e.length >= 6.0]
+    for k, a in enumerate(long):
+        for b in long[k + 1 :]:
+            gap, end = b.first - a.first, min(a.last, b.last)
+            at = b.first + gap
+            if not 4.0 <= gap <= 10.5 or end - b.first < max(7.0, gap - 0.5) or not b.first + 2 < at < end - 1 or abs(a.y - b.y) <= lane or rp.like(a, b) < 0.97:
+                continue
+            if not any(abs(x.y - b.y) <= lane and abs(x.first - at) <= 1.2 and rp.like(x, b) >= 0.97 for x in out):
+                out.append(replace(b, first=at, last=min(b.last, at + 1.2), inferred=True))
+    return sorted(out, key=lambda e: (e.first, e.y))
+
+
+def made_entries(rng, n, span, lengths):
+    made = []
+    for k in range(n):
+        first = round(rng.uniform(0, span), 2)
+        made.append(Entry(rng.choice(["we go home", "we go", "go home now", "river"]), first, round(first + rng.choice(lengths), 2), rng.choice([0.0, 10.0, 30.0]), k, rng.choice([100.0, 150.0, 200.0, 255.0])))
+    return sorted(made, key=lambda e: (e.first, e.y, e.text))
+
+
+def test_fades_and_cycles_equal_slow_ones():
+    rng, merged, inferred = random.Random(4), 0, 0
+    for _ in range(150):
+        rows = made_entries(rng, rng.randint(0, 25), 20, [0.5, 1, 2, 4, 8, 16])
+        got = rp.merge_fades(deepcopy(rows), 15.0)
+        assert got == slow_fades(deepcopy(rows), 15.0)
+        rows = made_entries(rng, rng.randint(0, 25), 20, [8, 16, 20])
+        more = rp.add_cycles(deepcopy(rows), 15.0)
+        assert more == slow_cycles(rows, 15.0)
+        merged, inferred = merged + 25 - len(got), inferred + len(more) - len(rows)
+    assert merged > 100 and inferred > 100
+
+
+def test_a_crowd_of_overlapping_rows_takes_seconds():
+    rng, began = random.Random(5), time.process_time()
+    rp.merge_fades(made_entries(rng, 10_000, 60, [1, 4, 16]), 15.0)
+    rp.add_cycles(made_entries(rng, 10_000, 500, [16]), 15.0)
+    assert time.process_time() - began < 30
