@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .entity import Row, in_order
+from .entity import Row, extended, in_order
 from .sequences import ratio
 
-alike = lru_cache(1 << 16)(ratio)
+
+@lru_cache(1 << 16)
+def alike(a: str, b: str) -> float:
+    return ratio(a, b)
 
 
 @dataclass
@@ -228,3 +231,95 @@ def repetitions(rows: DataFrame, keys: list[str], near: float, shared: float = 3
         yield from closed(float("inf"))
 
     return not_there(in_order(known, keys, ["first", "y", "id"], fold, _inferred(known, keys)), known, keys, near)
+
+
+def screen_blocks(rows: DataFrame, keys: list[str], start: str, end: str, y: str, row_id: str, most_span: float = 1.4, least_overlap: float = 0.75, most_rows: int = 6, short: float = 0.8, short_span: float = 1.8, short_overlap: float = 0.15) -> DataFrame:
+    """rows with ``block`` and ``row``: rows that appear together, numbered by their beginning, and their place from top to
+    bottom; null for rows that stand alone, or end before they start.
+
+    In order of start, end, y and id a row joins the open block if all starts stay within ``most_span``, it and the block's
+    whole time share ``least_overlap``, and the block has fewer than ``most_rows``; a row of ``short`` seconds or less may
+    be ``short_span`` apart and share ``short_overlap`` only. One block is held.
+    """
+
+    def fold(group: Iterator[Row]) -> Iterator[Row]:
+        held: list[Row] = []
+        low = high = 0.0  # the block's last end, and the latest start
+        number = 0
+
+        def closed() -> Iterator[Row]:
+            nonlocal number
+            if len(held) < 2:
+                yield from (r | {"block": None, "row": None} for r in held)
+                return
+            places = {id(r): k for k, r in enumerate(sorted(held, key=lambda r: (r[y] or 0.0, r[start], r[row_id])))}
+            yield from (r | {"block": number, "row": places[id(r)]} for r in held)
+            number += 1
+
+        for r in group:
+            s, e = r[start], r[end]
+            if s is None or e is None or e <= s:
+                yield r | {"block": None, "row": None}
+                continue
+            brief = e - s <= short
+            span, overlap = (max(most_span, short_span), min(least_overlap, short_overlap)) if brief else (most_span, least_overlap)
+            if held and (max(high, s) - held[0][start] > span or min(low, e) - max(held[0][start], s) < overlap or len(held) >= most_rows):
+                yield from closed()
+                held = []
+            low, high = (max(low, e), max(high, s)) if held else (e, s)
+            held.append(r)
+        yield from closed()
+
+    return in_order(rows, keys, [start, end, y, row_id], fold, extended(rows, block=T.IntegerType(), row=T.IntegerType()))
+
+
+def is_repeat(like: float, apart: float, later: float, gap: float, near: float = 5.0) -> bool:
+    """Whether a row repeats an earlier one, by how alike their texts are, how far apart they stand, how much later it
+    begins, and how long after the other's end. Rows that begin ``near`` each other may be read badly; a later one must
+    begin ``near`` the end of the other and say nearly the same."""
+    if later < near:
+        return like > 0.7 and apart < 30 or 0.6 <= like <= 0.7 and apart < 40
+    return gap < near and like > 0.85 and apart < 30
+
+
+def reads_better(new: Row, old: Row, clearly: float = 1.0) -> bool:
+    """Whether a row's text stands for both: the one that lasts clearly longer, else that of more words, else of more letters."""
+    longer = (new["last"] - new["first"]) - (old["last"] - old["first"])
+    letters = lambda r: sum(c.isalpha() for c in r["text"])
+    return longer > clearly or longer >= -clearly and (len(new["text"].split()), letters(new)) > (len(old["text"].split()), letters(old))
+
+
+def merged_repeats(rows: DataFrame, keys: list[str], near: float = 5.0, guard: bool = True, tail: float = 0.8) -> DataFrame:
+    """keys, id, text, first, last, y, visible and rows: of rows that repeat each other one is left, which spans them all.
+
+    ``rows``: keys, id, text, first, last, y and visible. In order of first, y and id a row goes into the first one left
+    that it repeats (is_repeat), whose place and id stay; of both texts the one that reads better is left. With ``guard``,
+    a row that was never visible doesn't go into a visible one of its lane that ended ``tail`` or more before: it is what a
+    dim screen left. Rows without text, times or y stay. A row that ended and began ``near`` or more before is repeated by
+    none that come, so it goes out: what is held is what stands on screen, and a little before.
+    """
+    kind = T.StructType([*(f for f in rows.schema if f.name in keys), rows.schema["id"], T.StructField("text", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in ("first", "last", "y")), T.StructField("visible", T.BooleanType()), T.StructField("rows", T.LongType())])
+    plain = rows.select(*keys, "id", "text", *(F.col(c).cast("double").alias(c) for c in ("first", "last", "y")), F.coalesce("visible", F.lit(False)).alias("visible"), F.lit(1).cast("long").alias("rows"))
+
+    def fold(group: Iterator[Row]) -> Iterator[Row]:
+        held: list[Row] = []
+        for r in group:
+            if None in (r["text"], r["first"], r["last"], r["y"]):
+                yield r
+                continue
+            yield from (u for u in held if r["first"] - u["first"] >= near and r["first"] - u["last"] >= near)
+            held = [u for u in held if r["first"] - u["first"] < near or r["first"] - u["last"] < near]
+            for u in held:
+                like, apart = alike(r["text"], u["text"]), abs(r["y"] - u["y"])
+                if guard and u["visible"] and not r["visible"] and like > 0.8 and apart < 30 and r["first"] >= u["last"] + tail:
+                    continue
+                if is_repeat(like, apart, r["first"] - u["first"], max(0.0, r["first"] - u["last"]), near):
+                    if reads_better(r, u):
+                        u["text"] = r["text"]
+                    u["last"], u["rows"] = max(u["last"], r["last"]), u["rows"] + 1
+                    break
+            else:
+                held.append(r)
+        yield from held
+
+    return in_order(plain, keys, ["first", "y", "id"], fold, kind)

@@ -117,3 +117,21 @@ def context_epochs(spark, d):
 def overlap_repetitions(spark, d):
     """Beginnings of rows that stand in two lanes at once for long."""
     return rounded(sw.repetitions(on_screen(spark, d), ["user_id"], 18.0).select("user_id", F.col("of").alias("event_id"), "first", "last"))
+
+
+def seen_rows(spark, d):
+    """The lines of read_lines as rows on screen, up to eight seconds long, in four lanes."""
+    rows = read_lines(spark, d)
+    return rows.select("event_id", "user_id", F.col("event_id").alias("id"), F.lower("text").alias("text"), (F.col("start") / 4).alias("first"), (F.col("start") / 4 + F.col("confidence") * 2).alias("last"), (F.col("event_id") % 4 * 25).cast("double").alias("y"), (F.col("confidence") > 0.5).alias("visible"))
+
+
+@query()
+def blocks_on_screen(spark, d):
+    """Rows of each user that appear together, and their place from top to bottom."""
+    return sw.screen_blocks(seen_rows(spark, d), ["user_id"], "first", "last", "y", "id").select("event_id", "block", "row")
+
+
+@query()
+def merged_rows(spark, d):
+    """Rows of each user that repeat each other, one left of each."""
+    return rounded(sw.merged_repeats(seen_rows(spark, d), ["user_id"]).select("user_id", "id", "text", "first", "last", "rows"))

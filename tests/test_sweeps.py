@@ -129,3 +129,70 @@ def test_dense_and_odd_rows(spark):
             n += len(got[u])
         assert n > 20
         assert run(df.limit(0), ["u"], 18.0).count() == 0
+
+
+def slow_blocks(rows):
+    """(id -> (block, place)): all of a block is looked at for each row."""
+    blocks, now = [], []
+    for r in sorted((r for r in rows if r["first"] is not None and r["last"] is not None and r["last"] > r["first"]), key=lambda r: (r["first"], r["last"], r["y"], r["id"])):
+        brief = r["last"] - r["first"] <= 0.8
+        starts = [x["first"] for x in now] + [r["first"]]
+        shared = min(max((x["last"] for x in now), default=0), r["last"]) - max(min((x["first"] for x in now), default=0), r["first"])
+        if now and (max(starts) - min(starts) > (1.8 if brief else 1.4) or shared < (0.15 if brief else 0.75) or len(now) >= 6):
+            blocks.append(now)
+            now = []
+        now = [*now, r]
+    blocks = [b for b in [*blocks, now] if len(b) > 1]
+    return {r["id"]: (n, k) for n, b in enumerate(blocks) for k, r in enumerate(sorted(b, key=lambda r: (r["y"], r["first"], r["id"])))}
+
+
+def slow_merges(rows):
+    """Every row looks at all rows left, however long ago."""
+    left = []
+    for r in sorted(rows, key=lambda r: (r["first"], r["y"], r["id"])):
+        for u in left:
+            sim, dy, dt, gap = like(r["text"], u["text"]), abs(r["y"] - u["y"]), abs(r["first"] - u["first"]), max(0.0, r["first"] - u["last"])
+            if not r["visible"] and u["visible"] and sim > 0.8 and dy < 30 and r["first"] >= u["last"] + 0.8:
+                continue
+            if (sim > 0.7 and dy < 30 or 0.6 <= sim <= 0.7 and dy < 40) if dt < 5 else gap < 5 and sim > 0.85 and dy < 30:
+                a, b = r["last"] - r["first"], u["last"] - u["first"]
+                size = lambda x: (len(x["text"].split()), sum(c.isalpha() for c in x["text"]))
+                if a > b + 1 or not b > a + 1 and size(r) > size(u):
+                    u["text"] = r["text"]
+                u["last"], u["rows"] = max(u["last"], r["last"]), u["rows"] + 1
+                break
+        else:
+            left.append(r | {"rows": 1})
+    return sorted((u["id"], u["text"], round(u["first"], 4), round(u["last"], 4), u["rows"]) for u in left)
+
+
+def crowd(rng):
+    texts = ["we go down to the mill", "we go down to the mil", "we go dwn to the", "the river runs all night", "the rivr runs all nite", "oh night"]
+    for k in range(500):
+        first = round(rng.uniform(0, 70), 1)
+        yield {"u": k % 6, "id": k, "text": rng.choice(texts), "first": first, "last": round(first + rng.choice([0.3, 0.7, 1, 2, 5, 9]), 1), "y": float(rng.choice([0, 15, 35, 60])), "visible": rng.random() < 0.5}
+
+
+def test_blocks_and_merges_equal_slow_ones(spark, small):
+    rows = [r.asDict() | {"u": r.user_id} for r in queries_folds.seen_rows(spark, small).collect()]
+    blocks = {r.event_id: (r.block, r.row) for r in QUERIES["blocks_on_screen"](spark, small).collect()}
+    merged = [(r.user_id, r.id, r.text, r.first, r["last"], r.rows) for r in QUERIES["merged_rows"](spark, small).collect()]
+    made = list(crowd(random.Random(6)))
+    df = spark.createDataFrame([tuple(r.values()) for r in made], "u long, id long, text string, first double, last double, y double, visible boolean")
+    found = {r.id: (r.block, r.row) for r in sweeps.screen_blocks(df, ["u"], "first", "last", "y", "id").collect()}
+    also = [(r.u, r.id, r.text, r.first, r["last"], r.rows) for r in sweeps.merged_repeats(df, ["u"]).collect()]
+    for rows_, blocks_, merged_ in ((rows, blocks, merged), (made, found, also)):
+        n = 0
+        for u in {r["u"] for r in rows_}:
+            own = [r for r in rows_ if r["u"] == u]
+            want = slow_blocks(own)
+            assert {r["id"]: blocks_[r["id"]] for r in own} == {r["id"]: want.get(r["id"], (None, None)) for r in own}
+            assert sorted((m[1], m[2], round(m[3], 4), round(m[4], 4), m[5]) for m in merged_ if m[0] == u) == slow_merges(own)
+            n += len(want)
+        assert n > 20 and len(merged_) < len(rows_) - 20
+
+
+def test_blocks_and_merges_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, 1, None, 0.0, 1.0, 0.0, True), (1, 2, "a b", None, 1.0, 0.0, None), (1, 3, "a b", 2.0, 1.0, None, None), (1, 4, "a b", 2.0, 2.0, 0.0, None)], "u long, id long, text string, first double, last double, y double, visible boolean")
+    assert sweeps.merged_repeats(df, ["u"]).count() == 4 and sweeps.merged_repeats(df.limit(0), ["u"]).count() == 0
+    assert {(r.block, r.row) for r in sweeps.screen_blocks(df, ["u"], "first", "last", "y", "id").collect()} == {(None, None)}
