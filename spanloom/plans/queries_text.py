@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import nested as ns
+from spanloom.functions import phonetic as ph
 from spanloom.functions import text as tx
 from spanloom.operators import align as al
 from spanloom.operators import entity as en
@@ -192,3 +193,23 @@ def leader_clusters(spark, d):
     """Greedy leader clusters of a user's events by time and value."""
     rows = points(spark, d).select("event_id", "user_id", "at", "value")
     return en.leader_clusters(rows, ["user_id"], "at", "value", 86400.0, 20.0).select("event_id", "cluster")
+
+
+SPOKEN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (ph.ALIKE | ph.CONTRACTIONS).items()) + "}"
+
+
+@query(
+    rf"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS w, {SPOKEN} AS m FROM conversations)
+ SELECT conv_id, turn, md5(array_to_string(list_transform(w, lambda x: coalesce(m[x], x)), ' ')) AS form FROM w"""
+)
+def spoken_forms(spark, d):
+    """Each turn's text as it is compared by sound."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(ph.spoken_form(F.col("text")).cast("binary")).alias("form"))
+
+
+@query()
+def spoken_pairs(spark, d):
+    """How alike the names and types of parts sound."""
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    score = ph.spoken_similarity(F.col("p_name"), F.col("p_type"))
+    return rounded(rows.select("p_partkey", score.alias("score"), ph.with_skeletons(score, F.col("p_name"), F.col("p_type")).alias("best")), 6)
