@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import has_credit, is_promo, is_symbols_only
+from .text import basic, has_credit, is_promo, is_symbols_only
 
 #: Beginnings of lines that are credits.
 PREFIXES = (
@@ -96,6 +96,23 @@ def is_metadata(line: Column, title: Column, artist: Column, at: Column, header:
     return F.coalesce(out, F.lit(False))
 
 
+#: Parts of words that providers and owners leave on a screen, and beginnings and ends of such words.
+OWNERS = ("karaoke", "karafun", "entertainer", "digitop", "rights", "reserved", "copyright", "produced", "association", "global", "ltd", "www", "http")
+PROVIDERS, ADDRESSES = ("kara", "xara", "xora"), ("com", "couk", "net")
+
+
+def is_screen_noise(text: Column) -> Column:
+    """Whether a line on screen names its provider or owner: an address beside such a word, three words with a part of
+    OWNERS, or two of PROVIDERS, or two of either kind among ten words. Null and empty texts are none."""
+    words = F.filter(F.transform(F.split(basic(text), " "), lambda w: F.regexp_replace(w, "[^a-z0-9]+", "")), lambda w: w != "")
+    count = lambda test: F.size(F.filter(words, test))
+    owners = count(lambda w: w.rlike("|".join(OWNERS)))
+    providers = count(lambda w: w.rlike(f"^({'|'.join(PROVIDERS)})") & (F.length(w) >= 5))
+    addresses = count(lambda w: w.rlike(f"www|({'|'.join(ADDRESSES)})$"))
+    n = F.size(words)
+    return F.coalesce((addresses >= 1) & ((owners >= 1) | (providers >= 1)) | (owners >= 3) | (providers >= 2) & (n >= 2) | (n >= 10) & ((owners >= 2) | (providers >= 2)), F.lit(False))
+
+
 #: Parts of titles of versions that no studio made.
 NON_STUDIO = (
     "live", "concert", "performance", "performs", "performing", "tour", "in concert", "acoustic", "unplugged", "stripped", "piano version", "remix", "extended", "extended mix", "demo", "rehearsal", "bootleg", "outtake", "alternate take",

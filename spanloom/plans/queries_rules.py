@@ -76,6 +76,20 @@ def policy_rules(spark, d):
     return po.should_retry(po.trust_policy(po.lyric_quality(known))).select("user_id", "quality", "reason", "retry")
 
 
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, source FROM documents), b AS (SELECT doc_id, regexp_replace(replace(lower(line || CASE doc_id % 5 WHEN 0 THEN ' Karafun Karaoke' WHEN 1 THEN ' www.' || source || '.com (c) xorafun' WHEN 2 THEN ' all rights reserved' WHEN 3 THEN ' copyright global' ELSE '' END), '-', ' '), '[^a-z0-9'' ]+', '', 'g') AS t FROM l),
+ w AS (SELECT doc_id, list_filter(list_transform(string_split(t, ' '), lambda x: regexp_replace(x, '[^a-z0-9]+', '', 'g')), lambda x: x <> '') AS w FROM b),
+ c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, 'karaoke|karafun|entertainer|digitop|rights|reserved|copyright|produced|association|global|ltd|www|http'))) AS o, len(list_filter(w, lambda x: regexp_matches(x, '^(kara|xara|xora)') AND length(x) >= 5)) AS p,
+   len(list_filter(w, lambda x: contains(x, 'www') OR ends_with(x, 'com') OR ends_with(x, 'couk') OR ends_with(x, 'net'))) AS a FROM w)
+ SELECT doc_id, count(*) FILTER ((a >= 1 AND (o >= 1 OR p >= 1)) OR o >= 3 OR (p >= 2 AND n >= 2) OR (n >= 10 AND (o >= 2 OR p >= 2))) AS n_noise FROM c GROUP BY 1"""
+)
+def screen_noise(spark, d):
+    """Lines of each document that name a provider or owner, with words of such lines behind them."""
+    more = F.element_at(F.array(F.lit(" Karafun Karaoke"), F.concat(F.lit(" www."), "source", F.lit(".com (c) xorafun")), F.lit(" all rights reserved"), F.lit(" copyright global"), F.lit("")), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"), more.alias("more"))
+    return rows.groupBy("doc_id").agg(F.count_if(ru.is_screen_noise(F.concat("line", "more"))).alias("n_noise"))
+
+
 FORMS = {"of": "out of", "the": "this one", "le": "la"}
 
 

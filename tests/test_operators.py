@@ -91,6 +91,12 @@ def test_titles_made_outside_a_studio(spark):
     assert {r.t: r.x for r in rows} == titles | {None: False}
 
 
+def test_noise_on_screen(spark):
+    lines = {"www.karafun.com": True, "visit sing.com": False, "xorafun karaone": True, "xorafun": False, "all rights reserved copyright": True, "rights reserved": False, "one two three four five six seven eight rights reserved": True, "we all go home": False, "": False, "kara kara": False}
+    rows = spark.createDataFrame([(t,) for t in [*lines, None]], "t string").select("t", ru.is_screen_noise(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == lines | {None: False}
+
+
 def test_lines_without_lyrics(spark):
     lines = {"♪ 🎵 ·=•": "symbols", "  ": "symbols", "*": None, "♬♫ x": None, "Writer: Some One": "credit", "Two words: Some One": None, "Verylongfirstword1: Some One": None, "word: Élan": None, "mail me@home": "promo", "me @ home": None, "send an SMS": "promo", "call 06 12 34": "promo", "in 12345": None, "in 123456": "promo", "Remember members": None}
     c = F.col("t")
