@@ -146,6 +146,25 @@ def with_columns_from(
     return df.select(*needed).mapInArrow(run, T.StructType([*passed, *fields.fields]))
 
 
+#: Values that a key is folded to before it is sent to all tasks: so many entries at most, whatever the input holds.
+FOLDED = 1 << 20
+
+
+def folded(*keys: str | Column) -> Column:
+    """A number below FOLDED that rows with equal keys (nulls too) share."""
+    return F.pmod(F.xxhash64(*keys), F.lit(FOLDED))
+
+
+def split_by(df: DataFrame, key: Column, named: DataFrame, named_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose folded key some row of ``named`` has, the other rows). No row whose key is named is among the others;
+    some of the first have another key. What is sent to the tasks is at most FOLDED numbers; where the names are so many
+    that most numbers occur, most rows are among the first, and nothing is gained or lost."""
+    at = free_name(df, "__at")
+    numbers = F.broadcast(named.select(named_key.alias(at)).distinct())
+    rows = df.withColumn(at, key)
+    return rows.join(numbers, at, "left_semi").drop(at), rows.join(numbers, at, "left_anti").drop(at)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also where body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

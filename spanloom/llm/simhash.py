@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, load, stored, with_columns_from
+from .common import Scratch, folded, free_name, load, split_by, stored, with_columns_from
 from .components import components
 from .embedding import LOWER, close, embedding
 from .jaccard import near_copies
@@ -117,12 +117,17 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row that repeats it goes like any other member of the group: of rows with its id and text, the first by all columns
     as JSON stays.
     """
-    per_copy = near_copies(docs).groupBy("root", "doc_id", "copy").agg(F.count("*").alias("n"))
+    per_copy = stored(near_copies(docs).groupBy("root", "doc_id", "copy").agg(F.count("*").alias("n")))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy", "n")).alias("first")
     own, copy, n = (free_name(docs, c) for c in ("__doc_id", "__copy", "__n"))
-    kept = stored(per_copy.groupBy("root").agg(first).select(F.col("first.doc_id").alias(own), F.col("first.copy").alias(copy), F.col("first.n").alias(n)))
+    groups = per_copy.groupBy("root").agg(first, F.count("*").alias("copies"))
+    kept = stored(groups.select(F.col("first.doc_id").alias(own), F.col("first.copy").alias(copy), F.col("first.n").alias(n), "root", "copies"))
+    # documents that stand alone stay as they are, without a shuffle of their texts; the others are looked up
+    touched = per_copy.join(kept.where(F.col("copies") > 1).select("root").hint("rebalance"), "root", "left_semi").select("doc_id", "copy").unionByName(per_copy.where("n > 1").select("doc_id", "copy"))
+    asked, untouched = split_by(docs, folded("doc_id", F.xxhash64("text")), touched, folded("doc_id", "copy"))
+    kept = kept.drop("root", "copies")
     same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(copy))
-    alone = docs.join(kept.where(F.col(n) == 1), same, "left_semi")
+    alone = asked.join(kept.where(F.col(n) == 1), same, "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = docs.join(kept.where(F.col(n) > 1), same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(copy)).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
-    return alone.unionByName(repeated.select("row.*"))
+    repeated = asked.join(kept.where(F.col(n) > 1), same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(copy)).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return untouched.unionByName(alone).unionByName(repeated.select("row.*"))
