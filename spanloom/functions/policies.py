@@ -288,11 +288,12 @@ LINE_GUARDS = (
     ("anchor_outside_window", "anchor_start < window_start - 1.0 OR anchor_start > window_end + 1.0"),
 )
 #: What rescues a line whose text is less like its anchor's than asked; ``delta`` is the seconds between their starts.
+#: Bounds made of least_overlap are rounded: as doubles 0.5 - 0.35 exceeds 0.15, and an overlap of 0.15 would miss it.
 LINE_RESCUES = (
-    "n_words >= 5 AND delta <= 0.22 AND overlap >= greatest(0.82, least_overlap + 0.25) AND window_words >= greatest(3, floor(0.6 * n_words)) AND window_prob >= 0.55",
-    "n_words BETWEEN 3 AND 4 AND delta <= 0.12 AND overlap >= greatest(0.9, least_overlap + 0.35) AND window_words >= n_words AND window_prob >= 0.65",
-    "n_words >= 3 AND delta <= 0.14 AND overlap >= greatest(0.72, least_overlap + 0.22) AND window_words >= greatest(2, floor(0.5 * n_words)) AND window_prob >= 0.55",
-    "n_words >= 4 AND delta <= 0.2 AND overlap >= greatest(0.15, least_overlap - 0.35) AND window_words >= greatest(2, floor(0.4 * n_words)) AND window_prob >= 0.55",
+    "n_words >= 5 AND delta <= 0.22 AND overlap >= greatest(0.82, round(least_overlap + 0.25, 9)) AND window_words >= greatest(3, floor(0.6 * n_words)) AND window_prob >= 0.55",
+    "n_words BETWEEN 3 AND 4 AND delta <= 0.12 AND overlap >= greatest(0.9, round(least_overlap + 0.35, 9)) AND window_words >= n_words AND window_prob >= 0.65",
+    "n_words >= 3 AND delta <= 0.14 AND overlap >= greatest(0.72, round(least_overlap + 0.22, 9)) AND window_words >= greatest(2, floor(0.5 * n_words)) AND window_prob >= 0.55",
+    "n_words >= 4 AND delta <= 0.2 AND overlap >= greatest(0.15, round(least_overlap - 0.35, 9)) AND window_words >= greatest(2, floor(0.4 * n_words)) AND window_prob >= 0.55",
 )
 LINE_COLUMNS = ("n_words", "window_words", "window_prob", "start", "anchor_start", "window_start", "window_end", "similarity", "overlap", "leads")
 
@@ -311,7 +312,7 @@ def line_eligibility(df: DataFrame, least_similarity: float, least_overlap: floa
     for p in rescues:
         rescue = rescue | F.coalesce(F.expr(p), F.lit(False))
     known = known.withColumn("__rescue", rescue)
-    absent = F.expr("delta >= 0.8 AND NOT leads AND overlap >= greatest(0.6, least_overlap + 0.1)")
+    absent = F.expr("delta >= 0.8 AND NOT leads AND overlap >= greatest(0.6, round(least_overlap + 0.1, 9))")
     unlike, apart = F.col("similarity") < least_similarity, F.col("overlap") < least_overlap
     reason = F.coalesce("__guard", F.when(absent, "missing_window_line_start"), F.when(~F.col("__rescue") & unlike, "low_text_similarity"), F.when(~F.col("__rescue") & apart, "low_token_overlap"))
     out = known.withColumns({"__reason": reason, "__eligible": F.col("__guard").isNull()})
