@@ -171,3 +171,23 @@ def test_line_eligibility(spark):
     df = spark.createDataFrame(rows, ", ".join(f"{c} {'boolean' if c == 'leads' else 'double'}" for c in po.LINE_COLUMNS) + ", n int")
     got = {r["n"]: (r["skip_reason"], r["eligible"], r["rescued"]) for r in po.line_eligibility(df, 0.58, 0.5).collect()}
     assert got == {n: c[1:] for n, c in enumerate(cases)}
+
+
+def test_line_eligibility_at_the_least_overlap(spark):
+    """0.5 - 0.35 is 0.15000000000000002 in doubles; an overlap of 0.15 is enough all the same."""
+    row = {"n_words": 5.0, "window_words": 5.0, "window_prob": 0.9, "start": 10.0, "anchor_start": 10.1, "window_start": 9.0, "window_end": 12.0, "similarity": 0.1, "overlap": 0.15, "leads": True}
+    df = spark.createDataFrame([tuple(row[k] for k in po.LINE_COLUMNS)], ", ".join(f"{c} {'boolean' if c == 'leads' else 'double'}" for c in po.LINE_COLUMNS))
+    r = po.line_eligibility(df, 0.58, 0.5).first()
+    assert (r["skip_reason"], r["eligible"], r["rescued"]) == (None, True, True)
+
+
+def test_policy_rules_hold_users_of_one_event(spark, tmp_path):
+    from spanloom.plans.registry import ORACLES, QUERIES
+
+    from .oracle import by_sql, normal
+
+    df = spark.sql("SELECT CAST(id AS bigint) AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, CAST(id DIV 3 AS bigint) AS user_id, 'view' AS event_type, CAST(id * 20 AS double) AS value, '{}' AS props FROM range(4)")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.quality for r in QUERIES["policy_rules"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {0, 1} and got[1] == 20.0
+    assert normal(QUERIES["policy_rules"](spark, str(tmp_path)).toPandas()) == normal(by_sql(ORACLES["policy_rules"], str(tmp_path)))
