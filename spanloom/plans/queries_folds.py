@@ -35,13 +35,14 @@ def onset_starts(spark, d):
 
 def turn_options(spark, d, near: int = 12):
     """conv_id, turn, place, choice, cost, sure: a row for each word of a turn and equal word of the turn before that stands
-    within ``near`` words of its place. Words that both turns have just once are sure. Joined by word and stretch."""
+    within ``near`` words of its place. Words that both turns have just once are sure. Joined by word and stretch, both
+    sides dealt: a file of a few MB of texts makes rows of far more, which must not be sent whole through the driver."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = table(spark, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("n", F.row_number().over(w))
     words = turns.select("conv_id", "n", F.posexplode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("place", "word"))
     words = words.withColumns({"times": F.count("*").over(Window.partitionBy("conv_id", "n", "word")), "stretch": F.floor(F.col("place") / near)})
     before = words.select("conv_id", (F.col("n") + 1).alias("n"), "word", F.col("place").alias("choice"), F.col("times").alias("times_before"), F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)).alias("stretch"))
-    pairs = words.join(before, ["conv_id", "n", "word", "stretch"]).where(F.abs(F.col("place") - F.col("choice")) <= near)
+    pairs = words.join(before.hint("merge"), ["conv_id", "n", "word", "stretch"]).where(F.abs(F.col("place") - F.col("choice")) <= near)
     return pairs.select("conv_id", F.col("n").alias("turn"), "place", "choice", (F.abs(F.col("place") - F.col("choice")) * 0.1).alias("cost"), ((F.col("times") == 1) & (F.col("times_before") == 1)).alias("sure"))
 
 

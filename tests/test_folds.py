@@ -251,3 +251,14 @@ def test_cursor_and_shifts_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, 7, None), (1, 8, 2.0), (1, 9, 1.0)], "k int, id int, s double")
     out = folds.shifted_starts(rows, folds.silence_shifts(times, times, ["k"], "at", "at"), ["k"], "s", "id").collect()
     assert {r.id: r.new_start for r in out} == {7: None, 8: 2.0, 9: 1.0}
+
+
+def test_options_are_not_sent_to_all_tasks(spark, small):
+    """A file of a few MB of texts makes rows of far more."""
+    from spanloom.plans.queries_folds import turn_options
+
+    assert "BroadcastHashJoin" not in turn_options(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_tokens_are_not_sent_to_all_tasks(spark, small):
+    assert "BroadcastHashJoin" not in QUERIES["token_similarity_pairs"](spark, small)._jdf.queryExecution().executedPlan().toString()
