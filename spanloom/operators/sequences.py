@@ -9,11 +9,14 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .align import character_counts
+
 PAIRS = T.ArrayType(T.StructType().add("i", T.IntegerType()).add("j", T.IntegerType()))
 SCORED = T.ArrayType(T.StructType().add("i", T.IntegerType()).add("j", T.IntegerType()).add("score", T.DoubleType()))
 
@@ -28,6 +31,17 @@ def may_reach(a: str, b: str, least: float) -> bool:
     return 2 * min(len(a), len(b)) >= least * (len(a) + len(b))
 
 
+def may_pair(left: list[str], right: list[str], least: float) -> np.ndarray:
+    """For all pairs of two lists' texts whether their ratio may reach ``least``: matching characters are characters that
+    both texts hold."""
+    (a, n), (b, m) = character_counts(left), character_counts(right)
+    out = np.zeros((len(left), len(right)), bool)
+    for i in range(len(left)):
+        shared = np.minimum(b, a[i]).sum(axis=1)
+        out[i] = 2.0 * shared / np.maximum(n[i] + m, 1) >= least
+    return out
+
+
 def _list(x) -> list:
     return [] if x is None else list(x)
 
@@ -66,8 +80,11 @@ def token_matches(left: pd.Series, right: pd.Series) -> pd.Series:
                 free.discard(j)
             else:
                 rest.append(i)
-        for i in rest:
-            j, best = max(((j, ratio(a[i], b[j])) for j in sorted(free) if may_reach(a[i], b[j], 0.86)), key=lambda p: p[1], default=(-1, 0.0))
+        left = sorted(free)
+        may = may_pair([a[i] for i in rest], [b[j] for j in left], 0.86)
+        for i, row in zip(rest, may, strict=True):
+            tries = (left[k] for k in np.flatnonzero(row).tolist())
+            j, best = max(((j, ratio(a[i], b[j])) for j in tries if j in free and may_reach(a[i], b[j], 0.86)), key=lambda p: p[1], default=(-1, 0.0))
             if best >= 0.86:
                 out.append({"i": i, "j": j})
                 free.discard(j)
@@ -111,11 +128,12 @@ def windowed_alignment(a: list[str], a_at: list[float], b: list[str], b_at: list
     2 * similarity - 0.05 * rows skipped - 0.01 * min(seconds apart, 10); without one of ``least`` similarity, the side
     with the earlier clock moves on."""
     out, i, j = [], 0, 0
+    may = may_pair(a, b, least)
     while i < len(a) and j < len(b):
         tries = [(i, j + k) for k in range(min(ahead, len(b) - j))] + [(i + k, j) for k in range(1, min(ahead, len(a) - i))]
         best, place = None, None
         for x, y in tries:
-            s = 1.0 if a[x] == b[y] else ratio(a[x], b[y]) if may_reach(a[x], b[y], least) else 0.0
+            s = 1.0 if a[x] == b[y] else ratio(a[x], b[y]) if may[x, y] and may_reach(a[x], b[y], least) else 0.0
             if s >= least:
                 score = 2 * s - 0.05 * (x - i + y - j) - 0.01 * min(abs(a_at[x] - b_at[y]), 10.0)
                 if best is None or score > best:
@@ -142,13 +160,18 @@ def soft_overlap(left: pd.Series, right: pd.Series) -> pd.Series:
     """Greedy one-to-one matches of equal or very similar tokens (0.8) over the longer length; 0 if one is empty."""
 
     def one(a, b):
-        a, free = _list(a), _list(b)
-        n, longest = 0, max(len(a), len(free))
-        for x in a:
-            hit = next((k for k, y in enumerate(free) if x == y), None)
-            hit = next((k for k, y in enumerate(free) if may_reach(x, y, 0.8) and ratio(x, y) >= 0.8), None) if hit is None else hit
+        a, b = _list(a), _list(b)
+        n, longest, free = 0, max(len(a), len(b)), np.ones(len(b), bool)
+        at: dict[str, list[int]] = {}
+        for j in reversed(range(len(b))):
+            at.setdefault(b[j], []).append(j)
+        may = may_pair(a, b, 0.8)
+        for x, row in zip(a, may, strict=True):
+            while at.get(x) and not free[at[x][-1]]:  # taken by a similar token
+                at[x].pop()
+            hit = at[x][-1] if at.get(x) else next((j for j in np.flatnonzero(row & free).tolist() if may_reach(x, b[j], 0.8) and ratio(x, b[j]) >= 0.8), None)
             if hit is not None:
-                free.pop(hit)
+                free[hit] = False
                 n += 1
         return n / longest if longest and n else 0.0
 

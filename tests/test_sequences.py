@@ -125,3 +125,36 @@ def test_session_window_on_a_stream(spark, tmp_path):
     tracks.session_counts(stream, ["k"], "ts", "10 seconds", "0 seconds").writeStream.format("memory").queryName("sessions_out").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
     got = {(r.k, r.n) for r in spark.table("sessions_out").collect()}
     assert (1, 2) in got and {(r.k, r.n) for r in tracks.session_counts(df, ["k"], "ts", "10 seconds").collect()} == {(1, 2), (1, 1), (2, 1)}
+
+
+def test_bounds_keep_every_pair_that_reaches_the_ratio():
+    from spanloom.operators.sequences import may_pair, ratio
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcé\U0001f600" if n % 9 == 0 else "abcd") for _ in range(rng.randint(0, 9))) for n in range(60)]
+    for least in (0.8, 0.86):
+        may = may_pair(words[:30], words[30:], least)
+        assert all(may[i, j] for i, a in enumerate(words[:30]) for j, b in enumerate(words[30:]) if ratio(a, b) >= least)
+        assert not may.all()
+
+
+def test_soft_overlap_takes_equal_tokens_that_a_similar_one_has_not_taken():
+    import pandas as pd
+
+    from spanloom.operators.sequences import soft_overlap
+
+    left, right = [["abcdef", "abcdeg", "abcdeg"], ["x"], None], [["abcdeg", "abcdeh", "zz"], ["y"], ["a"]]
+    assert list(soft_overlap.func(pd.Series(left), pd.Series(right))) == [2 / 3, 0.0, 0.0]
+
+
+def test_matching_many_words_takes_no_comparison_of_each_pair(monkeypatch):
+    """Words that share too few letters are not compared."""
+    import pandas as pd
+
+    from spanloom.operators import sequences as sq
+
+    asked = []
+    monkeypatch.setattr(sq, "ratio", lambda a, b: asked.append((a, b)) or 0.0)
+    left, right = [[f"{c}" * 6 for c in "abcdefgh"]], [[f"{c}" * 6 for c in "ijklmnop"]]
+    assert len(sq.token_matches.func(pd.Series(left), pd.Series(right))[0]) == 0 and sq.soft_overlap.func(pd.Series(left), pd.Series(right))[0] == 0.0
+    assert asked == []
