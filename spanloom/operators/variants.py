@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .align import similarity
+from .align import similarity, similarity_from
 from .entity import Row, in_order
 
 
@@ -32,7 +32,7 @@ def variant_links(lines: DataFrame, keys: list[str], row_id: str, start: str, to
     rare = words.join(often, [*keys, "__word"]).withColumns({"__k": F.row_number().over(rank), "__of": F.count("*").over(Window.partitionBy(*keys, "__text"))}).where("__k > 1 OR __of = 1").select(*keys, "__text", "__word")
     # a text of one distinct token shares that with any text, also where it is the other's most frequent one
     single = words.withColumn("__of", F.count("*").over(Window.partitionBy(*keys, "__text"))).where("__of = 1").select(*keys, "__text", "__word")
-    other = lambda df: df.withColumnRenamed("__text", "__other")
+    other = lambda df: df.withColumnRenamed("__text", "__other").hint("merge")
     pairs = rare.join(other(rare), [*keys, "__word"]).unionByName(single.join(other(words), [*keys, "__word"])).unionByName(words.join(other(single), [*keys, "__word"]))
     pairs = pairs.select(*keys, F.least("__text", "__other").alias("__text"), F.greatest("__text", "__other").alias("__other")).distinct()
     one, two = (texts.select(*keys, *(F.col(c).alias(f"{n}{c}") for c in ("__text", "__tokens", "__first", "__last"))) for n in ("a", "b"))
@@ -41,7 +41,9 @@ def variant_links(lines: DataFrame, keys: list[str], row_id: str, start: str, to
     enough = lambda c: shared >= F.least(F.lit(2), F.size(F.array_distinct(c)))
     # the earlier row's text comes first in the comparison, so both orders are tried
     ways = pairs.select("*", enough("a__tokens").alias("__ab"), enough("b__tokens").alias("__ba"))
-    ways = ways.withColumns({"__ab": F.when(F.col("__ab"), similarity("a__text", "b__text") >= least).otherwise(False), "__ba": F.when(F.col("__ba"), similarity("b__text", "a__text") >= least).otherwise(False)}).where("__ab OR __ba")
+    asked = lambda way, c: F.when(F.col(way), F.col(c))
+    alike = {"__ab": similarity_from(asked("__ab", "a__text"), F.col("b__text"), least), "__ba": similarity_from(asked("__ba", "b__text"), F.col("a__text"), least)}
+    ways = ways.where("__ab OR __ba").withColumns({c: x.isNotNull() for c, x in alike.items()}).where("__ab OR __ba")
     sides = ways.select(*keys, F.col("a__text").alias("__text"), F.col("b__first").alias("__f"), F.col("b__last").alias("__l"), F.col("__ab").alias("__out"), F.col("__ba").alias("__in"))
     sides = sides.unionByName(ways.where("a__text <> b__text").select(*keys, F.col("b__text").alias("__text"), F.col("a__first").alias("__f"), F.col("a__last").alias("__l"), F.col("__ba").alias("__out"), F.col("__ab").alias("__in")))
     far = t.join(sides, [*keys, "__text"])

@@ -74,3 +74,20 @@ def test_families_of_odd_rows(spark):
 def test_read_quality(spark):
     got = spark.createDataFrame([(0.5, 0.25, 0.5), (None, None, None)], "a double, b double, c double").select(variants.read_quality(F.col("a"), F.col("b"), F.col("c"))).collect()
     assert [round(r[0], 9) for r in got] == [0.4, 0.4]
+
+
+def test_texts_that_come_again_are_compared_once(monkeypatch):
+    """Each key has the same lines: a pair of texts is matched once in a task, not once a key."""
+    from spanloom.operators import align as al
+
+    asked = []
+
+    class Counted(al.SequenceMatcher):
+        def ratio(self):
+            asked.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(al, "SequenceMatcher", Counted)
+    al.matching_ratio.cache_clear()
+    ratios = [al.matching_ratio("we all go by night", "we al go by night") for _ in range(50)]
+    assert len(asked) == 1 and len(set(ratios)) == 1
