@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nested import bound
 from .text import basic, has_credit, is_promo, is_symbols_only
 
 #: Beginnings of lines that are credits.
@@ -104,13 +105,18 @@ PROVIDERS, ADDRESSES = ("kara", "xara", "xora"), ("com", "couk", "net")
 def is_screen_noise(text: Column) -> Column:
     """Whether a line on screen names its provider or owner: an address beside such a word, three words with a part of
     OWNERS, or two of PROVIDERS, or two of either kind among ten words. Null and empty texts are none."""
-    words = F.filter(F.transform(F.split(basic(text), " "), lambda w: F.regexp_replace(w, "[^a-z0-9]+", "")), lambda w: w != "")
-    count = lambda test: F.size(F.filter(words, test))
-    owners = count(lambda w: w.rlike("|".join(OWNERS)))
-    providers = count(lambda w: w.rlike(f"^({'|'.join(PROVIDERS)})") & (F.length(w) >= 5))
-    addresses = count(lambda w: w.rlike(f"www|({'|'.join(ADDRESSES)})$"))
-    n = F.size(words)
-    return F.coalesce((addresses >= 1) & ((owners >= 1) | (providers >= 1)) | (owners >= 3) | (providers >= 2) & (n >= 2) | (n >= 10) & ((owners >= 2) | (providers >= 2)), F.lit(False))
+    count = lambda words, test: F.size(F.filter(words, test))
+    each = F.filter(F.transform(F.split(basic(text), " "), lambda w: F.regexp_replace(w, "[^a-z0-9]+", "")), lambda w: w != "")
+    tallies = bound(each, lambda words: F.struct(
+        F.size(words).alias("n"), count(words, lambda w: w.rlike("|".join(OWNERS))).alias("owners"),
+        count(words, lambda w: w.rlike(f"^({'|'.join(PROVIDERS)})") & (F.length(w) >= 5)).alias("providers"), count(words, lambda w: w.rlike(f"www|({'|'.join(ADDRESSES)})$")).alias("addresses"),
+    ))
+
+    def noise(c: Column) -> Column:
+        n, owners, providers, addresses = (c[k] for k in ("n", "owners", "providers", "addresses"))
+        return (addresses >= 1) & ((owners >= 1) | (providers >= 1)) | (owners >= 3) | (providers >= 2) & (n >= 2) | (n >= 10) & ((owners >= 2) | (providers >= 2))
+
+    return F.coalesce(bound(tallies, noise), F.lit(False))
 
 
 #: Parts of titles of versions that no studio made.
