@@ -149,3 +149,17 @@ def test_stream_and_batch_tracks_agree(spark, tmp_path):
         done, still = tracks.fold_tracks([t for i, t, _ in rows if i == k], [v for i, _, v in rows if i == k], 20.0, None)
         whole += [(k, *x) for x in [*done, still]]
     assert [(r[:4], round(r[4], 9)) for r in pairs(batch, "k", "first", "last", "n", "total")] == [(r[:4], round(r[4], 9)) for r in sorted(whole)]
+
+
+def test_screen_noise_takes_words_apart_once(spark):
+    df = spark.createDataFrame([("www.karafun.com",)], "t string").select(ru.is_screen_noise(F.col("t")).alias("x"))
+    assert df._jdf.queryExecution().analyzed().toString().count("[^a-z0-9]+") == 1
+
+
+def test_mixed_costs_are_those_of_each_pair():
+    rng = random.Random(8)
+    a, b = (["".join(rng.choice("abcdéxyz") for _ in range(rng.randint(1, 7))) for _ in range(40)] for _ in "ab")
+    s, t = np.arange(40) * 0.9, np.arange(40) * 0.7
+    apart = np.minimum(np.abs(np.subtract.outer(s, t)) / 20, 1.0)
+    want = [[0.7 * (1 - SequenceMatcher(None, x, y).ratio() if apart[i, j] < 1 else 1.0) + 0.3 * apart[i, j] for j, y in enumerate(b)] for i, x in enumerate(a)]
+    assert np.array_equal(al.mixed_cost(a, s, b, t), np.array(want))
