@@ -163,3 +163,9 @@ def test_mixed_costs_are_those_of_each_pair():
     apart = np.minimum(np.abs(np.subtract.outer(s, t)) / 20, 1.0)
     want = [[0.7 * (1 - SequenceMatcher(None, x, y).ratio() if apart[i, j] < 1 else 1.0) + 0.3 * apart[i, j] for j, y in enumerate(b)] for i, x in enumerate(a)]
     assert np.array_equal(al.mixed_cost(a, s, b, t), np.array(want))
+
+
+def test_runtime_profile_sorts_no_rows_for_a_window(spark, small):
+    from spanloom.plans.registry import QUERIES
+
+    assert "Window" not in QUERIES["runtime_profile"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
