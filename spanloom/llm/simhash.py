@@ -125,7 +125,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # documents that stand alone stay as they are, without a shuffle of their texts; the others are looked up
     touched = per_copy.join(kept.where(F.col("copies") > 1).select("root").hint("rebalance"), "root", "left_semi").select("doc_id", "copy").unionByName(per_copy.where("n > 1").select("doc_id", "copy"))
     asked, untouched = split_by(docs, folded("doc_id", F.xxhash64("text")), touched, folded("doc_id", "copy"))
-    kept = kept.drop("root", "copies")
+    # and of those looked up most that go, go before their texts are shuffled
+    kept, _ = split_by(kept.drop("root", "copies"), folded(own, copy), touched, folded("doc_id", "copy"))
+    kept = stored(kept)
+    asked, _ = split_by(asked, folded("doc_id", F.xxhash64("text")), kept, folded(own, copy))
     same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(copy))
     alone = asked.join(kept.where(F.col(n) == 1), same, "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from spanloom.llm import embedding, language_id, ogg, packing, pieces, quality, secret_scan, simhash
 from spanloom.llm.common import Scratch
 from spanloom.llm.components import components
-from spanloom.llm.jaccard import near_copies, settled, shingles, similarity
+from spanloom.llm.jaccard import FIELDS as AXES
+from spanloom.llm.jaccard import GRIDS, candidates, near_copies, popcounts, settled, shingles, similarity
 from spanloom.llm.wordpiece_cache import ids_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -304,6 +305,27 @@ def test_crowded_cells_lose_no_pair(spark):
     assert got == {k: 60 * (k // 60) for k in range(120)}
 
 
+def test_candidates_are_the_pairs_of_grid_cells(spark):
+    """Segment popcounts agree about as often as shingles; pairs of nodes are those that share a cell, crowded or not."""
+    words = [f"w{k}" for k in range(2000)]
+    grams = [shingles(" ".join(words[7 * k : 7 * k + 200])) for k in range(40)]
+    points = [popcounts(g) for g in grams]
+    assert all(len(p) == GRIDS * AXES and max(p) < 4096 for p in points)
+    agree = [sum(x == y for x, y in zip(points[k], points[k + 1], strict=True)) / len(points[k]) for k in range(39)]
+    assert abs(sum(agree) / 39 - similarity(grams[0], grams[1])) < 0.05
+    cells: dict[tuple, list[int]] = {}
+    for k, p in enumerate(points):
+        for g in range(GRIDS):
+            cells.setdefault((g, *p[g * AXES : (g + 1) * AXES]), []).append(k)
+    small = {(a, b) for c in cells.values() if len(c) <= 3 for a in c for b in c if a < b}
+    many = Counter(k for c in cells.values() if len(c) > 3 for k in c)
+    known = spark.createDataFrame([(k, 0, 196, p) for k, p in enumerate(points)], "node long, fp long, size long, point array<smallint>")
+    with Scratch() as hold:
+        pairs, crowded = candidates(known, hold, 3)
+        assert sorted(rows(pairs, "a", "b")) == sorted(small) and small
+        assert Counter(r.node for r in crowded.collect()) == many and many
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(5, 5), (None, 3), (300, 301), (301, 300)], "a long, b long")
     got = dict(rows(components(edges), "node", "root"))
