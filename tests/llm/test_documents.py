@@ -326,6 +326,36 @@ def test_candidates_are_the_pairs_of_grid_cells(spark):
         assert Counter(r.node for r in crowded.collect()) == many and many
 
 
+def shuffled(spark) -> int:
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_near_copies_send_no_text_twice(spark, tmp_path):
+    """Copies and lone texts stay where they are; of crowded cells only their own shingles are sent again."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    lone = [" ".join(word() for _ in range(400)) for _ in range(100)]
+    near = [[t, t.replace(t[:6], word())] for t in (" ".join(word() for _ in range(400)) for _ in range(100))]
+    base = [word() for _ in range(400)]
+    many = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(20)]
+    texts = lone + [x for pair in near for x in pair] + many + near[0][:1] * 300
+    spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/d")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on large tables
+    try:
+        before = shuffled(spark)
+        got = dict(rows(near_copies(spark.read.parquet(f"{tmp_path}/d")), "doc_id", "root"))
+        spent = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(set(got.values())) == 201
+    assert spent < 1.5 * sum(map(len, texts))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(5, 5), (None, 3), (300, 301), (301, 300)], "a long, b long")
     got = dict(rows(components(edges), "node", "root"))
