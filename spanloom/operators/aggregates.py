@@ -166,3 +166,17 @@ def positional_vote(df: DataFrame, keys: list[str], place: str, token: str, orde
     w = Window.partitionBy(*keys, place)
     ranked = votes.withColumns({"share": F.col("votes") / F.sum("votes").over(w), "__r": F.row_number().over(w.orderBy(F.col("votes").desc(), F.length(token).desc(), token))})
     return ranked.where("__r = 1").drop("__r")
+
+
+def words_in_runs(df: DataFrame, keys: list[str], text: str, run: int = 8) -> DataFrame:
+    """Rows (keys, run, place, token): each text's words by place from 0, parted at spaces, empty ones left out. ``run`` is place / run.
+
+    Dealt by keys and run before they are rows of their own: what is sent is about as long as the texts, and groups by keys,
+    run and place (or more) need no further exchange.
+    """
+    words = F.split(text, " ")
+    starts = F.sequence(F.lit(0), F.size("__words") - 1, F.lit(run))
+    part = lambda k: F.struct((k / run).cast("long").alias("run"), F.array_join(F.slice("__words", k + 1, run), " ").alias("part"))
+    parts = df.where(F.col(text).isNotNull()).select(*keys, words.alias("__words")).select(*keys, F.explode(F.transform(starts, part)).alias("__x")).select(*keys, "__x.*")
+    dealt = parts.repartition(*keys, "run").select(*keys, "run", F.posexplode(F.split("part", " ")).alias("__p", "token"))
+    return dealt.where("token <> ''").select(*keys, "run", (F.col("run") * run + F.col("__p")).alias("place"), "token")

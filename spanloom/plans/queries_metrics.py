@@ -172,8 +172,8 @@ VOTE = """w AS (SELECT source, unnest(range(len(string_split(text, ' ')))) AS pl
 @query(f"WITH {VOTE} SELECT source, place, token, votes, round(share, 8) AS share FROM r WHERE k = 1")
 def positional_vote(spark, d):
     """A vote of each source's documents at every place; positional_vote_everywhere holds one of each language's."""
-    rows = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", " ")).alias("p", "token")).select("source", F.col("p").cast("long").alias("place"), "token", "doc_id").where("token <> ''")
-    return rounded(ag.positional_vote(rows, ["source"], "place", "token", "doc_id"), 8)
+    rows = ag.words_in_runs(table(spark, d, "documents"), ["source"], "text")
+    return rounded(ag.positional_vote(rows, ["source", "run"], "place", "token", "token").drop("run"), 8)
 
 
 EVERY_VOTE = """w AS (SELECT lang, unnest(range(len(string_split(text, ' ')))) AS place, unnest(string_split(text, ' ')) AS token FROM documents), v AS (SELECT lang, place, token, count(*) AS votes FROM w WHERE token <> '' GROUP BY 1, 2, 3),
@@ -183,8 +183,8 @@ EVERY_VOTE = """w AS (SELECT lang, unnest(range(len(string_split(text, ' ')))) A
 @query(f"WITH {EVERY_VOTE} SELECT lang, place, token, votes, round(share, 8) AS share FROM r WHERE k = 1")
 def positional_vote_everywhere(spark, d):
     """A vote of each language's documents at every place."""
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", " ")).alias("p", "token")).select("lang", F.col("p").cast("long").alias("place"), "token", "doc_id").where("token <> ''")
-    return rounded(ag.positional_vote(rows, ["lang"], "place", "token", "doc_id"), 8)
+    rows = ag.words_in_runs(table(spark, d, "documents"), ["lang"], "text")
+    return rounded(ag.positional_vote(rows, ["lang", "run"], "place", "token", "token").drop("run"), 8)
 
 
 @query("SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice, 2) DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")

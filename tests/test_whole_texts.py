@@ -59,6 +59,27 @@ def test_votes_at_every_place(spark, tmp_path):
     assert got == best and len(got) == 40
 
 
+def test_votes_send_texts_and_no_row_a_word(spark, tmp_path):
+    texts = [" ".join(f"w{j}x{(k * j) % 97}" for k in range(2000)) for j in range(60)] + ["", " a  b ", None]
+    spark.createDataFrame([(j, t, "s") for j, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sc = spark.sparkContext
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    got = {r.place: (r.token, r.votes) for r in QUERIES["positional_vote"](spark, str(tmp_path)).collect()}
+    assert written() - before < 60 * 2000 / 7
+    votes: dict[int, Counter] = {}
+    for t in texts:
+        for k, w in enumerate((t or "").split(" ")):
+            if w:
+                votes.setdefault(k, Counter())[w] += 1
+    assert got == {k: min(c.items(), key=lambda x: (-x[1], -len(x[0]), x[0])) for k, c in votes.items()}
+
+
 def test_frames_and_lookups_use_whole_tables(spark, tmp_path):
     days = ("2024-01-01", "2024-01-03", "2024-01-04", "2024-01-07")
     lines = [(s, n, day, float(s + n)) for s in (1, 2, 3) for n, day in enumerate(days)]
