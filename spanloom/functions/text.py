@@ -1,10 +1,11 @@
-"""Text functions as column expressions; pandas functions only where Spark has none (Unicode normal forms)."""
+"""Text functions as column expressions; Arrow functions only where Spark has none (Unicode normal forms)."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,11 +144,17 @@ def is_promo(text: Column) -> Column:
     return low.rlike("|".join(PROMOTION)) | low.rlike(TELEPHONE)
 
 
-@F.pandas_udf(T.StringType())
-def canonical(text: pd.Series) -> pd.Series:
+def _each(texts: pa.Array, one: Callable[[str], str]) -> pa.Array:
+    """one(text) of each text that is not null; few texts at a time are Python strings, the others stay in Arrow."""
+    made = [pa.array([None if t is None else one(t) for t in texts.slice(at, 256).to_pylist()], pa.string()) for at in range(0, len(texts), 256)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def canonical(text: pa.Array) -> pa.Array:
     """NFKC, typographic quotes and dashes to plain ones, single spaces."""
     table = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."})
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).translate(table).split()))
+    return _each(text, lambda t: " ".join(unicodedata.normalize("NFKC", t).translate(table).split()))
 
 
 def syllables(text: Column) -> Column:
@@ -156,12 +163,12 @@ def syllables(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"{consonant}*[{VOWELS}]|{consonant}+"), F.lit(0))
 
 
-@F.pandas_udf(T.StringType())
-def matching(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def matching(text: pa.Array) -> pa.Array:
     """Lower case, accents off, other characters than letters, digits and spaces off, single spaces."""
 
     def one(t: str) -> str:
         bare = "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
         return " ".join("".join(c if c.isalnum() or c.isspace() else " " for c in bare).split())
 
-    return text.map(lambda t: None if t is None else one(t))
+    return _each(text, one)

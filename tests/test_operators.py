@@ -169,3 +169,11 @@ def test_runtime_profile_sorts_no_rows_for_a_window(spark, small):
     from spanloom.plans.registry import QUERIES
 
     assert "Window" not in QUERIES["runtime_profile"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unicode_forms_take_arrow_batches():
+    import pyarrow as pa
+
+    texts = pa.array(["\u201cCaf\u00e9\u201d  \u2014 x", None, ""] * 300)
+    assert tx.canonical.func(texts).to_pylist() == ['"Caf\u00e9" - x', None, ""] * 300
+    assert tx.matching.func(texts).to_pylist() == ["cafe x", None, ""] * 300 and tx.matching.func(texts[:0]).to_pylist() == []
