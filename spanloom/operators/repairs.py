@@ -15,7 +15,7 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,12 +252,16 @@ def repair_inversions(df: DataFrame, keys: list[str], place: str, start: str, te
     return in_order(df, keys, [place, start], fold, extended(df, new_place=T.IntegerType()))
 
 
-@F.pandas_udf(T.IntegerType())
-def last_match(found: pd.Series, wanted: pd.Series) -> pd.Series:
+@F.arrow_udf(T.IntegerType())
+def last_match(found: pa.Array, wanted: pa.Array) -> pa.Array:
     """Place (from 0) of the last found text that is like any wanted one (0.45); null if none is. What follows it can go."""
 
     def one(a, b):
         a, b = ([] if x is None else [(t or "").lower() for t in x] for x in (a, b))
         return next((k for k in range(len(a) - 1, -1, -1) if any(ratio(a[k], y) >= 0.45 for y in b)), None)
 
-    return pd.Series([one(a, b) for a, b in zip(found, wanted, strict=True)], dtype="Int32")
+    # few rows at a time are Python lists, the others stay in Arrow
+    places: list[int | None] = []
+    for at in range(0, len(found), 256):
+        places += map(one, found.slice(at, 256).to_pylist(), wanted.slice(at, 256).to_pylist())
+    return pa.array(places, pa.int32())

@@ -115,3 +115,11 @@ def test_a_crowd_of_overlapping_rows_takes_seconds():
     rp.merge_fades(made_entries(rng, 10_000, 60, [1, 4, 16]), 15.0)
     rp.add_cycles(made_entries(rng, 10_000, 500, [16]), 15.0)
     assert time.process_time() - began < 30
+
+
+def test_last_match_takes_arrow_batches():
+    import pyarrow as pa
+
+    found, wanted = pa.array([["la la la", "oh yes oh"], None, []] * 300), pa.array([["la la lo"], ["x"], None] * 300)
+    assert rp.last_match.func(found, wanted).to_pylist() == [0, None, None] * 300
+    assert rp.last_match.func(found[:0], wanted[:0]).to_pylist() == []
