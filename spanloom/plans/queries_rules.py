@@ -64,16 +64,29 @@ def non_studio_titles(spark, d):
     """WITH m AS (SELECT user_id, count(*) AS n, avg((value > 30)::INT) AS cov, count(*) FILTER (value > 90) AS gaps, abs(avg(value) - 50) AS off, stddev_pop(value) / 100 AS spread, bool_or(event_type = 'signup') AS tried FROM events GROUP BY 1)
  SELECT user_id, CASE WHEN n < 2 THEN 20 ELSE greatest(0, 100 - CASE WHEN cov < 0.6 THEN 30 WHEN cov < 0.8 THEN 15 ELSE 0 END - CASE WHEN n / 10 < 1.5 THEN 20 WHEN n / 10 < 2 THEN 10 ELSE 0 END - CASE WHEN off <= 8 THEN 0 ELSE 20 END - CASE WHEN n < 10 THEN 15 ELSE 0 END - CASE WHEN gaps > 2 THEN 10 ELSE 0 END) END::DOUBLE AS quality,
  CASE WHEN off < 12 THEN 'duration_mismatch_not_severe' WHEN tried THEN 'likely_trailing_outro_padding' WHEN cov > 0.5 THEN 'severe_mismatch_with_audio_recovery' ELSE 'severe_mismatch_without_audio_recovery' END AS reason,
- NOT tried AND n >= 25 AND cov BETWEEN 0.78 AND 0.88 AND cov BETWEEN 0.8 AND 0.92 AND spread >= 0.35 AS retry FROM m"""
+ NOT tried AND n >= 25 AND cov BETWEEN 0.78 AND 0.88 AND cov BETWEEN 0.8 AND 0.92 AND spread >= 0.35 AS retry,
+ round(CASE WHEN user_id % 3 = 0 THEN cov ELSE spread * 0.6 + cov * 0.4 END, 6) AS score, CASE WHEN user_id % 3 = 0 THEN 'internal' ELSE 'blended' END AS mode,
+ CASE WHEN off <= 8 THEN 'trust' WHEN tried THEN 'trust_start' WHEN cov > 0.5 THEN 'realign' ELSE 'reject' END AS trust,
+ CASE WHEN cov < 0.4 THEN 'coverage' WHEN off / 10 > 1 THEN 'offset' WHEN spread > 0.6 THEN 'jitter' ELSE 'none' END AS failure FROM m"""
 )
 def policy_rules(spark, d):
-    """Each user's events as lines of a song: what they are worth, whether their times are trusted, and a second pass tried."""
+    """Each user's events as lines of a song: what they are worth, alone and blended, whether their times are trusted, a second
+    pass tried, and what fails first."""
     m = table(spark, d, "events").groupBy("user_id").agg(
         F.count("*").alias("n_lines"), F.avg((F.col("value") > 30).cast("int")).alias("coverage"), F.count_if(F.col("value") > 90).alias("large_gaps"), F.abs(F.avg("value") - 50).alias("mismatch"),
         (F.stddev_pop("value") / 100).alias("phonetic_similarity_coverage"), F.bool_or(F.col("event_type") == "signup").alias("tried"),
     )
-    known = m.withColumns({"density": F.col("n_lines") / 10, "duration_match": F.col("mismatch") <= 8, "padding": F.col("tried"), "recoverable": F.col("coverage") > 0.5, "line_count": F.col("n_lines"), "matched_ratio": F.col("coverage"), "line_coverage": F.col("coverage")})
-    return po.should_retry(po.trust_policy(po.lyric_quality(known))).select("user_id", "quality", "reason", "retry")
+    known = m.withColumns({"density": F.col("n_lines") / 10, "duration_match": F.coalesce(F.col("mismatch") <= 8, F.lit(False)), "padding": F.col("tried"), "recoverable": F.col("coverage") > 0.5, "line_count": F.col("n_lines"), "matched_ratio": F.col("coverage"), "line_coverage": F.col("coverage")})
+    out = po.should_retry(po.trust_policy(po.lyric_quality(known)))
+    coverage, mismatch, spread = (F.col(c) for c in ("coverage", "mismatch", "phonetic_similarity_coverage"))
+    alone = F.col("user_id") % 3 == 0
+    more = {
+        "score": F.when(alone, coverage).otherwise(spread * 0.6 + coverage * 0.4),
+        "mode": F.when(alone, "internal").otherwise("blended"),
+        "trust": F.when(mismatch <= 8, "trust").when(F.col("tried"), "trust_start").when(coverage > 0.5, "realign").otherwise("reject"),
+        "failure": F.when(coverage < 0.4, "coverage").when(mismatch / 10 > 1, "offset").when(spread > 0.6, "jitter").otherwise("none"),
+    }
+    return rounded(out.select("user_id", "quality", "reason", "retry", *(c.alias(name) for name, c in more.items())), 6)
 
 
 @query(

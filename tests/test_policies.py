@@ -191,3 +191,20 @@ def test_policy_rules_hold_users_of_one_event(spark, tmp_path):
     got = {r.user_id: r.quality for r in QUERIES["policy_rules"](spark, str(tmp_path)).collect()}
     assert got.keys() == {0, 1} and got[1] == 20.0
     assert normal(QUERIES["policy_rules"](spark, str(tmp_path)).toPandas()) == normal(by_sql(ORACLES["policy_rules"], str(tmp_path)))
+
+
+def test_policy_rules_hold_scores_trust_and_failures(spark, tmp_path):
+    """Users 0 to 5 with 1 to 6 events; user 6 has no values, and one user is null."""
+    from spanloom.plans.registry import ORACLES, QUERIES
+
+    from .oracle import by_sql, normal
+
+    rows = [(u * 10 + k, u, "signup" if u == 4 and k == 0 else "view", float(u * 17 % 100 + (k % 2) * 30)) for u in range(6) for k in range(u + 1)]
+    rows += [(100, 6, "view", None), (101, 6, "view", None), (102, None, "view", 95.0), (103, None, "view", 5.0)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").selectExpr("event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "user_id", "event_type", "value", "'{}' AS props")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["policy_rules"](spark, str(tmp_path))
+    assert out.columns == ["user_id", "quality", "reason", "retry", "score", "mode", "trust", "failure"]
+    got = {r.user_id: (r.score, r["mode"], r.trust, r.failure) for r in out.collect()}
+    assert got[0] == (0.0, "internal", "reject", "coverage") and got[1] == (0.29, "blended", "reject", "offset") and got[4][2] == "trust_start" and len(got) == 8
+    assert normal(out.toPandas()) == normal(by_sql(ORACLES["policy_rules"], str(tmp_path)))
