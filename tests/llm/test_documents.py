@@ -17,7 +17,7 @@ from spanloom.llm import embedding, language_id, ogg, packing, pieces, quality,
 from spanloom.llm.common import Scratch
 from spanloom.llm.components import components
 from spanloom.llm.jaccard import FIELDS as AXES
-from spanloom.llm.jaccard import GRIDS, candidates, near_copies, popcounts, settled, shingles, similarity
+from spanloom.llm.jaccard import GRIDS, candidates, met, near_copies, popcounts, settled, shingles, similarity
 from spanloom.llm.wordpiece_cache import ids_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -326,6 +326,31 @@ def test_candidates_are_the_pairs_of_grid_cells(spark):
         assert Counter(r.node for r in crowded.collect()) == many and many
 
 
+def test_near_copies_that_no_grid_holds_are_found(spark):
+    """Pairs of similarity 0.8 whose popcounts agree in no grid's cell, and one whose fingerprints differ in 27 bits."""
+    words = lambda k: [f"w{k}n{i}" for i in range(9)]
+    missed, far = (8208, 8386, 8901, 20203, 38286), 39310
+    for k in missed:
+        a, b = (popcounts(shingles(" ".join(w))) for w in (words(k)[:8], words(k)))
+        assert not any(a[g : g + AXES] == b[g : g + AXES] for g in range(0, GRIDS * AXES, AXES))
+    texts = [" ".join(w) for k in (*missed, far) for w in (words(k)[:8], words(k))]
+    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate([*texts, "one of its own kind and no other", *texts])], SCHEMA)
+    for most in (128, 1):  # cells of shared shingles are paired, or crowded
+        got = dict(rows(near_copies(df, shared_most=most), "doc_id", "root"))
+        assert len(set(got.values())) == 7 and all(got[k] == got[k + 1] == got[k + 13] for k in range(0, 12, 2))
+    assert sorted(r[0] for r in rows(simhash.keep_one(spark, df, ""), "doc_id")) == [*range(0, 12, 2), 12]
+
+
+def test_cells_stream_over_batches(spark):
+    """Small cells give their pairs once, larger ones their nodes, wherever batches end."""
+    cells = [(c, n, 10) for c in range(-300, 300) for n in range(abs(c) % 7 + 1)] + [(400, n, 10) for n in range(40_000)] + [(401, 1, 10), (401, 1, 10), (401, 2, 12), (401, 3, 13)]
+    got = met(spark.createDataFrame(cells, "cell long, node long, size long").coalesce(1), 5).collect()
+    pairs = Counter((r.a, r.b) for r in got if r.b is not None)
+    wanted = Counter((a, b) for c in range(-300, 300) if abs(c) % 7 + 1 <= 5 for b in range(abs(c) % 7 + 1) for a in range(b)) + Counter([(1, 2), (2, 3)])
+    assert pairs == wanted
+    assert Counter((r.cell, r.a) for r in got if r.b is None) == Counter([(c, n) for c, n, _ in cells if c == 400 or c < 300 and abs(c) % 7 + 1 > 5])
+
+
 def shuffled(spark) -> int:
     """Bytes written to shuffles so far."""
     sc = spark.sparkContext
