@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .align import similarity, similarity_from
+from .align import matching_ratio, similarity, similarity_from
 from .entity import Row, in_order
 
 
-def variant_links(lines: DataFrame, keys: list[str], row_id: str, start: str, tokens: str, apart: float = 8.0, least: float = 0.82, few: int = 3) -> DataFrame:
+def variant_links(lines: DataFrame, keys: list[str], row_id: str, start: str, tokens: str, apart: float = 8.0, least: float = 0.82, few: int = 3, most_texts: int = 512) -> DataFrame:
     """keys, a, b: links between rows that are variants of one line. Rows linked by any number of links belong together.
 
     Two rows are variants if each has ``few`` tokens or more, their numbers of tokens differ by one at most, they start
@@ -21,11 +21,21 @@ def variant_links(lines: DataFrame, keys: list[str], row_id: str, start: str, to
     shares a token with it, its most frequent one left aside (texts that share two tokens share another one). Of two such
     texts' rows it is enough to link each with the first and the last row of the other text: whatever row of it is far
     enough away, one of these two is, and these two texts' ends are then linked with each other.
+
+    Of keys with ``most_texts`` distinct texts or fewer these are compared in one pass, without rows for pairs (see ends_of_texts).
     """
     t = lines.where(F.col(start).isNotNull() & (F.size(tokens) >= few)).select(*keys, F.col(row_id).alias("__id"), F.col(start).cast("double").alias("__at"), F.col(tokens).alias("__tokens"))
     t = t.withColumn("__text", F.array_join("__tokens", " "))
     ends = lambda f: f(F.struct("__at", "__id"))
     texts = t.groupBy(*keys, "__text").agg(F.first("__tokens").alias("__tokens"), ends(F.min).alias("__first"), ends(F.max).alias("__last"))
+    texts = texts.withColumn("__texts", F.count("*").over(Window.partitionBy(*keys)))
+    few_texts = F.col("__texts") <= most_texts
+    found = ends_of_texts(texts.where(few_texts).drop("__texts"), keys, apart, least)
+    near = t.join(found.where("__text IS NOT NULL"), [*keys, "__text"])
+    to_last = near.where(F.col("__l.__at") - F.col("__at") >= apart).select(*keys, F.col("__id").alias("a"), F.col("__l.__id").alias("b"))
+    to_first = near.where(F.col("__at") - F.col("__f.__at") >= apart).select(*keys, F.col("__id").alias("a"), F.col("__f.__id").alias("b"))
+    own = found.where("__text IS NULL").select(*keys, F.col("__f.__id").alias("a"), F.col("__l.__id").alias("b")).unionByName(to_last).unionByName(to_first)
+    texts = texts.where(~few_texts).drop("__texts")
     words = texts.select(*keys, "__text", F.explode(F.array_distinct("__tokens")).alias("__word"))
     often = words.groupBy(*keys, "__word").agg(F.count("*").alias("__n"))
     rank = Window.partitionBy(*keys, "__text").orderBy(F.col("__n").desc(), "__word")
@@ -49,7 +59,51 @@ def variant_links(lines: DataFrame, keys: list[str], row_id: str, start: str, to
     far = t.join(sides, [*keys, "__text"])
     later = far.where(F.col("__out") & (F.col("__l.__at") - F.col("__at") >= apart)).select(*keys, F.col("__id").alias("a"), F.col("__l.__id").alias("b"))
     earlier = far.where(F.col("__in") & (F.col("__at") - F.col("__f.__at") >= apart)).select(*keys, F.col("__id").alias("a"), F.col("__f.__id").alias("b"))
-    return later.unionByName(earlier)
+    return own.unionByName(later).unionByName(earlier)
+
+
+def ends_of_texts(texts: DataFrame, keys: list[str], apart: float, least: float) -> DataFrame:
+    """keys, __text, __f, __l over the distinct texts (keys, __text, __tokens, __first, __last) of keys, each of which is held.
+
+    A text's rows are linked with the last row __l that a variant of it has, where that is far enough behind them, and with the
+    first row __f that one has which it is a variant of, where that is far enough before. Rows without text link a first row
+    __f and a last row __l of two texts. Whatever other row a text's row may be linked with, the text's own first or last row
+    is linked with it as well, so these few links join the same rows.
+    """
+
+    def fold(rows: Iterator[Row]) -> Iterator[Row]:
+        held = list(rows)
+        key = {k: held[0][k] for k in keys}
+        sets = [set(r["__tokens"]) for r in held]
+        up: dict = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        place = lambda e: (e["__at"], e["__id"])
+        lasts: list[list] = [[] for _ in held]
+        firsts: list[list] = [[] for _ in held]
+        for i, a in enumerate(held):
+            asked = min(2, len(sets[i]))
+            for j, b in enumerate(held):  # a's row is the earlier one
+                if abs(len(a["__tokens"]) - len(b["__tokens"])) > 1 or len(sets[i] & sets[j]) < asked or not a["__text"] or not b["__text"] or matching_ratio(a["__text"], b["__text"]) < least:
+                    continue
+                lasts[i].append(b["__last"])
+                firsts[j].append(a["__first"])
+                if b["__last"]["__at"] - a["__first"]["__at"] >= apart and (x := top(a["__first"]["__id"])) != (y := top(b["__last"]["__id"])):
+                    up[x] = y
+                    yield key | {"__text": None, "__f": a["__first"], "__l": b["__last"]}
+        for r, last, first in zip(held, lasts, firsts, strict=True):
+            yield key | {"__text": r["__text"], "__f": min(first, key=place, default=None), "__l": max(last, key=place, default=None)}
+
+    known = texts.dropna(subset=keys).select(*keys, "__text", "__tokens", "__first", "__last")
+    kinds = {f.name: f for f in known.schema}
+    end = kinds["__first"].dataType
+    schema = T.StructType([*(kinds[k] for k in keys), T.StructField("__text", T.StringType()), T.StructField("__f", end), T.StructField("__l", end)])
+    return in_order(known, keys, ["__text"], fold, schema)
 
 
 def joined_rows(links: DataFrame, keys: list[str]) -> DataFrame:

@@ -71,6 +71,15 @@ def test_families_of_odd_rows(spark):
     assert variants.variant_links(df.limit(0), ["u"], "id", "s", "t").count() == 0
 
 
+def test_families_are_the_same_whether_texts_are_held_or_joined(spark, small):
+    """And where texts are held, hardly more links than rows are made."""
+    lines = queries_folds.read_lines(spark, small).select("user_id", "event_id", "start", "tokens")
+    links = [variants.variant_links(lines, ["user_id"], "event_id", "start", "tokens", most_texts=most) for most in (512, 0, 30)]
+    one, two, three = ({r.id: r.family for r in variants.joined_rows(x, ["user_id"]).collect()} for x in links)
+    assert one == two == three and one
+    assert links[0].count() < 4 * lines.count() < links[1].count()
+
+
 def test_read_quality(spark):
     got = spark.createDataFrame([(0.5, 0.25, 0.5), (None, None, None)], "a double, b double, c double").select(variants.read_quality(F.col("a"), F.col("b"), F.col("c"))).collect()
     assert [round(r[0], 9) for r in got] == [0.4, 0.4]
